@@ -11,7 +11,7 @@ BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights rese
 #: Label stem, keyword that gates the rules, how the name is written, versions.
 FAMILIES = (
     ("apache", "apache", "apache(?: software)?(?: license)?", ("1 0", "1 1", "2 0")),
-    ("mit", "mit", "(?:the )?mit(?: x11)?(?: license)?", ()),
+    ("mit", "mit", "mit(?: x11)? license", ()),
     ("bsd", "bsd", "bsd(?: style)?(?: license)?", ("0 clause", "1 clause", "2 clause", "3 clause", "4 clause")),
     ("gpl", "gpl", "(?:gnu )?gpl", ("1", "2", "3", "2 0", "3 0")),
     ("gpl", "gnu", "gnu general public license", ("1", "2", "3", "2 0", "3 0")),
