@@ -13,6 +13,7 @@ from tallyfield.llm.common import read_table
 from tallyfield.llm.language import predict_language, train_language_model
 from tallyfield.llm.licenses import scan_licenses
 from tallyfield.llm.mixing import with_schedule
+from tallyfield.llm.near import near_duplicates
 from tallyfield.llm.quality import repetition_quality
 from tallyfield.llm.topk import top_k_search
 
@@ -41,6 +42,10 @@ def op4_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source")
     return with_schedule(docs)
@@ -59,7 +64,7 @@ def op10_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_chat_format, op4_bpe_encode, op6_source_mix, op7_topk_search, op8_license_scan, op10_repetition_quality)}
+    return {f.__name__: f for f in (op1_language_id, op2_chat_format, op4_bpe_encode, op5_minhash_near_dedup, op6_source_mix, op7_topk_search, op8_license_scan, op10_repetition_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
