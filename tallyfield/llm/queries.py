@@ -15,6 +15,7 @@ from tallyfield.llm.licenses import scan_licenses
 from tallyfield.llm.mixing import with_schedule
 from tallyfield.llm.near import near_duplicates
 from tallyfield.llm.quality import repetition_quality
+from tallyfield.llm.substrings import deduplicated_digests
 from tallyfield.llm.topk import top_k_search
 
 
@@ -59,12 +60,16 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op10_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_quality(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_chat_format, op4_bpe_encode, op5_minhash_near_dedup, op6_source_mix, op7_topk_search, op8_license_scan, op10_repetition_quality)}
+    return {f.__name__: f for f in (op1_language_id, op2_chat_format, op4_bpe_encode, op5_minhash_near_dedup, op6_source_mix, op7_topk_search, op8_license_scan, op9_suffix_dedup, op10_repetition_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
