@@ -12,6 +12,7 @@ from tallyfield.llm.chat import conversation_digests
 from tallyfield.llm.common import read_table
 from tallyfield.llm.language import predict_language, train_language_model
 from tallyfield.llm.licenses import scan_licenses
+from tallyfield.llm.matching import deduplicate_words
 from tallyfield.llm.mixing import with_schedule
 from tallyfield.llm.near import near_duplicates
 from tallyfield.llm.quality import repetition_quality
@@ -39,6 +40,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(rows.unionByName(extra), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate_words(read_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op4_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -69,7 +74,7 @@ def op10_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_chat_format, op4_bpe_encode, op5_minhash_near_dedup, op6_source_mix, op7_topk_search, op8_license_scan, op9_suffix_dedup, op10_repetition_quality)}
+    return {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_fm_substring_dedup, op4_bpe_encode, op5_minhash_near_dedup, op6_source_mix, op7_topk_search, op8_license_scan, op9_suffix_dedup, op10_repetition_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

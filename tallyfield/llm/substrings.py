@@ -330,7 +330,7 @@ def _merged(settings: SubstringSettings):
     return kernel
 
 
-def _places_only(batches):
+def places_only(batches):
     """Kernel: the rows that say where a run's strings occur."""
     for batch in batches:
         keep = batch.column(batch.schema.get_field_index("places")).is_valid()
@@ -392,25 +392,31 @@ def repeated_spans(keyed: DataFrame, settings: SubstringSettings) -> DataFrame:
     # both readers take all columns and sort out rows themselves: a pushed filter would split the exchange in two
     verdicts = exchanged.sortWithinPartitions("dest", "run").mapInArrow(_merged(settings), "run bigint, numbers binary, bits binary")
     by_run = verdicts.groupBy("run").agg(F.collect_list(F.struct("numbers", "bits")).alias("v")).select("run", F.col("v.numbers").alias("numbers"), F.col("v.bits").alias("bits"))
-    places = exchanged.mapInArrow(_places_only, "run bigint, docs binary, places binary")
+    places = exchanged.mapInArrow(places_only, "run bigint, docs binary, places binary")
     found = places.join(by_run, "run").select("docs", "places", "numbers", "bits").mapInArrow(_spans(settings), "k1 bigint, k2 bigint, lo bigint, hi bigint")
     return found.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
-def cut(text: bytes, spans: list) -> tuple[bytes, int, int]:
-    """What stays without the spans, how many bytes go, and in how many maximal runs."""
-    kept, at, gone, runs, reach = [], 0, 0, 0, -1
+def cut_spans(symbols, spans: list) -> tuple:
+    """What stays of bytes or of a list without the spans, how many symbols go, and in how many
+    maximal runs."""
+    kept, at, gone, runs, reach = symbols[:0], 0, 0, 0, -1
+    pieces = []
     for lo, hi in sorted(spans):
         if lo > reach:
             runs += 1
-            kept.append(text[at:lo])
+            pieces.append(symbols[at:lo])
             gone += hi - lo
             at = reach = hi
         elif hi > reach:
             gone += hi - reach
             at = reach = hi
-    kept.append(text[at:])
-    return b"".join(kept), gone, runs
+    pieces.append(symbols[at:])
+    if isinstance(symbols, bytes):
+        return b"".join(pieces), gone, runs
+    for piece in pieces:
+        kept += piece
+    return kept, gone, runs
 
 
 def _with_spans(docs: DataFrame, settings: SubstringSettings, extra: list[str]) -> DataFrame:
@@ -433,7 +439,7 @@ def deduplicated_digests(docs: DataFrame, settings: SubstringSettings = Substrin
             size, gone, runs, digest = [], [], [], []
             for t, s in zip(cols["text"].to_pylist(), cols["spans"].to_pylist(), strict=True):
                 raw = (t or "").encode("utf-8", "surrogatepass")
-                kept, n, r = cut(raw, [(x["lo"], x["hi"]) for x in s or ()])
+                kept, n, r = cut_spans(raw, [(x["lo"], x["hi"]) for x in s or ()])
                 size.append(len(raw))
                 gone.append(n)
                 runs.append(r)
@@ -459,7 +465,7 @@ def deduplicate(docs: DataFrame, settings: SubstringSettings = SubstringSettings
             cols = {c: batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text", "spans", "_rest")}
             out = []
             for t, s in zip(cols["text"].to_pylist(), cols["spans"].to_pylist(), strict=True):
-                out.append(t if t is None or not s else cut(t.encode("utf-8", "surrogatepass"), [(x["lo"], x["hi"]) for x in s])[0].decode("utf-8", "ignore"))
+                out.append(t if t is None or not s else cut_spans(t.encode("utf-8", "surrogatepass"), [(x["lo"], x["hi"]) for x in s])[0].decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([cols["doc_id"], pa.array(out, pa.string()), cols["_rest"]], ["doc_id", "text", "_rest"])
 
     done = joined.mapInArrow(kernel, f"doc_id bigint, text string, _rest {kind}")
