@@ -15,11 +15,14 @@ import struct
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfield.llm.common import text_chunks
+
 #: Pre-tokens and white-space pieces that a Python worker remembers; beyond that it starts afresh.
 CACHE_ENTRIES = 300_000
 DIGEST_SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -223,20 +226,30 @@ def _tokenizer_bytes(df: DataFrame, path: str):
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, ids array<int> and decoded text of every whole text (null: empty, no ids).
+    """doc_id, n_tokens, ids array<int>, the ids' digest and the decoded text's digest, for every whole
+    text (null: empty, no ids).
 
     Other columns are ignored, repeated rows give repeated results, an empty table no rows.
-    A map over the rows; memory is bounded by a batch and the worker's caches.
+    A map over the rows, in their order; memory is bounded by a chunk and the worker's caches.
     """
     vocabulary = _tokenizer_bytes(docs, tokenizer_path)
 
     def kernel(batches):
         bpe = _loaded(vocabulary.value)
         for batch in batches:
-            ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(i) for i in ids])], ["doc_id", "ids", "decoded"])
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for lo, hi in text_chunks(texts):
+                packed, decoded = [], []
+                for t in texts[lo:hi]:
+                    parts = bpe.encode_parts(t)
+                    packed.append(b"".join([p[0] for p in parts]))
+                    decoded.append(" ".join([p[1] for p in parts if p[0]]).encode("utf-8"))
+                ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+                sha = lambda values: pa.array([hashlib.sha256(v).hexdigest() for v in values], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(ends).astype(np.int64)), ids, sha(packed), sha(decoded)], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(kernel, "doc_id bigint, ids array<int>, decoded string")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(kernel, "doc_id bigint, n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
 def encoding_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:

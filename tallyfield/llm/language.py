@@ -194,3 +194,27 @@ def predict_language(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
 
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("bigint"), text.alias("text"), text.rlike(r"\p{L}").alias("letters")).mapInArrow(kernel, SCHEMA)
+
+
+def keep_determined(docs: DataFrame, model: ByteCnn | None, least: float = 0.4) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language can be told: the text has a letter and the
+    winner's mean probability is at least ``least``. Without a model a letter is enough."""
+    rest = [c for c in docs.columns if c != "text"]
+    text = F.col("text").cast("string")
+    packed = docs.where(text.isNotNull() & text.rlike(r"\p{L}"))
+    if model is None:
+        return packed
+    packed = packed.select(text.alias("text"), F.struct(*rest).alias("rest"))
+    kind = packed.schema["rest"].dataType.simpleString()
+    settings = model.settings
+
+    def kernel(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, t in enumerate(batch.column(0).to_pylist()):
+                w = windows_of(t.encode("utf-8", "surrogatepass"), settings.window)
+                total = sum(model.probabilities(w[lo : lo + 512]).sum(axis=0) for lo in range(0, len(w), 512))
+                keep[i] = total.max() >= least * len(w)
+            yield batch.filter(pa.array(keep))
+
+    return packed.mapInArrow(kernel, f"text string, rest {kind}").select(*(F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
