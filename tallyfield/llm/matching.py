@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tallyfield.llm.anchors import find_anchors, repeated_anchors
 from tallyfield.llm.common import text_chunks, text_key
 from tallyfield.llm.fmindex import FmIndex, repeated_windows
-from tallyfield.llm.substrings import cut_spans, places_only
+from tallyfield.llm.substrings import cut_spans, own_spans, spans_by_document
 
 RUN_SCHEMA = "dest int, run bigint, strings binary, docs binary, places binary"
 #: Words whose hash a Python worker remembers.
@@ -245,21 +245,19 @@ def _spans(settings: MatchSettings):
     return kernel
 
 
-def repeated_word_spans(keyed: DataFrame, settings: MatchSettings) -> DataFrame:
-    """(k1, k2, spans): word intervals of each document that a repeated window covers.
+def repeated_word_spans(base: DataFrame, settings: MatchSettings) -> DataFrame:
+    """(k1, spans): word intervals (k2, lo, hi) of documents that a repeated window covers.
 
-    ``keyed`` has (k1, k2, text). A stretch that occurs very often is one entry of each run.
+    ``base`` has (k1, k2, text) and what else the caller needs; see ``substrings.repeated_spans``. A
+    stretch that occurs very often is one entry of each run.
     """
-    parts = max(1, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    grams = repeated_anchors(anchor_hashes(keyed, settings))
-    chosen = keyed.join(grams, "k1").select("k1", "k2", "text", "grams").sortWithinPartitions("k1", "k2")
+    parts = max(1, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    grams = repeated_anchors(anchor_hashes(base.select("k1", "k2", "text"), settings))
+    chosen = base.join(grams, "k1").sortWithinPartitions("k1", "k2")
     exchanged = chosen.mapInArrow(_runs_of(settings, parts), RUN_SCHEMA).repartition(parts, "dest")
     # both readers take all columns and sort out rows themselves: a pushed filter would split the exchange in two
     verdicts = exchanged.sortWithinPartitions("dest", "run").mapInArrow(_searched(settings), "run bigint, numbers binary, bits binary")
-    by_run = verdicts.groupBy("run").agg(F.collect_list(F.struct("numbers", "bits")).alias("v")).select("run", F.col("v.numbers").alias("numbers"), F.col("v.bits").alias("bits"))
-    places = exchanged.mapInArrow(places_only, "run bigint, docs binary, places binary")
-    found = places.join(by_run, "run").select("docs", "places", "numbers", "bits").mapInArrow(_spans(settings), "k1 bigint, k2 bigint, lo bigint, hi bigint")
-    return found.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    return spans_by_document(exchanged, verdicts, _spans(settings))
 
 
 def deduplicate_words(docs: DataFrame, settings: MatchSettings = MatchSettings()) -> DataFrame:
@@ -268,20 +266,19 @@ def deduplicate_words(docs: DataFrame, settings: MatchSettings = MatchSettings()
     Null and empty texts have no words. Rows that repeat id and text remove each other's words; nulls
     and columns beyond doc_id and text don't matter. An empty table gives no rows.
     """
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = repeated_word_spans(own.select(*text_key(), "text"), settings)
-    joined = own.select("*", *text_key()).join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).select("*", *text_key())
+    joined = base.join(repeated_word_spans(base, settings), "k1", "left").select("doc_id", "text", "k2", "spans")
 
     def kernel(batches):
         for batch in batches:
-            cols = {c: batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text", "spans")}
-            texts, spans = cols["text"].to_pylist(), cols["spans"].to_pylist()
+            cols = {c: batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text", "k2", "spans")}
+            texts, spans = cols["text"].to_pylist(), own_spans(cols["k2"].to_pylist(), cols["spans"].to_pylist())
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
             for lo, hi in text_chunks(raw):
                 total, gone, kept_texts, digest = [], [], [], []
                 for t, s in zip(raw[lo:hi], spans[lo:hi], strict=True):
                     words = t.split()
-                    kept, n, _ = cut_spans(words, [(x["lo"], x["hi"]) for x in s or ()])
+                    kept, n, _ = cut_spans(words, s)
                     text = b" ".join(kept)
                     total.append(len(words))
                     gone.append(n)

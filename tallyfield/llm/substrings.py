@@ -378,23 +378,29 @@ def _spans(settings: SubstringSettings):
     return kernel
 
 
-def repeated_spans(keyed: DataFrame, settings: SubstringSettings) -> DataFrame:
-    """(k1, k2, spans): byte ranges of each document that a repeated string of ``length`` bytes covers.
+def repeated_spans(base: DataFrame, settings: SubstringSettings) -> DataFrame:
+    """(k1, spans): byte ranges (k2, lo, hi) of documents that a repeated string of ``length`` bytes covers.
 
-    ``keyed`` has (k1, k2, text). A string that occurs very often is one entry of each run, so its
-    task's work grows with the number of runs.
+    ``base`` has (k1, k2, text) and what else the caller needs; all its columns go through the join
+    with the repeated anchors, so that the caller's own join on k1 finds the same exchange of the
+    texts again. A string that occurs very often is one entry of each run, so its task's work grows
+    with the number of runs.
     """
-    spark = keyed.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    grams = repeated_anchors(anchor_hashes(keyed, settings))
-    chosen = keyed.join(grams, "k1").select("k1", "k2", "text", "grams").sortWithinPartitions("k1", "k2")
+    parts = max(1, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    grams = repeated_anchors(anchor_hashes(base.select("k1", "k2", "text"), settings))
+    chosen = base.join(grams, "k1").sortWithinPartitions("k1", "k2")
     exchanged = chosen.mapInArrow(_runs_of(settings, parts), RUN_SCHEMA).repartition(parts, "dest")
     # both readers take all columns and sort out rows themselves: a pushed filter would split the exchange in two
     verdicts = exchanged.sortWithinPartitions("dest", "run").mapInArrow(_merged(settings), "run bigint, numbers binary, bits binary")
+    return spans_by_document(exchanged, verdicts, _spans(settings))
+
+
+def spans_by_document(exchanged: DataFrame, verdicts: DataFrame, kernel) -> DataFrame:
+    """Verdicts of all runs, taken back to where the runs' strings occur."""
     by_run = verdicts.groupBy("run").agg(F.collect_list(F.struct("numbers", "bits")).alias("v")).select("run", F.col("v.numbers").alias("numbers"), F.col("v.bits").alias("bits"))
     places = exchanged.mapInArrow(places_only, "run bigint, docs binary, places binary")
-    found = places.join(by_run, "run").select("docs", "places", "numbers", "bits").mapInArrow(_spans(settings), "k1 bigint, k2 bigint, lo bigint, hi bigint")
-    return found.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    found = places.join(by_run, "run").select("docs", "places", "numbers", "bits").mapInArrow(kernel, "k1 bigint, k2 bigint, lo bigint, hi bigint")
+    return found.groupBy("k1").agg(F.collect_set(F.struct("k2", "lo", "hi")).alias("spans"))
 
 
 def cut_spans(symbols, spans: list) -> tuple:
@@ -420,9 +426,13 @@ def cut_spans(symbols, spans: list) -> tuple:
 
 
 def _with_spans(docs: DataFrame, settings: SubstringSettings, extra: list[str]) -> DataFrame:
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
-    spans = repeated_spans(own.select(*text_key(), "text"), settings)
-    return own.select("*", *text_key()).join(spans, ["k1", "k2"], "left")
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra).select("*", *text_key())
+    return base.join(repeated_spans(base, settings), "k1", "left")
+
+
+def own_spans(k2: list, spans: list) -> list[list]:
+    """Each row's spans, without those of another text whose first hash is the same."""
+    return [[(x["lo"], x["hi"]) for x in s if x["k2"] == k] if s else [] for k, s in zip(k2, spans, strict=True)]
 
 
 def deduplicated_digests(docs: DataFrame, settings: SubstringSettings = SubstringSettings()) -> DataFrame:
@@ -435,18 +445,18 @@ def deduplicated_digests(docs: DataFrame, settings: SubstringSettings = Substrin
 
     def kernel(batches):
         for batch in batches:
-            cols = {c: batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text", "spans")}
+            cols = {c: batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text", "k2", "spans")}
             size, gone, runs, digest = [], [], [], []
-            for t, s in zip(cols["text"].to_pylist(), cols["spans"].to_pylist(), strict=True):
+            for t, s in zip(cols["text"].to_pylist(), own_spans(cols["k2"].to_pylist(), cols["spans"].to_pylist()), strict=True):
                 raw = (t or "").encode("utf-8", "surrogatepass")
-                kept, n, r = cut_spans(raw, [(x["lo"], x["hi"]) for x in s or ()])
+                kept, n, r = cut_spans(raw, s)
                 size.append(len(raw))
                 gone.append(n)
                 runs.append(r)
                 digest.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays([cols["doc_id"], pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(docs, settings, []).select("doc_id", "text", "spans").mapInArrow(kernel, DIGEST_SCHEMA)
+    return _with_spans(docs, settings, []).select("doc_id", "text", "k2", "spans").mapInArrow(kernel, DIGEST_SCHEMA)
 
 
 def deduplicate(docs: DataFrame, settings: SubstringSettings = SubstringSettings()) -> DataFrame:
@@ -457,15 +467,15 @@ def deduplicate(docs: DataFrame, settings: SubstringSettings = SubstringSettings
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     packed = docs.select("doc_id", "text", F.struct(*rest).alias("_rest")) if rest else docs.select("doc_id", "text", F.lit(None).cast("string").alias("_rest"))
-    joined = _with_spans(packed, settings, ["_rest"]).select("doc_id", "text", "spans", "_rest")
+    joined = _with_spans(packed, settings, ["_rest"]).select("doc_id", "text", "k2", "spans", "_rest")
     kind = joined.schema["_rest"].dataType.simpleString()
 
     def kernel(batches):
         for batch in batches:
-            cols = {c: batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text", "spans", "_rest")}
+            cols = {c: batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text", "k2", "spans", "_rest")}
             out = []
-            for t, s in zip(cols["text"].to_pylist(), cols["spans"].to_pylist(), strict=True):
-                out.append(t if t is None or not s else cut_spans(t.encode("utf-8", "surrogatepass"), [(x["lo"], x["hi"]) for x in s])[0].decode("utf-8", "ignore"))
+            for t, s in zip(cols["text"].to_pylist(), own_spans(cols["k2"].to_pylist(), cols["spans"].to_pylist()), strict=True):
+                out.append(t if t is None or not s else cut_spans(t.encode("utf-8", "surrogatepass"), s)[0].decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([cols["doc_id"], pa.array(out, pa.string()), cols["_rest"]], ["doc_id", "text", "_rest"])
 
     done = joined.mapInArrow(kernel, f"doc_id bigint, text string, _rest {kind}")
