@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tallyfield.llm.anchors import find_anchors, repeated_anchors
 from tallyfield.llm.common import text_chunks, text_key
 from tallyfield.llm.fmindex import FmIndex, repeated_windows
-from tallyfield.llm.substrings import cut_spans, own_spans, spans_by_document
+from tallyfield.llm.substrings import cut_spans, located, own_spans, places_only, runs_of_ones, spans_by_document
 
 RUN_SCHEMA = "dest int, run bigint, strings binary, docs binary, places binary"
 #: Words whose hash a Python worker remembers.
@@ -31,11 +31,13 @@ CACHE_ENTRIES = 400_000
 @dataclass(frozen=True)
 class MatchSettings:
     """length: words of a repeated window (at most gram + 62); gram: words of an anchor (a power of two);
-    run_words: words of distinct stretches that a task sends together."""
+    run_words: words of distinct stretches that a task sends together; shards: indexes for each
+    shuffle partition, one of which is in memory at a time."""
 
     length: int = 35
     gram: int = 8
-    run_words: int = 3_000_000
+    run_words: int = 2_000_000
+    shards: int = 4
 
 
 class WordHasher:
@@ -163,7 +165,7 @@ def _runs_of(settings: MatchSettings, parts: int):
                     if number == len(shard):
                         shard.append(int(dest[j]))
                         held += b - a
-                    if held >= settings.run_words or len(where) >= 200_000:
+                    if held >= settings.run_words or len(where) >= 100_000:
                         yield flush()
         if where:
             yield flush()
@@ -230,17 +232,9 @@ def _spans(settings: MatchSettings):
                 where = np.frombuffer(p, np.int64).reshape(-1, 3)
                 of = np.zeros(int(where[:, 0].max()) + 1, np.uint64)
                 of[np.frombuffer(b"".join(n), np.uint32)] = np.frombuffer(b"".join(b), np.uint64)
-                flags = np.unpackbits(of[where[:, 0]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                row, j = np.nonzero(flags)
-                if not len(row):
-                    continue
-                doc, lo = where[row, 1], where[row, 2] + j
-                order = np.lexsort((lo, doc))
-                doc, lo = doc[order], lo[order]
-                new = np.append(True, (doc[1:] != doc[:-1]) | (lo[1:] > lo[:-1] + settings.length))
-                at = np.flatnonzero(new)
-                last = np.append(at[1:], len(doc)) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(keys[doc[at], 0]), pa.array(keys[doc[at], 1]), pa.array(lo[at]), pa.array(lo[last] + settings.length)], ["k1", "k2", "lo", "hi"])
+                flags = np.unpackbits(of.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                string, lo, hi = runs_of_ones(flags)
+                yield from located(where, string, lo, hi - 1 + settings.length, keys)
 
     return kernel
 
@@ -251,10 +245,11 @@ def repeated_word_spans(base: DataFrame, settings: MatchSettings) -> DataFrame:
     ``base`` has (k1, k2, text) and what else the caller needs; see ``substrings.repeated_spans``. A
     stretch that occurs very often is one entry of each run.
     """
-    parts = max(1, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(1, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = settings.shards * tasks
     grams = repeated_anchors(anchor_hashes(base.select("k1", "k2", "text"), settings))
     chosen = base.join(grams, "k1").sortWithinPartitions("k1", "k2")
-    exchanged = chosen.mapInArrow(_runs_of(settings, parts), RUN_SCHEMA).repartition(parts, "dest")
+    exchanged = chosen.mapInArrow(_runs_of(settings, parts), RUN_SCHEMA).repartition(tasks, "dest")
     # both readers take all columns and sort out rows themselves: a pushed filter would split the exchange in two
     verdicts = exchanged.sortWithinPartitions("dest", "run").mapInArrow(_searched(settings), "run bigint, numbers binary, bits binary")
     return spans_by_document(exchanged, verdicts, _spans(settings))

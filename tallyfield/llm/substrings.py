@@ -31,11 +31,13 @@ END = b"\xff"
 @dataclass(frozen=True)
 class SubstringSettings:
     """length: bytes of a repeated string; gram: bytes of an anchor (a power of two);
-    run_bytes: bytes of suffixes that a task sorts at once."""
+    run_bytes: bytes of suffixes that a task sorts at once; parts: merges for each shuffle
+    partition, one of which is in memory at a time."""
 
     length: int = 200
     gram: int = 32
     run_bytes: int = 8 << 20
+    parts: int = 3
 
 
 _BYTE = np.random.default_rng(41).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -224,7 +226,7 @@ def _runs_of(settings: SubstringSettings, parts: int):
                     where.append((number, len(keys) - 1, a))
                     if number == len(strings) - 1:
                         held += len(string)
-                    if held >= settings.run_bytes or len(where) >= 200_000:
+                    if held >= settings.run_bytes or len(where) >= 100_000:
                         yield flush()
         if where:
             yield flush()
@@ -338,6 +340,37 @@ def places_only(batches):
         yield pa.RecordBatch.from_arrays([some.column(some.schema.get_field_index(c)) for c in ("run", "docs", "places")], ["run", "docs", "places"])
 
 
+def runs_of_ones(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, begin, end) of every run of ones in the rows."""
+    edge = np.diff(np.pad(flags.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, begin = np.nonzero(edge == 1)
+    _, end = np.nonzero(edge == -1)
+    return row, begin, end
+
+
+def located(where: np.ndarray, string: np.ndarray, lo: np.ndarray, hi: np.ndarray, keys: np.ndarray, block: int = 20_000):
+    """Spans (string, lo, hi) at every place (string, document, offset), joined within a document,
+    as rows of (k1, k2, lo, hi). Places are taken in blocks, which bounds the memory."""
+    order = np.argsort(string, kind="stable")
+    string, lo, hi = string[order], lo[order], hi[order]
+    for at in range(0, len(where), block):
+        part = where[at : at + block]
+        begin, end = np.searchsorted(string, part[:, 0], "left"), np.searchsorted(string, part[:, 0], "right")
+        times = end - begin
+        if not times.sum():
+            continue
+        take = np.repeat(begin - np.cumsum(times) + times, times) + np.arange(times.sum())
+        doc, offset = np.repeat(part[:, 1], times), np.repeat(part[:, 2], times)
+        first, last = offset + lo[take], offset + hi[take]
+        order = np.lexsort((first, doc))
+        doc, first, last = doc[order], first[order], last[order]
+        # join what overlaps or touches within a document
+        reach = np.maximum.accumulate(last + doc * (1 << 40)) - doc * (1 << 40)
+        new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (first[1:] > reach[:-1])))
+        final = np.append(new[1:], len(doc)) - 1
+        yield pa.RecordBatch.from_arrays([pa.array(keys[doc[new], 0]), pa.array(keys[doc[new], 1]), pa.array(first[new]), pa.array(reach[final])], ["k1", "k2", "lo", "hi"])
+
+
 def _spans(settings: SubstringSettings):
     """Kernel: a run's verdicts and where its strings occur -> repeated spans of documents."""
     offsets = settings.length - settings.gram + 1
@@ -351,29 +384,9 @@ def _spans(settings: SubstringSettings):
                 where = np.frombuffer(p, np.int64).reshape(-1, 3)
                 number = np.frombuffer(b"".join(n), np.uint32).astype(np.int64)
                 repeat = np.unpackbits(np.frombuffer(b"".join(b), np.uint8).reshape(-1, width), axis=1)[:, :offsets].astype(bool)
-                row = np.full(int(where[:, 0].max()) + 1, -1)
-                row[number] = np.arange(len(number))
-                where = where[row[where[:, 0]] >= 0]
                 # spans of a string around its anchor: runs of offsets, from the farthest left on
-                flags = repeat[:, ::-1]
-                edge = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-                r0, c0 = np.nonzero(edge == 1)
-                r1, c1 = np.nonzero(edge == -1)
-                lo, hi = c0 - (offsets - 1), c1 - 1 - (offsets - 1) + settings.length
-                begin = np.searchsorted(r0, np.arange(len(number) + 1))
-                each = row[where[:, 0]]
-                times = begin[each + 1] - begin[each]
-                take = np.repeat(begin[each] - np.cumsum(times) + times, times) + np.arange(times.sum())
-                doc, anchor = np.repeat(where[:, 1], times), np.repeat(where[:, 2], times)
-                lo, hi = anchor + lo[take], anchor + hi[take]
-                order = np.lexsort((lo, doc))
-                doc, lo, hi = doc[order], lo[order], hi[order]
-                # join what overlaps or touches within a document
-                reach = np.maximum.accumulate(hi + doc * (1 << 40)) - doc * (1 << 40)
-                new = np.append(True, (doc[1:] != doc[:-1]) | (lo[1:] > reach[:-1]))
-                at = np.flatnonzero(new)
-                last = np.append(at[1:], len(doc)) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(keys[doc[at], 0]), pa.array(keys[doc[at], 1]), pa.array(lo[at]), pa.array(reach[last])], ["k1", "k2", "lo", "hi"])
+                row, lo, hi = runs_of_ones(repeat[:, ::-1])
+                yield from located(where, number[row], lo - (offsets - 1), hi - 1 - (offsets - 1) + settings.length, keys)
 
     return kernel
 
@@ -386,10 +399,11 @@ def repeated_spans(base: DataFrame, settings: SubstringSettings) -> DataFrame:
     texts again. A string that occurs very often is one entry of each run, so its task's work grows
     with the number of runs.
     """
-    parts = max(1, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(1, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = settings.parts * tasks
     grams = repeated_anchors(anchor_hashes(base.select("k1", "k2", "text"), settings))
     chosen = base.join(grams, "k1").sortWithinPartitions("k1", "k2")
-    exchanged = chosen.mapInArrow(_runs_of(settings, parts), RUN_SCHEMA).repartition(parts, "dest")
+    exchanged = chosen.mapInArrow(_runs_of(settings, parts), RUN_SCHEMA).repartition(tasks, "dest")
     # both readers take all columns and sort out rows themselves: a pushed filter would split the exchange in two
     verdicts = exchanged.sortWithinPartitions("dest", "run").mapInArrow(_merged(settings), "run bigint, numbers binary, bits binary")
     return spans_by_document(exchanged, verdicts, _spans(settings))
