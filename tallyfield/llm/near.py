@@ -35,10 +35,10 @@ class NearSettings:
 
     words: int = 4
     percent: int = 80
-    chunks: int = 12
-    chunk_size: int = 5
-    tile: int = 128
-    max_differing: int = 36
+    chunks: int = 14
+    chunk_size: int = 7
+    tile: int = 256
+    max_differing: int = 46
 
     @property
     def places(self) -> int:
