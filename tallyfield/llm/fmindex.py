@@ -29,9 +29,11 @@ class PackedBits:
 class FmIndex:
     """Index of sequences over symbols 1, 2, ...; matches never cross sequences."""
 
-    def __init__(self, sequences: np.ndarray, lengths: np.ndarray):
-        """``sequences`` lie side by side, ``lengths`` says how long each is."""
+    def __init__(self, sequences: np.ndarray, lengths: np.ndarray, counts: np.ndarray | None = None):
+        """``sequences`` lie side by side, ``lengths`` says how long each is, ``counts`` how often each
+        stands in the collection (once)."""
         n = len(lengths)
+        counts = np.ones(n, np.int64) if counts is None else counts
         ends = np.cumsum(lengths) + np.arange(n)  # places of the separators
         text = np.zeros(len(sequences) + n, np.int64)
         own = np.ones(len(text), bool)
@@ -42,6 +44,8 @@ class FmIndex:
         apart[ends] = np.arange(n)
         sa, _ = suffix_array(apart, np.zeros(len(apart), np.int8))
         bwt = text[sa - 1]
+        of = np.repeat(np.arange(n), lengths + 1)
+        self.weight = np.concatenate([[0], np.cumsum(counts[of[sa]])])
         self.symbols = int(text.max()) + 1 if len(text) else 1
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.symbols))])
         self.levels = []
@@ -59,6 +63,10 @@ class FmIndex:
             i = np.where(c >> bit & 1, zeros + r, i - r)
         return i
 
+    def count(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Occurrences in the collection of what the intervals stand for."""
+        return self.weight[hi] - self.weight[lo]
+
     def begin(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix intervals of single symbols."""
         return self.first[c], self.first[c + 1]
@@ -71,7 +79,7 @@ class FmIndex:
 
 
 def repeated_windows(index: FmIndex, sequences: np.ndarray, begins: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
-    """For each sequence, bit j is set if its ``width`` symbols from j on stand in the index twice or more.
+    """For each sequence, bit j is set if its ``width`` symbols from j on stand in the collection twice or more.
 
     Matching statistics by backward search: first of the whole sequence; where that fails, window by
     window from the left. A search that fails at a place rules out all windows from there back to
@@ -85,7 +93,7 @@ def repeated_windows(index: FmIndex, sequences: np.ndarray, begins: np.ndarray,
     stop = begins[live]
     lo, hi = index.begin(sequences[at])
     while len(live):
-        fine = hi - lo >= 2
+        fine = index.count(lo, hi) >= 2
         done = fine & (at == stop)
         whole = live[done]
         out[whole] = (np.uint64(1) << windows[whole].astype(np.uint64)) - np.uint64(1)
@@ -100,7 +108,7 @@ def repeated_windows(index: FmIndex, sequences: np.ndarray, begins: np.ndarray,
     lo, hi = index.begin(sequences[at])
     while len(live):
         place = at - begins[live]
-        fail = hi - lo < 2
+        fail = index.count(lo, hi) < 2
         hit = ~fail & (place == j)
         out[live[hit]] |= np.uint64(1) << j[hit].astype(np.uint64)
         fresh = fail | hit

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.llm.anchors import find_anchors, repeated_anchors
-from tallyfield.llm.common import text_chunks, text_key
+from tallyfield.llm.common import sliced, text_chunks, text_key
 from tallyfield.llm.fmindex import FmIndex, repeated_windows
 from tallyfield.llm.substrings import cut_spans, located, own_spans, places_only, runs_of_ones, spans_by_document
 
@@ -66,7 +66,7 @@ def anchor_hashes(keyed: DataFrame, settings: MatchSettings) -> DataFrame:
 
     def kernel(batches):
         hasher = WordHasher()
-        for batch in batches:
+        for batch in sliced(batches):
             k1 = batch.column(0).to_numpy(zero_copy_only=False)
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
             for lo, hi in text_chunks(texts):
@@ -139,7 +139,7 @@ def _runs_of(settings: MatchSettings, parts: int):
             d, r, s, k, p = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(d, pa.int32()), pa.array(r, pa.int64()), pa.array(s, pa.binary()), pa.array(k, pa.binary()), pa.array(p, pa.binary())], ["dest", "run", "strings", "docs", "places"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             k1, k2 = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("k1", "k2"))
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             grams = batch.column(batch.schema.get_field_index("grams"))
@@ -177,26 +177,34 @@ def _searched(settings: MatchSettings):
     """Kernel: the stretches of a shard -> which windows of which stretches repeat, by run."""
 
     def verdicts(received):
-        got = [unpack(blob) for _, blob in received]
-        words = np.concatenate([g[0] for g in got])
-        lengths = np.concatenate([g[1] for g in got])
-        counts = np.concatenate([g[2] for g in got])
-        begins = np.cumsum(lengths) - lengths
+        # equal stretches of different runs are one, that counts as often as they are together
+        known: dict[bytes, int] = {}
+        counts: list[int] = []
+        origin = []
+        for run, blob in received:
+            words, lengths, own_counts, numbers = unpack(blob)
+            raw, ends = words.tobytes(), np.cumsum(8 * lengths).tolist()
+            ids, at = [], 0
+            for end, c in zip(ends, own_counts.tolist(), strict=True):
+                i = known.setdefault(raw[at:end], len(known))
+                if i == len(counts):
+                    counts.append(0)
+                counts[i] += c
+                ids.append(i)
+                at = end
+            origin.append((run, np.array(ids), numbers))
+        words = np.frombuffer(b"".join(known), np.uint64)
+        lengths = np.array([len(k) // 8 for k in known])
+        known.clear()
         _, code = np.unique(words, return_inverse=True)
-        code = code + 1
-        index = FmIndex(code, lengths)
-        # a stretch that its own run has more than once repeats in all its windows
-        windows = (lengths - settings.length + 1).astype(np.uint64)
-        bits = np.where(counts > 1, (np.uint64(1) << windows) - np.uint64(1), np.uint64(0))
-        look = np.flatnonzero(counts == 1)
-        bits[look] = repeated_windows(index, code, begins[look], lengths[look], settings.length)
-        at = 0
-        for (run, _), g in zip(received, got, strict=True):
-            own = bits[at : at + len(g[1])]
-            at += len(g[1])
+        code += 1
+        index = FmIndex(code, lengths, np.array(counts))
+        bits = repeated_windows(index, code, np.cumsum(lengths) - lengths, lengths, settings.length)
+        for run, ids, numbers in origin:
+            own = bits[ids]
             some = np.flatnonzero(own)
             if len(some):
-                yield run, g[3][some].tobytes(), own[some].tobytes()
+                yield run, numbers[some].tobytes(), own[some].tobytes()
 
     def kernel(batches):
         part, received = None, []
@@ -207,7 +215,7 @@ def _searched(settings: MatchSettings):
                 run, numbers, bits = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), pa.array(numbers, pa.binary()), pa.array(bits, pa.binary())], ["run", "numbers", "bits"])
 
-        for batch in batches:
+        for batch in sliced(batches, 16):
             dest, run, blob = (batch.column(i).to_pylist() for i in range(3))
             for d, r, b in zip(dest, run, blob, strict=True):
                 if b is None:
@@ -225,7 +233,7 @@ def _spans(settings: MatchSettings):
     """Kernel: a run's verdicts and where its stretches occur -> repeated intervals of documents, in words."""
 
     def kernel(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             docs, places, numbers, bits = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("docs", "places", "numbers", "bits"))
             for d, p, n, b in zip(docs, places, numbers, bits, strict=True):
                 keys = np.frombuffer(d, np.int64).reshape(-1, 2)
@@ -265,7 +273,7 @@ def deduplicate_words(docs: DataFrame, settings: MatchSettings = MatchSettings()
     joined = base.join(repeated_word_spans(base, settings), "k1", "left").select("doc_id", "text", "k2", "spans")
 
     def kernel(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             cols = {c: batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text", "k2", "spans")}
             texts, spans = cols["text"].to_pylist(), own_spans(cols["k2"].to_pylist(), cols["spans"].to_pylist())
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
