@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import text_chunks, written
+from tallyfield.llm.common import sliced, text_chunks, written
 from tallyfield.llm.graph import connected_components
 
 SKETCH_SCHEMA = "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, sig binary"
@@ -119,7 +119,7 @@ def sketches(docs: DataFrame, settings: NearSettings) -> DataFrame:
 
     def kernel(batches):
         shingler = Shingler(settings.words)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             for lo, hi in text_chunks(texts):
                 sets = shingler.sets(texts[lo:hi])
@@ -136,24 +136,25 @@ def sketches(docs: DataFrame, settings: NearSettings) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(kernel, SKETCH_SCHEMA)
 
 
-def index_keys(reps: DataFrame, settings: NearSettings) -> DataFrame:
-    """(key, rep): for every chunk and place of it, the chunk without that place."""
+def index_keys(reps: DataFrame, settings: NearSettings, errors: int) -> DataFrame:
+    """(key, rep) for every chunk: the chunk itself, or with one error allowed, for every place of it
+    the chunk without that place."""
     n, size = settings.chunks, settings.chunk_size
 
     def kernel(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches, 1024):
             rep = batch.column(0).to_numpy(zero_copy_only=False)
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(rep), n, size).astype(np.int64)
-            keys = np.empty((len(rep), n, size), np.int64)
-            for gone in range(size):
-                packed = np.zeros((len(rep), n), np.int64)
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(rep), n, size).astype(np.uint64)
+            ways = range(size) if errors else [size]
+            keys = np.empty((len(rep), n, len(ways)), np.uint64)
+            for gone in ways:
+                packed = np.zeros((len(rep), n), np.uint64)
                 for i in range(size):
                     if i != gone:
-                        packed = packed << 8 | sig[:, :, i]
-                keys[:, :, gone] = packed | (np.arange(n) * size + gone) << (8 * (size - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(rep, n * size))], ["key", "rep"])
+                        packed = packed << np.uint64(8) | sig[:, :, i]
+                which = (np.arange(n) * (size + 1) + gone).astype(np.uint64) << np.uint64(56)
+                keys[:, :, gone if errors else 0] = packed ^ which
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(rep, n * len(ways)))], ["key", "rep"])
 
     return reps.select("rep", "sig").mapInArrow(kernel, "key bigint, rep bigint")
 
@@ -202,6 +203,22 @@ def candidate_edges(keys: DataFrame) -> DataFrame:
     return found.where("k is null").select("a", "b").unionByName(across.where("a <> b"))
 
 
+def candidate_groups(reps: DataFrame, settings: NearSettings) -> DataFrame:
+    """(node, component) of representatives that meet, in chunks without and then with one error.
+
+    Whole chunks come first; in the indexes with an error the groups they made stand for their
+    members, which leaves little to connect there.
+    """
+    first = written(connected_components(candidate_edges(index_keys(reps, settings, 0))), "meetings")
+    named = reps.join(first, reps.rep == first.node, "left").select("rep", "sig", F.coalesce("component", "rep").alias("group"))
+    named = written(named, "named")
+    keys = index_keys(named.select(F.col("group").alias("rep"), "sig"), settings, 1)
+    second = connected_components(candidate_edges(keys))
+    out = named.join(second, named.group == second.node, "left").select(F.col("rep").alias("node"), F.coalesce("component", "group").alias("component"))
+    # alone, and met by nobody: no group
+    return out.join(out.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component"), "component", "left_semi").select("node", "component")
+
+
 def _confirm(rows: list[tuple], settings: NearSettings) -> list[tuple[int, int]]:
     """Links of a tile as a spanning forest. rows: (node, side, set, signature); with two sides, pairs
     lie across. The most alike pairs come first; pairs already connected need no look."""
@@ -261,7 +278,7 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, reps: DataFrame, setting
     def sets_of(batches):
         shingler = Shingler(settings.words)
         names = ["component", "i", "j", "node", "side", "set", "sig"]
-        for batch in batches:
+        for batch in sliced(batches):
             cols = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("node", "component", "blocks", "block", "s1", "s2")}
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             for lo, hi in text_chunks(raw):
@@ -289,7 +306,7 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, reps: DataFrame, setting
 
     def links(batches):
         rows, key, out = [], None, []
-        for batch in batches:
+        for batch in sliced(batches):
             cols = [batch.column(i).to_pylist() for i in range(7)]
             for c, i, j, node, side, s, sig in zip(*cols, strict=True):
                 if (c, i, j) != key:
@@ -318,7 +335,7 @@ def near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings()) ->
     table = written(sketches(docs, settings), "sketches")
     usable = table.where("doc_id is not null and s1 is not null")
     reps = written(usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("sig").alias("sig")), "representatives")
-    groups = written(connected_components(candidate_edges(index_keys(reps, settings))), "groups")
+    groups = written(candidate_groups(reps, settings), "groups")
     links = confirmed_links(docs, groups, reps, settings)
     classes = connected_components(links)
     # classes that change a document's component: several documents, or a link to a smaller id
