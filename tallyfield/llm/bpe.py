@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import text_chunks
+from tallyfield.llm.common import sliced, text_chunks
 
 #: Pre-tokens and white-space pieces that a Python worker remembers; beyond that it starts afresh.
 CACHE_ENTRIES = 300_000
@@ -236,7 +236,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def kernel(batches):
         bpe = _loaded(vocabulary.value)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in text_chunks(texts):
                 packed, decoded = [], []
@@ -258,7 +258,7 @@ def encoding_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def kernel(batches):
         bpe = _loaded(vocabulary.value)
-        for batch in batches:
+        for batch in sliced(batches):
             counts, ids, decoded = [], [], []
             for t in batch.column(1).to_pylist():
                 parts = bpe.encode_parts(t or "")

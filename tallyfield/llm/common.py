@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Upper bound of the text bytes that a Python kernel turns into arrays at once.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,3 +63,26 @@ def text_chunks(texts, limit: int = CHUNK_BYTES):
         size += len(t)
     if lo < len(texts):
         yield lo, len(texts)
+
+
+@lru_cache(maxsize=1)
+def _trimmer():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        return None
+
+
+def release_memory() -> None:
+    """Hand memory that earlier work in this Python worker has freed back to the system."""
+    if trim := _trimmer():
+        trim(0)
+
+
+def sliced(batches, rows: int = 256):
+    """A kernel's Arrow batches in slices of few rows, so that few texts are Python objects at once."""
+    release_memory()
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+    release_memory()

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfield.llm.common import sliced
+
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
 UNDETERMINED = "und"
 
@@ -158,7 +160,7 @@ def predict_language(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
     block = 512
 
     def kernel(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             n = batch.num_rows
             ids = batch.column(0).to_pylist()
             pred, score = [UNDETERMINED] * n, [0.0] * n
@@ -209,7 +211,7 @@ def keep_determined(docs: DataFrame, model: ByteCnn | None, least: float = 0.4)
     settings = model.settings
 
     def kernel(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             keep = np.zeros(batch.num_rows, bool)
             for i, t in enumerate(batch.column(0).to_pylist()):
                 w = windows_of(t.encode("utf-8", "surrogatepass"), settings.window)
