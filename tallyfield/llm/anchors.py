@@ -70,7 +70,12 @@ def find_anchors(symbols: np.ndarray, bounds: np.ndarray, k: int, length: int):
     if not docs:
         none = np.zeros(0, np.int64)
         return none, none, none, none, np.zeros(0, np.uint64)
-    return tuple(map(np.concatenate, (docs, ats, firsts, lasts, hashes)))
+    # the smallest of many hashes are small: mixed again, they spread evenly
+    h = np.concatenate(hashes)
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(_ODD[1])
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(_ODD[4])
+    return (*map(np.concatenate, (docs, ats, firsts, lasts)), h ^ (h >> np.uint64(32)))
 
 
 def repeated_anchors(hashes: DataFrame) -> DataFrame:
