@@ -15,6 +15,7 @@ from tallyfield.llm.licenses import scan_licenses
 from tallyfield.llm.matching import deduplicate_words
 from tallyfield.llm.mixing import with_schedule
 from tallyfield.llm.near import near_duplicates
+from tallyfield.llm.oracle import oracle_sql  # noqa: F401  (part of this module's contract)
 from tallyfield.llm.quality import repetition_quality
 from tallyfield.llm.substrings import deduplicated_digests
 from tallyfield.llm.topk import top_k_search
@@ -37,7 +38,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(own).alias("text"))
-    return conversation_digests(rows.unionByName(extra), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return conversation_digests(rows.unionByName(extra), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("n_tokens")
 
 
 def op3_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,12 +71,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition_quality(read_table(spark, sf_dir, "documents"))
+    return repetition_quality(read_table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_fm_substring_dedup, op4_bpe_encode, op5_minhash_near_dedup, op6_source_mix, op7_topk_search, op8_license_scan, op9_suffix_dedup, op10_repetition_quality)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
