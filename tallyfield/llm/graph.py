@@ -15,7 +15,8 @@ def _with_minimum(edges: DataFrame, minimum: DataFrame) -> DataFrame:
     """edges (u, v) joined with (u, m); the edges of one u are spread by v."""
     left = edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
     right = minimum.withColumn("s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    return left.join(right, ["u", "s"])
+    # the explode is not part of Spark's size estimate, so a broadcast could be many times its limit
+    return left.join(right.hint("merge"), ["u", "s"])
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -267,7 +267,7 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, reps: DataFrame, setting
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     blocks = F.ceil(F.col("n") / settings.tile)
     spread = groups.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(8))).join(
-        sizes.select("component", blocks.alias("blocks"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))).alias("salt")), ["component", "salt"]
+        sizes.select("component", blocks.alias("blocks"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))).alias("salt")).hint("merge"), ["component", "salt"]
     )
     members = spread.select("node", "component", "blocks", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).alias("block"))
     wanted = members.join(reps.select(F.col("rep").alias("node"), "s1", "s2"), "node")
@@ -343,6 +343,6 @@ def near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings()) ->
     named = named.where("n > 1 or component <> rep").select("s1", "s2", "component", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))).alias("salt"))
     # one set may have a third of all rows: its rows meet its class in eight parts
     rows = table.drop("sig").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
-    joined = rows.join(named, ["s1", "s2", "salt"], "left")
+    joined = rows.join(named.hint("merge"), ["s1", "s2", "salt"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
