@@ -39,11 +39,11 @@ def sliding_minimum(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(v[:n], v[w - width : w - width + n])
 
 
-def find_anchors(symbols: np.ndarray, bounds: np.ndarray, k: int, length: int):
+def find_anchors(symbols: np.ndarray, bounds: np.ndarray, k: int, length: int, table: np.ndarray | None = None):
     """(document, anchor, first window start, last window start, hash of the anchor's k-gram).
 
-    ``symbols`` are 64-bit hashes of the symbols of documents that lie side by side; ``bounds`` has
-    where each begins, and the end. Windows lie inside one document. Places count from the
+    ``symbols`` are 64-bit hashes of the symbols of documents that lie side by side, or places in a
+    ``table`` of such hashes, which a block at a time looks up; ``bounds`` has where each begins, and the end. Windows lie inside one document. Places count from the
     first document's start.
     """
     docs, ats, firsts, lasts, hashes = [], [], [], [], []
@@ -51,6 +51,7 @@ def find_anchors(symbols: np.ndarray, bounds: np.ndarray, k: int, length: int):
     step = BLOCK
     for lo in range(0, max(total - length + 1, 0), step):
         part = symbols[lo : min(lo + step + length - 1, total)]
+        part = part if table is None else table[part]
         h = gram_hashes(part, k)
         v = (h >> _POSITION_BITS << _POSITION_BITS) | np.arange(len(h), dtype=np.uint64)
         at = (sliding_minimum(v, length - k + 1) & np.uint64((1 << 20) - 1)).astype(np.int64)

@@ -46,7 +46,7 @@ _BYTE = np.random.default_rng(41).integers(1, 1 << 63, 256, dtype=np.uint64) * n
 def _anchored(texts: list, settings: SubstringSettings):
     raw = np.frombuffer(b"".join(texts), np.uint8)
     bounds = np.cumsum([0, *map(len, texts)])
-    return bounds, find_anchors(_BYTE[raw], bounds, settings.gram, settings.length)
+    return bounds, find_anchors(raw, bounds, settings.gram, settings.length, _BYTE)
 
 
 def anchor_hashes(docs: DataFrame, settings: SubstringSettings) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(words: np.ndarray, doc: np.ndarray, keep_levels: bool = False) :
+def suffix_array(words: np.ndarray, doc: np.ndarray, keep_levels: bool = False):
     """Suffix array of ``words`` and, where wanted, the ranks by the first 1, 2, 4, ... words.
 
     ``doc`` is the non-decreasing document of each word; suffixes end with their document, and the
@@ -18,7 +18,8 @@ def suffix_array(words: np.ndarray, doc: np.ndarray, keep_levels: bool = False)
     _, rank, size = np.unique(doc.astype(np.int64) * (int(words.max()) + 1) + words, return_inverse=True, return_counts=True)
     # a rank is the number of smaller suffixes, so that a class keeps room for its members
     rank = (np.cumsum(size) - size)[rank]
-    levels, width = [rank], 1
+    small = np.int32 if n < 1 << 31 else np.int64
+    levels, width = [rank.astype(small)] if keep_levels else [], 1
     while True:
         left = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
         if not len(left):
@@ -34,7 +35,7 @@ def suffix_array(words: np.ndarray, doc: np.ndarray, keep_levels: bool = False)
         rank = rank.copy()
         rank[left[order]] = first + here - group
         if keep_levels:
-            levels.append(rank)
+            levels.append(rank.astype(small))
         width *= 2
     sa = np.empty(n, np.int64)
     sa[rank] = np.arange(n)
