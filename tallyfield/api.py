@@ -136,6 +136,71 @@ class Engine:
         (cov,) = self._risk("factor_cov")
         return R.correlation(cov) if correlation else cov.withColumn("covariance", F.col("covariance") * (252 if annualised else 1))
 
+    # model readers
+
+    def get_factor_returns(self, last_n: int | None = None) -> DataFrame:
+        """(date, factor, factor_return, t_stat, r2), the newest ``last_n`` dates if asked for."""
+        (f,) = self._risk("factor_returns")
+        if last_n is None:
+            return f
+        days = f.select("date").distinct().orderBy(F.desc("date")).limit(last_n)
+        return f.join(days, "date", "left_semi")
+
+    def get_cumulative_factor_returns(self) -> DataFrame:
+        (f,) = self._risk("factor_returns")
+        w = Window.partitionBy("factor").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+        return f.select("date", "factor", F.product(1 + F.col("factor_return")).over(w).alias("cumulative"))
+
+    def get_factor_significance(self) -> DataFrame:
+        """Mean t statistic and share of days above 2, by factor."""
+        return R.factor_summary(self.get_factor_returns()).select("factor", "avg_t", "avg_abs_t", "significant_pct")
+
+    def get_calibration_summary(self) -> DataFrame:
+        """One row: days, factors, first and last date, mean R squared."""
+        return self.get_factor_returns().agg(F.countDistinct("date").alias("days"), F.countDistinct("factor").alias("factors"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.avg("r2").alias("mean_r2"))
+
+    def get_stock_risk(self, ticker: str | None = None) -> DataFrame:
+        """Risk of one ticker or of all, the riskiest first."""
+        x, cov, idio = self._risk("latest_exposures", "factor_cov", "idio_var")
+        x = x.where(F.col("ticker") == ticker) if ticker else x
+        return R.stock_risk(x, cov, idio).orderBy(F.desc("total_vol"), "ticker")
+
+    def get_portfolio_factor_contributions(self, portfolio: str, date: str) -> DataFrame:
+        x, cov = self._risk("latest_exposures", "factor_cov")
+        return R.factor_contributions(self.weights_on(portfolio, date), x, cov)
+
+    def update_risk_model(self, settings: X.FactorSettings = X.FactorSettings(), **kwargs) -> DataFrame:
+        """Take in the dates that the price table has gained. States are closed forms over the dates, so a
+        calibration anew and an update are the same."""
+        return self.risk_calibration(settings=settings, **kwargs)
+
+    def _regime(self, *names: str) -> list[DataFrame]:
+        return list(load_model(self.spark, self.root, "regime", list(names)).values())
+
+    def get_regime_probabilities(self, last_n: int | None = None) -> DataFrame:
+        (b,) = self._regime("beliefs")
+        return b if last_n is None else b.join(b.select("date").distinct().orderBy(F.desc("date")).limit(last_n), "date", "left_semi")
+
+    def get_current_regime(self) -> DataFrame:
+        """The likeliest regime of the last date."""
+        last = self.get_regime_probabilities(1)
+        return last.groupBy("date").agg(F.max_by("regime", "probability").alias("regime"), F.max("probability").alias("probability"))
+
+    def get_transition_matrix(self) -> DataFrame:
+        return self._regime("transitions")[0]
+
+    def get_expected_dwell_times(self) -> DataFrame:
+        return self.get_transition_matrix().where("i = j").select(F.col("i").alias("regime"), (1 / F.nullif(1 - F.col("p"), F.lit(0.0))).alias("dwell_days"))
+
+    def get_regime_moments(self, regime: int) -> tuple[DataFrame, DataFrame]:
+        """(factor, mean) and (i, j, covariance) of the next day's returns in a regime."""
+        means, cov = self._regime("means", "covariances")
+        return means.where(F.col("regime") == regime).drop("regime"), cov.where(F.col("regime") == regime).drop("regime")
+
+    def update_regime_model(self, **kwargs) -> DataFrame:
+        """Walk all windows anew from empty templates, which gives the same identities every time."""
+        return self.regime_calibration(**kwargs)
+
     def weights_on(self, portfolio: str, date: str, lookback: int = 10) -> DataFrame:
         """(portfolio, ticker, weight) of the latest date with weights within ``lookback`` days."""
         rows = U.weighted(self._perf(portfolio, None, date)).where((F.col("date") >= F.date_sub(F.lit(date).cast("date"), lookback)) & F.col("w_mv").isNotNull())

@@ -99,7 +99,7 @@ def unroll_daily(snapshots: DataFrame) -> DataFrame:
     snapshot; an empty position isn't carried on."""
     w = Window.partitionBy(*POSITION).orderBy("date")
     last = snapshots.groupBy("portfolio").agg(F.max("date").alias("_last"))
-    out = snapshots.withColumn("_next", F.lead("date").over(w)).join(F.broadcast(last), "portfolio")  # one row a portfolio
+    out = snapshots.withColumn("_next", F.lead("date").over(w)).join(last, "portfolio")
     until = F.when(F.col("quantity") == 0, F.col("date")).otherwise(F.coalesce(F.date_sub("_next", 1), F.col("_last")))
     days = F.explode(F.sequence("date", until, F.expr("interval 1 day")))
     return out.select(*POSITION, days.alias("date"), "quantity")

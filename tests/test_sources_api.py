@@ -136,3 +136,14 @@ def test_risk_regime_and_construction_calls(engine):
     assert e.get_regime_summary().agg(F.sum("share_pct")).first()[0] == pytest.approx(100)
     w = e.construct_portfolio("P", str(days[-1]), target_n=10, max_weight=0.2)
     assert w.agg(F.sum("weight")).first()[0] == pytest.approx(1) and w.agg(F.max("weight")).first()[0] <= 0.2 + 1e-9
+    assert e.get_factor_returns(5).select("date").distinct().count() == 5
+    assert e.get_cumulative_factor_returns().count() == e.get_factor_returns().count()
+    assert e.get_calibration_summary().first().factors == 4 and e.get_factor_significance().count() == 4
+    assert e.get_stock_risk("T01").count() == 1 and e.get_stock_risk().count() == 12
+    assert e.get_portfolio_factor_contributions("P", str(days[-1])).agg(F.sum("variance")).first()[0] == pytest.approx(r.factor_var)
+    now = e.get_current_regime().first()
+    assert now.date == b.agg(F.max("date")).first()[0] and 0.3 < now.probability <= 1
+    n = e.get_transition_matrix().agg(F.max("i")).first()[0] + 1
+    assert e.get_expected_dwell_times().count() == n
+    means, cov = e.get_regime_moments(now.regime)
+    assert means.count() == 4 and cov.count() == 16
