@@ -220,23 +220,24 @@ def candidate_groups(reps: DataFrame, settings: NearSettings) -> DataFrame:
 
 
 def _confirm(rows: list[tuple], settings: NearSettings) -> list[tuple[int, int]]:
-    """Links of a tile as a spanning forest. rows: (node, side, set, signature); with two sides, pairs
-    lie across. The most alike pairs come first; pairs already connected need no look."""
-    node = [r[0] for r in rows]
-    sets = [r[2] for r in rows]
+    """Links of a tile, as few as connect what is linked. rows: (node, label, side, set, signature);
+    with two sides, pairs lie across. Equal labels are connected already. The most alike pairs come
+    first; pairs that are connected by then need no look."""
     n = len(rows)
+    sets = [r[3] for r in rows]
     size = np.array([len(s) for s in sets])
-    sig = np.stack([r[3] for r in rows])
-    side = np.array([r[1] for r in rows])
-    differ = (sig[:, None, :] != sig[None, :, :]).sum(axis=2) if n <= 512 else np.stack([(sig != s).sum(axis=1) for s in sig])
+    side = np.array([r[2] for r in rows])
+    sig = np.stack([r[4] for r in rows])
+    differ = np.stack([(sig != s).sum(axis=1) for s in sig])
     i, j = np.triu_indices(n, 1)
     ok = differ[i, j] <= settings.max_differing
     ok &= 100 * np.minimum(size[i], size[j]) >= settings.percent * np.maximum(size[i], size[j])
-    if len(set(side.tolist())) > 1:
+    if side.any() and not side.all():
         ok &= side[i] != side[j]
     i, j = i[ok], j[ok]
     order = np.argsort(differ[i, j], kind="stable")
-    parent = list(range(n))
+    first: dict[int, int] = {}
+    parent = [first.setdefault(r[1], k) for k, r in enumerate(rows)]
 
     def find(x):
         while parent[x] != x:
@@ -254,74 +255,100 @@ def _confirm(rows: list[tuple], settings: NearSettings) -> list[tuple[int, int]]
             common = int((both[1:] == both[:-1]).sum())
             if 100 * common >= settings.percent * (len(u) + len(v) - common):
                 parent[a] = b
-                out.append((node[x], node[y]))
+                out.append((rows[x][0], rows[y][0]))
     return out
 
 
-def confirmed_links(docs: DataFrame, groups: DataFrame, reps: DataFrame, settings: NearSettings) -> DataFrame:
-    """(a, b) of real links between the members of each candidate group.
+SET_SCHEMA = "component bigint, blocks bigint, block bigint, node bigint, s1 bigint, set binary, sig binary"
+TILE_COLUMNS = ("component", "i", "j", "node", "label", "side", "s1", "set", "sig")
 
-    A group of up to ``tile`` members is one tile. A larger one is cut into blocks of about that
-    size by a hash, and every pair of blocks is a tile, so no task holds more than two blocks.
-    """
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / settings.tile)
-    spread = groups.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(8))).join(
-        sizes.select("component", blocks.alias("blocks"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))).alias("salt")).hint("merge"), ["component", "salt"]
-    )
+
+def _member_sets(docs: DataFrame, groups: DataFrame, reps: DataFrame, settings: NearSettings) -> DataFrame:
+    """The groups' members with block, shingle set and signature; a group has a block for each
+    ``tile`` members, dealt by a hash."""
+    eight = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint")))
+    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / settings.tile).alias("blocks"))
+    # a group may have a third of all rows: its members meet its size in eight parts
+    spread = groups.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(8))).join(sizes.select("component", "blocks", eight.alias("salt")).hint("merge"), ["component", "salt"])
     members = spread.select("node", "component", "blocks", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).alias("block"))
     wanted = members.join(reps.select(F.col("rep").alias("node"), "s1", "s2"), "node")
     # a representative's text: any row of its id with its set; the set is computed anew below
     texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text"))
-    found = texts.join(wanted, "node")
 
-    def sets_of(batches):
+    def kernel(batches):
         shingler = Shingler(settings.words)
-        names = ["component", "i", "j", "node", "side", "set", "sig"]
         for batch in sliced(batches):
-            cols = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("node", "component", "blocks", "block", "s1", "s2")}
+            cols = {c: batch.column(batch.schema.get_field_index(c)) for c in ("node", "component", "blocks", "block", "s1", "s2")}
+            s1, s2 = cols["s1"].to_pylist(), cols["s2"].to_pylist()
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             for lo, hi in text_chunks(raw):
-                sets, rows = shingler.sets(raw[lo:hi]), []
-                for at, s in enumerate(sets, lo):
+                at, sets = [], []
+                for k, s in enumerate(shingler.sets(raw[lo:hi]), lo):
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    if len(s) == 0 or [int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8)] != [cols["s1"][at], cols["s2"][at]]:
-                        continue  # another text under the same id
-                    rows.append((at, s.tobytes(), signatures([s], settings.places)[0].tobytes()))
-                out = []
-                for at, s, sig in rows:
-                    own = cols["block"][at]
-                    for other in range(cols["blocks"][at]):
-                        i, j = min(own, other), max(own, other)
-                        out.append((cols["component"][at], i, j, cols["node"][at], int(own == j and i != j), s, sig))
-                        if len(out) >= 256:
-                            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=tile_schema)
-                            out = []
-                if out:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=tile_schema)
-
-    tile_schema = pa.schema([("component", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("node", pa.int64()), ("side", pa.int32()), ("set", pa.binary()), ("sig", pa.binary())])
-    tiles = found.mapInArrow(sets_of, "component bigint, i bigint, j bigint, node bigint, side int, set binary, sig binary")
-    tiles = tiles.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
-
-    def links(batches):
-        rows, key, out = [], None, []
+                    if len(s) and [int.from_bytes(digest[x : x + 8], "little", signed=True) for x in (0, 8)] == [s1[k], s2[k]]:
+                        at.append(k)  # else another text under the same id
+                        sets.append(s)
+                if at:
+                    sig = signatures(sets, settings.places)
+                    take = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([*(cols[c].take(take) for c in ("component", "blocks", "block", "node", "s1")), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], ["component", "blocks", "block", "node", "s1", "set", "sig"])
+
+    return texts.join(wanted, "node").mapInArrow(kernel, SET_SCHEMA)
+
+
+def _tile_links(tiles: DataFrame, settings: NearSettings) -> DataFrame:
+    """(a, b) of the links that the tiles' pairs have; a task holds one tile at a time."""
+
+    def kernel(batches):
+        rows, key, last = [], None, None
+
+        def close():
+            found = _confirm(rows, settings) if len(rows) > 1 else []
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
         for batch in sliced(batches):
-            cols = [batch.column(i).to_pylist() for i in range(7)]
-            for c, i, j, node, side, s, sig in zip(*cols, strict=True):
+            for c, i, j, node, label, side, s1, members, sig in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
                 if (c, i, j) != key:
-                    if len(rows) > 1:
-                        out += _confirm(rows, settings)
-                    rows, key = [], (c, i, j)
-                if not rows or rows[-1][0] != node:  # repeated rows of an id
-                    rows.append((node, side, np.frombuffer(s, np.uint64), np.frombuffer(sig, np.uint8)))
-        if len(rows) > 1:
-            out += _confirm(rows, settings)
-        if out:
-            a, b = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    yield from close()
+                    rows, key, last = [], (c, i, j), None
+                if (node, side, s1) != last:  # rows that repeat an id and its text are one
+                    rows.append((node, label, side, np.frombuffer(members, np.uint64), np.frombuffer(sig, np.uint8)))
+                    last = node, side, s1
+        yield from close()
+
+    ordered = tiles.select(*TILE_COLUMNS).repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node", "side", "s1")
+    return ordered.mapInArrow(kernel, "a bigint, b bigint")
 
-    return tiles.mapInArrow(links, "a bigint, b bigint")
+
+def confirmed_components(docs: DataFrame, groups: DataFrame, reps: DataFrame, settings: NearSettings) -> DataFrame:
+    """(node, component) of representatives with real links, from the pairs inside candidate groups.
+
+    First every block of a group is a tile of its own and meets the group's first block, which is
+    linear in the members and connects most of a large group. What isn't in the group's largest
+    component by then meets all blocks of the group. So every pair is looked at or known to be
+    connected, and no task holds more than two blocks.
+    """
+    sets = written(_member_sets(docs, groups, reps, settings), "sets")
+    zero = F.lit(0).cast("bigint")
+    with_first = F.when(F.col("block") == 0, F.sequence(zero, F.col("blocks") - 1)).otherwise(F.array(zero, F.col("block")))
+    # tile (i, j): block j meets block i, which is 0 or j itself
+    pairs = F.when(F.col("block") == 0, F.transform(with_first, lambda j: F.struct(zero.alias("i"), j.alias("j"), F.lit(0).alias("side")))).otherwise(
+        F.array(F.struct(F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side")), F.struct(zero.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side")))
+    )
+    tiles = sets.withColumn("t", F.explode(pairs)).withColumns({"i": F.col("t.i"), "j": F.col("t.j"), "side": F.col("t.side"), "label": F.col("node")})
+    near = written(connected_components(_tile_links(tiles, settings)), "near")
+    # the second round is for groups of several blocks
+    large = sets.where("blocks > 1").join(near.select("node", F.col("component").alias("c")), "node", "left").withColumn("label", F.coalesce("c", "node")).drop("c")
+    counts = large.groupBy("component", "label").agg(F.countDistinct("node").alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    counts = counts.where("most < all").select("component", "main", F.ceil((F.col("all") - F.col("most")) / settings.tile).alias("others"), F.explode(F.sequence(zero, F.lit(7).cast("bigint"))).alias("salt"))
+    large = large.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(8))).join(counts.hint("merge"), ["component", "salt"])
+    other = F.pmod(F.xxhash64("node", F.lit(6)), F.col("others"))
+    as_member = large.withColumn("i", F.explode(F.sequence(zero, F.col("others") - 1))).withColumns({"j": F.col("block"), "side": F.lit(0)})
+    as_other = large.where("label <> main").withColumn("j", F.explode(F.sequence(zero, F.col("blocks") - 1))).withColumns({"i": other, "side": F.lit(1)})
+    more = _tile_links(as_member.select(*TILE_COLUMNS).unionByName(as_other.select(*TILE_COLUMNS)), settings)
+    return connected_components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings()) -> DataFrame:
@@ -336,8 +363,7 @@ def near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings()) ->
     usable = table.where("doc_id is not null and s1 is not null")
     reps = written(usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("sig").alias("sig")), "representatives")
     groups = written(candidate_groups(reps, settings), "groups")
-    links = confirmed_links(docs, groups, reps, settings)
-    classes = connected_components(links)
+    classes = confirmed_components(docs, groups, reps, settings)
     # classes that change a document's component: several documents, or a link to a smaller id
     named = reps.select("s1", "s2", "rep", "n").join(classes, reps.rep == classes.node, "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"), "rep", "n")
     named = named.where("n > 1 or component <> rep").select("s1", "s2", "component", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))).alias("salt"))
