@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfield.llm.common import sliced, text_chunks, written
+
 #: Window starts looked at together; a longer document is cut there, with its windows kept whole.
 BLOCK = 1 << 19
 _POSITION_BITS = np.uint64(20)
@@ -79,30 +81,99 @@ def find_anchors(symbols: np.ndarray, bounds: np.ndarray, k: int, length: int, t
     return (*map(np.concatenate, (docs, ats, firsts, lasts)), h ^ (h >> np.uint64(32)))
 
 
-def repeated_anchors(hashes: DataFrame) -> DataFrame:
-    """(k1, grams): for each document key, the anchor hashes that occur more than once anywhere.
+#: Distinct hashes that a task counts before it sends them.
+COUNTED = 300_000
+FOUND_SCHEMA = "key bigint, h bigint, k1 bigint, n bigint"
 
-    ``hashes`` has (h, k1, twice), a row for each document and hash; ``twice`` if the document has it
-    more than once. Hashes that share a task's border count as repeated, which costs a look and
-    changes no result. A hash with very many rows streams through its task.
-    """
+
+def _rows(key, h, k1, n):
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (key, h, k1, n)], ["key", "h", "k1", "n"])
+
+
+def _counted(make_finder):
+    """Kernel: (k1, k2, text) -> a row (h, h, k1, n) for each hash that a task met, n times, first in
+    document k1; and where it met it more than once a row (k1, h, k1, 0) for each of the documents,
+    which need not be asked about again. So a very common hash is a few rows."""
 
     def kernel(batches):
-        before = None  # last row: hash, key, whether it was sent
+        find = make_finder()
+        seen: dict[int, list] = {}
+
+        def flush():
+            h = list(seen)
+            out = _rows(h, h, [v[0] for v in seen.values()], [v[1] for v in seen.values()])
+            seen.clear()
+            return out
+
+        for batch in sliced(batches):
+            k1 = batch.column(0).to_pylist()
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
+            for lo, hi in text_chunks(texts):
+                doc, h = find(texts[lo:hi])
+                known = set()
+                for d, x in zip(doc.tolist(), h.astype(np.int64).tolist(), strict=True):
+                    k = k1[lo + d]
+                    entry = seen.get(x)
+                    if entry is None:
+                        seen[x] = [k, 1]
+                    else:
+                        entry[1] += 1
+                        known.add((entry[0], x))
+                        known.add((k, x))
+                if known:
+                    k, x = zip(*known, strict=True)
+                    yield _rows(k, x, k, np.zeros(len(k), np.int64))
+                if len(seen) >= COUNTED:
+                    yield flush()
+        if seen:
+            yield flush()
+
+    return kernel
+
+
+def _repeated(hot: int):
+    """Kernel over rows ordered by hash: (k1, h) where a hash was met again, and (null, h) for hashes met
+    over ``hot`` times."""
+
+    def kernel(batches):
+        held = [np.zeros(0, np.int64)] * 3
+
+        def judged(h, k1, n):
+            new = np.append(True, h[1:] != h[:-1])
+            run = np.cumsum(new) - 1
+            total = np.bincount(run, weights=n).astype(np.int64)
+            keep = total[run] > 1
+            common = h[new][total > hot]
+            k = pa.concat_arrays([pa.array(k1[keep], pa.int64()), pa.nulls(len(common), pa.int64())])
+            return pa.RecordBatch.from_arrays([k, pa.array(np.concatenate([h[keep], common]), pa.int64())], ["k1", "h"])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            h, k1 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            keep = batch.column(2).to_numpy(zero_copy_only=False).copy()
-            same = h[1:] == h[:-1]
-            keep[1:] |= same
-            keep[:-1] |= same
-            if before is not None and before[0] == h[0]:
-                keep[0] = True
-                if not before[2]:
-                    yield pa.RecordBatch.from_arrays([pa.array([before[1]], pa.int64()), pa.array([before[0]], pa.int64())], ["k1", "h"])
-            before = int(h[-1]), int(k1[-1]), bool(keep[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(k1[keep]), pa.array(h[keep])], ["k1", "h"])
-
-    found = hashes.repartition("h").sortWithinPartitions("h").mapInArrow(kernel, "k1 bigint, h bigint")
-    return found.groupBy("k1").agg(F.collect_set("h").alias("grams"))
+            h, k1, n = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("h", "k1", "n"))
+            known = n == 0
+            if known.any():
+                yield pa.RecordBatch.from_arrays([pa.array(k1[known]), pa.array(h[known])], ["k1", "h"])
+            held = [np.concatenate([x, y[~known]]) for x, y in zip(held, (h, k1, n), strict=True)]
+            if len(held[0]):
+                # the last hash may go on in the next batch; it has a row for each task at most
+                cut = np.searchsorted(held[0], held[0][-1])
+                if cut:
+                    yield judged(*(x[:cut] for x in held))
+                    held = [x[cut:] for x in held]
+        if len(held[0]):
+            yield judged(*held)
+
+    return kernel
+
+
+def repeated_anchors(keyed: DataFrame, make_finder, hot: int) -> tuple[DataFrame, np.ndarray]:
+    """((k1, grams), hot): for each document key the anchor hashes that occur more than once
+    anywhere, and the hashes that occur over ``hot`` times.
+
+    ``keyed`` has (k1, k2, text); ``make_finder()`` gives a function from texts to (document, hash) of their
+    anchors. There is at most one hot hash for ``hot`` anchors of the corpus, which bounds what comes to
+    the driver.
+    """
+    counted = keyed.select("k1", "k2", "text").mapInArrow(_counted(make_finder), FOUND_SCHEMA)
+    found = written(counted.repartition("key").sortWithinPartitions("h").mapInArrow(_repeated(hot), "k1 bigint, h bigint"), "anchors")
+    common = np.sort(np.array([r[0] for r in found.where("k1 is null").select("h").distinct().collect()], np.int64))
+    return found.where("k1 is not null").groupBy("k1").agg(F.collect_set("h").alias("grams")), common

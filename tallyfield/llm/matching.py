@@ -32,12 +32,14 @@ CACHE_ENTRIES = 400_000
 class MatchSettings:
     """length: words of a repeated window (at most gram + 62); gram: words of an anchor (a power of two);
     run_words: words of distinct stretches that a task sends together; shards: indexes for each
-    shuffle partition, one of which is in memory at a time."""
+    shuffle partition, one of which is in memory at a time; hot: stretches around an anchor that occurs more
+    often than this are cut into windows, so that they spread over all shards."""
 
     length: int = 35
     gram: int = 8
     run_words: int = 2_000_000
     shards: int = 4
+    hot: int = 200_000
 
 
 class WordHasher:
@@ -61,25 +63,18 @@ class WordHasher:
         return np.array(flat, np.uint64), np.cumsum([0, *counts])
 
 
-def anchor_hashes(keyed: DataFrame, settings: MatchSettings) -> DataFrame:
-    """(h, k1, twice) of every document's anchors."""
-
-    def kernel(batches):
+def _finder(settings: MatchSettings):
+    def make():
         hasher = WordHasher()
-        for batch in sliced(batches):
-            k1 = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
-            for lo, hi in text_chunks(texts):
-                words, bounds = hasher.hashes(texts[lo:hi])
-                doc, _, _, _, h = find_anchors(words, bounds, settings.gram, settings.length)
-                if len(h):
-                    order = np.lexsort((h, doc))
-                    doc, h = doc[order], h[order]
-                    where = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])))
-                    count = np.diff(np.append(where, len(h)))
-                    yield pa.RecordBatch.from_arrays([pa.array(h[where].astype(np.int64)), pa.array(k1[lo:hi][doc[where]]), pa.array(count > 1)], ["h", "k1", "twice"])
 
-    return keyed.mapInArrow(kernel, "h bigint, k1 bigint, twice boolean")
+        def find(texts):
+            words, bounds = hasher.hashes(texts)
+            doc, _, _, _, h = find_anchors(words, bounds, settings.gram, settings.length)
+            return doc, h
+
+        return find
+
+    return make
 
 
 def pack(words: np.ndarray, lengths: np.ndarray, counts: np.ndarray, numbers: np.ndarray) -> bytes:
@@ -104,7 +99,7 @@ def unpack(blob: bytes):
     return known[code], lengths, counts, numbers
 
 
-def _runs_of(settings: MatchSettings, parts: int):
+def _runs_of(settings: MatchSettings, parts: int, hot: np.ndarray):
     """Kernel: texts with their repeated anchors -> distinct stretches by shard, and where they occur."""
 
     def kernel(batches):
@@ -152,6 +147,7 @@ def _runs_of(settings: MatchSettings, parts: int):
                     if edge[i] < edge[i + 1]:
                         keep[edge[i] : edge[i + 1]] = np.isin(h[edge[i] : edge[i + 1]].astype(np.int64), grams[lo + i].values.to_numpy(zero_copy_only=False))
                 dest = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                common = np.isin(h.astype(np.int64), hot) if len(hot) else None
                 raw, own = words.tobytes(), -1
                 for j in np.flatnonzero(keep).tolist():
                     d = int(doc[j])
@@ -159,12 +155,17 @@ def _runs_of(settings: MatchSettings, parts: int):
                         own = d
                         keys.append((k1[lo + d], k2[lo + d]))
                     a, b = int(first[j]), int(last[j]) + settings.length
-                    string = raw[8 * a : 8 * b]
-                    number = strings.setdefault(string, len(strings))
-                    where.append((number, len(keys) - 1, a - int(bounds[d])))
-                    if number == len(shard):
-                        shard.append(int(dest[j]))
-                        held += b - a
+                    if common is not None and common[j]:  # single windows, dealt by what they hold
+                        pieces = [(x, raw[8 * x : 8 * (x + settings.length)]) for x in range(a, b - settings.length + 1)]
+                        pieces = [(x, p, (xxhash.xxh64_intdigest(p) >> 32) * parts >> 32) for x, p in pieces]
+                    else:
+                        pieces = [(a, raw[8 * a : 8 * b], int(dest[j]))]
+                    for place, string, to in pieces:
+                        number = strings.setdefault(string, len(strings))
+                        where.append((number, len(keys) - 1, place - int(bounds[d])))
+                        if number == len(shard):
+                            shard.append(to)
+                            held += len(string) // 8
                     if held >= settings.run_words or len(where) >= 100_000:
                         yield flush()
         if where:
@@ -255,9 +256,9 @@ def repeated_word_spans(base: DataFrame, settings: MatchSettings) -> DataFrame:
     """
     tasks = max(1, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parts = settings.shards * tasks
-    grams = repeated_anchors(anchor_hashes(base.select("k1", "k2", "text"), settings))
+    grams, hot = repeated_anchors(base, _finder(settings), settings.hot)
     chosen = base.join(grams, "k1").sortWithinPartitions("k1", "k2")
-    exchanged = chosen.mapInArrow(_runs_of(settings, parts), RUN_SCHEMA).repartition(tasks, "dest")
+    exchanged = chosen.mapInArrow(_runs_of(settings, parts, hot), RUN_SCHEMA).repartition(tasks, "dest")
     # both readers take all columns and sort out rows themselves: a pushed filter would split the exchange in two
     verdicts = exchanged.sortWithinPartitions("dest", "run").mapInArrow(_searched(settings), "run bigint, numbers binary, bits binary")
     return spans_by_document(exchanged, verdicts, _spans(settings))

@@ -32,12 +32,14 @@ END = b"\xff"
 class SubstringSettings:
     """length: bytes of a repeated string; gram: bytes of an anchor (a power of two);
     run_bytes: bytes of suffixes that a task sorts at once; parts: merges for each shuffle
-    partition, one of which is in memory at a time."""
+    partition, one of which is in memory at a time; hot: strings around an anchor that occurs more often
+    than this are sorted window by window, so that they spread over all parts."""
 
     length: int = 200
     gram: int = 32
     run_bytes: int = 8 << 20
     parts: int = 3
+    hot: int = 200_000
 
 
 _BYTE = np.random.default_rng(41).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -49,24 +51,12 @@ def _anchored(texts: list, settings: SubstringSettings):
     return bounds, find_anchors(raw, bounds, settings.gram, settings.length, _BYTE)
 
 
-def anchor_hashes(docs: DataFrame, settings: SubstringSettings) -> DataFrame:
-    """(h, k1, twice) of every document's anchors."""
+def _finder(settings: SubstringSettings):
+    def find(texts):
+        _, (doc, _, _, _, h) = _anchored(texts, settings)
+        return doc, h
 
-    def kernel(batches):
-        for batch in sliced(batches):
-            k1 = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
-            for lo, hi in text_chunks(texts):
-                _, (doc, _, _, _, h) = _anchored(texts[lo:hi], settings)
-                if len(h):
-                    order = np.lexsort((h, doc))
-                    doc, h = doc[order], h[order]
-                    new = np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))
-                    where = np.flatnonzero(new)
-                    count = np.diff(np.append(where, len(h)))
-                    yield pa.RecordBatch.from_arrays([pa.array(h[where].astype(np.int64)), pa.array(k1[lo:hi][doc[where]]), pa.array(count > 1)], ["h", "k1", "twice"])
-
-    return docs.mapInArrow(kernel, "h bigint, k1 bigint, twice boolean")
+    return lambda: find
 
 
 def common_prefix(a: bytes, b: bytes, known: int) -> int:
@@ -167,7 +157,7 @@ def merge_runs(runs: list):
             node >>= 1
 
 
-def _runs_of(settings: SubstringSettings, parts: int):
+def _runs_of(settings: SubstringSettings, parts: int, hot: np.ndarray):
     """Kernel: texts with their repeated anchors -> sorted runs, and where their strings occur."""
 
     def kernel(batches):
@@ -206,7 +196,8 @@ def _runs_of(settings: SubstringSettings, parts: int):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             grams = batch.column(batch.schema.get_field_index("grams"))
             for lo, hi in text_chunks(texts):
-                bounds, (doc, at, first, _, h) = _anchored(texts[lo:hi], settings)
+                bounds, (doc, at, first, last, h) = _anchored(texts[lo:hi], settings)
+                common = np.isin(h.astype(np.int64), hot) if len(hot) else None
                 keep = np.zeros(len(h), bool)
                 edge = np.searchsorted(doc, np.arange(hi - lo + 1))
                 for i in range(hi - lo):
@@ -221,11 +212,17 @@ def _runs_of(settings: SubstringSettings, parts: int):
                         keys.append((k1[lo + d], k2[lo + d]))
                     text, a, s = texts[lo + d], int(at[j] - bounds[d]), int(first[j] - bounds[d])
                     right = text[a : a + settings.length]
-                    string = heads[HEAD * j : HEAD * j + HEAD] + right + END * (settings.length - len(right)) + text[s:a][::-1]
-                    number = strings.setdefault(string, len(strings))
-                    where.append((number, len(keys) - 1, a))
-                    if number == len(strings) - 1:
-                        held += len(string)
+                    if common is not None and common[j]:
+                        # windows with nothing to their left; a window's own hash leads it
+                        windows = [(x, text[x : x + settings.length]) for x in range(s, int(last[j] - bounds[d]) + 1)]
+                        parts_of = [(x, hashlib.blake2b(w, digest_size=HEAD).digest() + w) for x, w in windows]
+                    else:
+                        parts_of = [(a, heads[HEAD * j : HEAD * j + HEAD] + right + END * (settings.length - len(right)) + text[s:a][::-1])]
+                    for place, string in parts_of:
+                        number = strings.setdefault(string, len(strings))
+                        where.append((number, len(keys) - 1, place))
+                        if number == len(strings) - 1:
+                            held += len(string)
                     if held >= settings.run_bytes or len(where) >= 100_000:
                         yield flush()
         if where:
@@ -401,9 +398,9 @@ def repeated_spans(base: DataFrame, settings: SubstringSettings) -> DataFrame:
     """
     tasks = max(1, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parts = settings.parts * tasks
-    grams = repeated_anchors(anchor_hashes(base.select("k1", "k2", "text"), settings))
+    grams, hot = repeated_anchors(base, _finder(settings), settings.hot)
     chosen = base.join(grams, "k1").sortWithinPartitions("k1", "k2")
-    exchanged = chosen.mapInArrow(_runs_of(settings, parts), RUN_SCHEMA).repartition(tasks, "dest")
+    exchanged = chosen.mapInArrow(_runs_of(settings, parts, hot), RUN_SCHEMA).repartition(tasks, "dest")
     # both readers take all columns and sort out rows themselves: a pushed filter would split the exchange in two
     verdicts = exchanged.sortWithinPartitions("dest", "run").mapInArrow(_merged(settings), "run bigint, numbers binary, bits binary")
     return spans_by_document(exchanged, verdicts, _spans(settings))

@@ -85,7 +85,11 @@ def test_many_edited_copies_of_bytes(spark):
         texts += [(100 * g + k, "".join(edited(rng, base, "abcdé"))) for k in range(30)]
     texts += [(900 + k, "ab" * rng.randint(50, 400)) for k in range(3)] + [(950, "z" * 500)]
     df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(5)
-    assert rows(substrings.deduplicated_digests(df), *BYTE_COLUMNS) == plain_bytes(texts, 200)
+    want = plain_bytes(texts, 200)
+    assert rows(substrings.deduplicated_digests(df), *BYTE_COLUMNS) == want
+    # common anchors window by window; and runs of few strings
+    small = substrings.SubstringSettings(hot=12, run_bytes=20_000)
+    assert rows(substrings.deduplicated_digests(df, small), *BYTE_COLUMNS) == want
 
 
 def test_many_edited_copies_of_words(spark):
@@ -96,7 +100,10 @@ def test_many_edited_copies_of_words(spark):
         texts += [(100 * g + k, " ".join(edited(rng, base, ["new", "other"]))) for k in range(30)]
     texts += [(900 + k, "do re mi " * rng.randint(10, 60)) for k in range(3)]
     df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(5)
-    assert rows(matching.deduplicate_words(df), *WORD_COLUMNS) == plain_words(texts, 35)
+    want = plain_words(texts, 35)
+    assert rows(matching.deduplicate_words(df), *WORD_COLUMNS) == want
+    small = matching.MatchSettings(hot=12, run_words=5_000)
+    assert rows(matching.deduplicate_words(df, small), *WORD_COLUMNS) == want
 
 
 def test_deduplicated_table_keeps_its_columns(odd):
