@@ -7,16 +7,25 @@ from pyspark.sql import functions as F
 
 from tallyfield.llm.common import written
 
-#: A node's edges meet the node's minimum in so many parts, so that no hub fills one task.
+#: Parts in which the rows of a common value meet its one row on the other side.
 SALTS = 8
 
 
+def salted_join(rows: DataFrame, one: DataFrame, by: list[str], spread: str, how: str = "left") -> DataFrame:
+    """``rows`` with the columns of ``one``, which has one row for each value of ``by``.
+
+    A value may have a third of the rows, so they meet the other side in ``SALTS`` parts, by a hash of
+    the column ``spread``. The sides are merged: an explode isn't part of Spark's size estimate, and a
+    broadcast could be many times its limit.
+    """
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    right = one.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return left.join(right.hint("merge"), [*by, "_salt"], how).drop("_salt")
+
+
 def _with_minimum(edges: DataFrame, minimum: DataFrame) -> DataFrame:
-    """edges (u, v) joined with (u, m); the edges of one u are spread by v."""
-    left = edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
-    right = minimum.withColumn("s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    # the explode is not part of Spark's size estimate, so a broadcast could be many times its limit
-    return left.join(right.hint("merge"), ["u", "s"])
+    """edges (u, v) joined with (u, m)."""
+    return salted_join(edges, minimum, ["u"], "v", "inner")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.llm.common import sliced, text_chunks, written
-from tallyfield.llm.graph import connected_components
+from tallyfield.llm.graph import connected_components, salted_join
 
 SKETCH_SCHEMA = "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, sig binary"
 #: Words whose hash a Python worker remembers.
@@ -210,13 +210,13 @@ def candidate_groups(reps: DataFrame, settings: NearSettings) -> DataFrame:
     members, which leaves little to connect there.
     """
     first = written(connected_components(candidate_edges(index_keys(reps, settings, 0))), "meetings")
-    named = reps.join(first, reps.rep == first.node, "left").select("rep", "sig", F.coalesce("component", "rep").alias("group"))
-    named = written(named, "named")
+    named = reps.join(first, reps.rep == first.node, "left")
+    named = written(named.select("rep", "sig", F.coalesce("component", "rep").alias("group"), F.col("component").isNotNull().alias("met")), "named")
     keys = index_keys(named.select(F.col("group").alias("rep"), "sig"), settings, 1)
-    second = connected_components(candidate_edges(keys))
-    out = named.join(second, named.group == second.node, "left").select(F.col("rep").alias("node"), F.coalesce("component", "group").alias("component"))
-    # alone, and met by nobody: no group
-    return out.join(out.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component"), "component", "left_semi").select("node", "component")
+    second = connected_components(candidate_edges(keys)).select(F.col("node").alias("group"), "component")
+    out = salted_join(named.drop("sig"), second, ["group"], "rep")
+    # whoever is met by nobody is in no group
+    return out.where("met or component is not null").select(F.col("rep").alias("node"), F.coalesce("component", "group").alias("component"))
 
 
 def _confirm(rows: list[tuple], settings: NearSettings) -> list[tuple[int, int]]:
@@ -266,11 +266,8 @@ TILE_COLUMNS = ("component", "i", "j", "node", "label", "side", "s1", "set", "si
 def _member_sets(docs: DataFrame, groups: DataFrame, reps: DataFrame, settings: NearSettings) -> DataFrame:
     """The groups' members with block, shingle set and signature; a group has a block for each
     ``tile`` members, dealt by a hash."""
-    eight = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint")))
     sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / settings.tile).alias("blocks"))
-    # a group may have a third of all rows: its members meet its size in eight parts
-    spread = groups.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(8))).join(sizes.select("component", "blocks", eight.alias("salt")).hint("merge"), ["component", "salt"])
-    members = spread.select("node", "component", "blocks", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).alias("block"))
+    members = salted_join(groups, sizes, ["component"], "node", "inner").select("node", "component", "blocks", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).alias("block"))
     wanted = members.join(reps.select(F.col("rep").alias("node"), "s1", "s2"), "node")
     # a representative's text: any row of its id with its set; the set is computed anew below
     texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text"))
@@ -342,8 +339,8 @@ def confirmed_components(docs: DataFrame, groups: DataFrame, reps: DataFrame, se
     # the second round is for groups of several blocks
     large = sets.where("blocks > 1").join(near.select("node", F.col("component").alias("c")), "node", "left").withColumn("label", F.coalesce("c", "node")).drop("c")
     counts = large.groupBy("component", "label").agg(F.countDistinct("node").alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    counts = counts.where("most < all").select("component", "main", F.ceil((F.col("all") - F.col("most")) / settings.tile).alias("others"), F.explode(F.sequence(zero, F.lit(7).cast("bigint"))).alias("salt"))
-    large = large.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(8))).join(counts.hint("merge"), ["component", "salt"])
+    counts = counts.where("most < all").select("component", "main", F.ceil((F.col("all") - F.col("most")) / settings.tile).alias("others"))
+    large = salted_join(large, counts, ["component"], "node", "inner")
     other = F.pmod(F.xxhash64("node", F.lit(6)), F.col("others"))
     as_member = large.withColumn("i", F.explode(F.sequence(zero, F.col("others") - 1))).withColumns({"j": F.col("block"), "side": F.lit(0)})
     as_other = large.where("label <> main").withColumn("j", F.explode(F.sequence(zero, F.col("blocks") - 1))).withColumns({"i": other, "side": F.lit(1)})
@@ -366,9 +363,7 @@ def near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings()) ->
     classes = confirmed_components(docs, groups, reps, settings)
     # classes that change a document's component: several documents, or a link to a smaller id
     named = reps.select("s1", "s2", "rep", "n").join(classes, reps.rep == classes.node, "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"), "rep", "n")
-    named = named.where("n > 1 or component <> rep").select("s1", "s2", "component", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))).alias("salt"))
-    # one set may have a third of all rows: its rows meet its class in eight parts
-    rows = table.drop("sig").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
-    joined = rows.join(named.hint("merge"), ["s1", "s2", "salt"], "left")
+    named = named.where("n > 1 or component <> rep").select("s1", "s2", "component")
+    joined = salted_join(table.drop("sig"), named, ["s1", "s2"], "doc_id")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
