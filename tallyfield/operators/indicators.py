@@ -43,11 +43,11 @@ def spread(rows: DataFrame, keys: list[str], ret: str = "ret", local: str = "ret
     x = F.col(ret) - 1
     log = F.ln(F.when(F.col(ret) > 0, F.col(ret)).otherwise(1.0))
     below = F.when((F.col(ret) < 0) if compat else (x < 0), F.col(ret) if compat else x)
-    excess = F.avg(ret).over(e) - 0.01 if compat else (F.avg(x).over(e) - rf / periods) * (periods**0.5)
+    excess = (F.avg(ret).over(e) - 0.01) * (periods**0.5) if compat else (F.avg(x).over(e) - rf / periods) * (periods**0.5)
     out = {
         "std_dev": F.stddev_pop(x).over(e) * 100, "std_dev_lcl": F.stddev_pop(F.col(local) - 1).over(e) * 100,
         "mean_ret": F.avg(x).over(e) * 100, "skew": F.skewness(x).over(e),
-        "sharpe": ratio(excess, F.stddev_pop(x).over(e)), "downside": F.stddev_pop(below).over(e) * (periods**0.5) * 100,
+        "sharpe": ratio(excess, F.stddev_pop(x).over(e)), "downside": F.stddev_pop(below).over(e) * (periods**0.5),
     }
     for name, z in Z_EX_POST.items():
         out[f"var_{name}"] = (1 - F.exp(F.avg(log).over(e) - z * F.stddev_pop(log).over(e))) * 100
@@ -62,5 +62,5 @@ def tracking(rows: DataFrame, benchmark: DataFrame, keys: list[str], ret: str =
     both = rows.join(benchmark, "date")
     p, b = F.col(ret) - 1, F.col("bench_ret") - 1
     return both.groupBy(*keys).agg(
-        (F.stddev_pop(p - b) * (periods**0.5) * 100).alias("tracking_error"), ratio(F.covar_samp(p, b), F.var_samp(b)).alias("beta"), F.count(F.lit(1)).alias("n_days")
+        (F.stddev_pop(p - b) * (periods**0.5)).alias("tracking_error"), ratio(F.covar_samp(p, b), F.var_samp(b)).alias("beta"), F.count(F.lit(1)).alias("n_days")
     )

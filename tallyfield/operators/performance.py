@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 from tallyfield.functions.columns import carried
 from tallyfield.operators.positions import POSITION
 
-#: Security types whose market value counts as 0.
-FUTURES = ("Financial commodity future.", "Physical commodity future.", "Financial index future.", "Currency future.", "SINGLE STOCK FUTURE", "Interest rate future")
+#: Security types whose market values count as 0.
+FUTURES = (
+    "Currency future.",
+    "Financial commodity future.",
+    "Financial index future.",
+    "Generic currency future.",
+    "Generic index future.",
+    "Physical index future.",
+)
 
 
 def daily_performance(priced: DataFrame, by_day: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -50,7 +57,7 @@ def daily_performance(priced: DataFrame, by_day: DataFrame, start: str | None =
     rows = rows.withColumns({
         "mkt_value": F.col("mkt_value_lcl") * F.col("fx_rate"), "eod": F.col("eod_lcl") * F.col("fx_rate"),
         "income_pnl": F.col("income_pnl_lcl") * F.col("fx_rate"), "tx_pnl": F.col("tx_pnl_lcl") * F.col("fx_rate"),
-        "position_basis": F.col("bod"), "position_basis_lcl": F.col("bod_lcl"), "m2m_bod": F.col("bod"),
+        "position_basis": F.col("bod"), "position_basis_lcl": F.col("bod_lcl"), "m2m_bod": F.when(future, 0.0).otherwise(F.col("bod")),
         "pnl_lcl": F.col("eod_lcl") - F.col("bod_lcl") + F.col("tx_pnl_lcl"),
         "trb_lcl": F.when((F.col("bod_lcl") == 0) & (n > 0), F.col("_gross")).otherwise(F.col("bod_lcl")),
         "trb": F.when((F.col("bod") == 0) & (n > 0), F.col("_gross") * F.col("fx_rate")).otherwise(F.col("bod")),

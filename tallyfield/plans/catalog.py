@@ -41,7 +41,7 @@ def query(oracle: str | None = None):
 
 
 #: Amounts of money: too large for six digits after the point.
-MONEY = {"denom_trb", "denom_mv", "mkt_value", "mkt_value_lcl", "position_basis", "trb", "trb_lcl", "pnl", "pnl_lcl", "tx_pnl", "tx_pnl_lcl", "income_pnl", "income_pnl_lcl", "acc_pnl", "market_cap"}
+MONEY = {"denom_trb", "denom_mv", "mkt_value", "mkt_value_lcl", "m2m_bod", "position_basis", "trb", "trb_lcl", "pnl", "pnl_lcl", "tx_pnl", "tx_pnl_lcl", "income_pnl", "income_pnl_lcl", "acc_pnl", "market_cap"}
 
 
 def shown(df: DataFrame, keys: list, doubles: list[str], digits: int = 6) -> DataFrame:
@@ -184,10 +184,10 @@ def perf_fx_return(t: Tables) -> DataFrame:
     return shown(t.perf().where("ccy_ret <> 1"), KEY, ["fx_rate", "ccy_ret"])
 
 
-@query(sql(f"SELECT {both(KEY, ['mkt_value', 'mkt_value_lcl', 'pnl'])} FROM (SELECT * REPLACE (CASE WHEN c1 = 'S0' THEN 0 ELSE mkt_value END AS mkt_value, CASE WHEN c1 = 'S0' THEN 0 ELSE mkt_value_lcl END AS mkt_value_lcl) FROM perf)"))
+@query(sql(f"SELECT {both(KEY, ['mkt_value', 'mkt_value_lcl', 'm2m_bod', 'pnl'])} FROM (SELECT * REPLACE (CASE WHEN c1 = 'S0' THEN 0 ELSE mkt_value END AS mkt_value, CASE WHEN c1 = 'S0' THEN 0 ELSE mkt_value_lcl END AS mkt_value_lcl, CASE WHEN c1 = 'S0' THEN 0 ELSE m2m_bod END AS m2m_bod) FROM perf)"))
 def perf_futures_zero(t: Tables) -> DataFrame:
     kind = F.when(F.col("c1") == "S0", D.FUTURES[0]).otherwise("Common Stock")
-    return shown(D.daily_performance(t.priced().withColumn("security_type", kind), t.by_day()), KEY, ["mkt_value", "mkt_value_lcl", "pnl"])
+    return shown(D.daily_performance(t.priced().withColumn("security_type", kind), t.by_day()), KEY, ["mkt_value", "mkt_value_lcl", "m2m_bod", "pnl"])
 
 
 # --- weights, hierarchy, totals
@@ -305,12 +305,12 @@ def ind_var(t: Tables) -> DataFrame:
     return shown(I.spread(t.root(), ["portfolio"]), _PD, ["var_95", "var_99"], 5)
 
 
-@query(sql(f"SELECT {both(_PD, ['sharpe', 'downside'], 4)} FROM (SELECT portfolio, date, (AVG(x) OVER {_E} - 0.01 / 252) * sqrt(252.0) / NULLIF(stddev_pop(x) OVER {_E}, 0) AS sharpe, stddev_pop(CASE WHEN x < 0 THEN x END) OVER {_E} * sqrt(252.0) * 100 AS downside FROM xs)", _X))
+@query(sql(f"SELECT {both(_PD, ['sharpe', 'downside'], 4)} FROM (SELECT portfolio, date, (AVG(x) OVER {_E} - 0.01 / 252) * sqrt(252.0) / NULLIF(stddev_pop(x) OVER {_E}, 0) AS sharpe, stddev_pop(CASE WHEN x < 0 THEN x END) OVER {_E} * sqrt(252.0) AS downside FROM xs)", _X))
 def ind_sharpe_downside(t: Tables) -> DataFrame:
     return shown(I.spread(t.root(), ["portfolio"]), _PD, ["sharpe", "downside"], 4)
 
 
-@query(sql(f"SELECT ticker, {r('stddev_pop(p.ret - b.ret) * sqrt(252.0) * 100', 'tracking_error', 5)}, {r('covar_samp(p.ret - 1, b.ret - 1) / NULLIF(var_samp(b.ret - 1), 0)', 'beta', 5)}, COUNT(*) AS n_days FROM perf p JOIN root b ON b.date = p.date AND b.portfolio = 'O' WHERE p.portfolio = 'F' GROUP BY ticker"))
+@query(sql(f"SELECT ticker, {r('stddev_pop(p.ret - b.ret) * sqrt(252.0)', 'tracking_error', 5)}, {r('covar_samp(p.ret - 1, b.ret - 1) / NULLIF(var_samp(b.ret - 1), 0)', 'beta', 5)}, COUNT(*) AS n_days FROM perf p JOIN root b ON b.date = p.date AND b.portfolio = 'O' WHERE p.portfolio = 'F' GROUP BY ticker"))
 def ind_te_beta(t: Tables) -> DataFrame:
     bench = t.root().where("portfolio = 'O'").select("date", F.col("ret").alias("bench_ret"))
     return shown(I.tracking(t.perf().where("portfolio = 'F'"), bench, ["ticker"]), ["ticker", "n_days"], ["tracking_error", "beta"], 5)
