@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyfield.functions.columns import date_from, rounded
+from tallyfield.functions.columns import date_from, node_id, rounded
 from tallyfield.operators import attribution as A
 from tallyfield.operators import factors as X
 from tallyfield.operators import fundamentals as C
@@ -644,3 +644,91 @@ def construct_qp(t: Tables) -> DataFrame:
     before = t.model_weights().where("portfolio = '0'").select("ticker", "weight")
     return G.construct_portfolio(t.exposures(), t.model_cov(), t.model_idio(), _tilt(t), before, target_n=50, max_weight=0.1)
 
+
+
+# --- smaller operators
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS isin, CAST(o_orderdate AS DATE) AS transaction_date, CASE o_orderstatus WHEN 'F' THEN 'B' WHEN 'O' THEN 'S' ELSE o_orderstatus END AS buy_sell, o_totalprice AS price FROM orders""")
+def pos_map_transactions(t: Tables) -> DataFrame:
+    raw = t.read("orders").select(F.col("o_orderkey").cast("string").alias("Id"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("Day"), F.col("o_orderstatus").alias("Way"), F.col("o_totalprice").alias("Paid"))
+    return P.map_transactions(raw, {"Id": "isin", "Day": "transaction_date", "Way": "buy_sell", "Paid": "price", "None": "nothing"}, {"F": "B", "O": "S"}, "dd/MM/yyyy")
+
+
+@query(sql("SELECT portfolio, MAX(date) AS date FROM weighted WHERE w_mv IS NOT NULL AND date BETWEEN DATE '1998-03-01' - 10 AND DATE '1998-03-01' GROUP BY portfolio"))
+def scan_latest_valid_date(t: Tables) -> DataFrame:
+    target = F.lit("1998-03-01").cast("date")
+    return t.weighted().where(F.col("w_mv").isNotNull() & F.col("date").between(F.date_sub(target, 10), target)).groupBy("portfolio").agg(F.max("date").alias("date"))
+
+
+@query("""WITH f AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_linestatus = 'F'), o AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_linestatus = 'O')
+SELECT 'both' AS kind, l_partkey FROM (SELECT * FROM f INTERSECT SELECT * FROM o) UNION ALL SELECT 'only F', l_partkey FROM (SELECT * FROM f EXCEPT SELECT * FROM o)
+UNION ALL SELECT 'no order', p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey) UNION ALL SELECT 'returned', p_partkey FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')""")
+def set_operations(t: Tables) -> DataFrame:
+    line, part = t.read("lineitem"), t.read("part").select(F.col("p_partkey").alias("l_partkey"))
+    of = lambda s: line.where(F.col("l_linestatus") == s).select("l_partkey").distinct()
+    named = lambda kind, df: df.select(F.lit(kind).alias("kind"), "l_partkey")
+    out = named("both", of("F").intersect(of("O"))).unionByName(named("only F", of("F").subtract(of("O"))))
+    out = out.unionByName(named("no order", part.join(line.select("l_partkey"), "l_partkey", "left_anti")))
+    return out.unionByName(named("returned", part.join(line.where("l_returnflag = 'R'").select("l_partkey"), "l_partkey", "left_semi")))
+
+
+@query(sql(f"SELECT {both(['portfolio', 'date', 'ticker'], ['weight'])} FROM (SELECT portfolio, date, ticker, COALESCE(CASE WHEN abs(b) > 1e-12 THEN w_pos WHEN abs(m) > 1e-12 THEN w_mv / 100 ELSE 1.0 / n END, 0) AS weight FROM (SELECT *, SUM(w_pos) OVER d AS b, SUM(w_mv) OVER d AS m, COUNT(*) OVER d AS n FROM weighted WINDOW d AS (PARTITION BY portfolio, date)))"))
+def agg_resolved_weights(t: Tables) -> DataFrame:
+    return shown(R.resolved_weights(t.weighted()), ["portfolio", "date", "ticker"], ["weight"])
+
+
+@query(sql("SELECT portfolio, ticker, date, COALESCE(last_value(CASE WHEN month(date) % 2 = 0 THEN c1 END IGNORE NULLS) OVER (PARTITION BY portfolio, ticker ORDER BY date ROWS UNBOUNDED PRECEDING), 'Not Classified') AS c1, 'Not Classified' AS sector FROM perf"))
+def agg_classified(t: Tables) -> DataFrame:
+    rows = t.perf().withColumn("c1", F.when(F.month("date") % 2 == 0, F.col("c1")))
+    return U.classified(rows, ["c1", "sector"]).select("portfolio", "ticker", "date", "c1", "sector")
+
+
+@query(sql("SELECT date, CASE level WHEN 0 THEN '.[top]' WHEN 1 THEN '[' || c1 || '\\]' WHEN 2 THEN '[' || c1 || '\\' || c2 || ']' ELSE '[' || c1 || '\\' || c2 || ']\\' || ticker END AS node FROM all_nodes WHERE portfolio = 'F'"))
+def tree_node_ids(t: Tables) -> DataFrame:
+    w = t.weighted().where("portfolio = 'F'")
+    nodes = A.tree_nodes(U.rollup(w, CLASSES), w, CLASSES)
+    return nodes.select("date", node_id(F.col("level"), [F.col("c1"), F.col("c2")], F.col("ticker")).alias("node"))
+
+
+@query(sql(f"SELECT {both(['date', 'ticker'], ['ret', 'momentum'])} FROM (SELECT *, COUNT(*) OVER (PARTITION BY date) AS n FROM cross_section) WHERE n >= 20", _RET))
+def fac_previous_exposures(t: Tables) -> DataFrame:
+    rows = _cross_section(t).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("date"))).where("n >= 20")
+    return shown(rows, ["date", "ticker"], ["ret", "momentum"])
+
+
+@query(sql(f"SELECT factor, date, {r('product(1 + factor_return) OVER (PARTITION BY factor ORDER BY date)', 'cumulative')} FROM factor_returns"))
+def risk_cumulative_returns(t: Tables) -> DataFrame:
+    w = Window.partitionBy("factor").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return t.factor_returns().select("factor", "date", rounded(F.product(1 + F.col("factor_return")).over(w)).alias("cumulative"))
+
+
+@query(sql("SELECT regime, COUNT(*) AS days FROM (SELECT date, arg_max(regime, probability * 10 - regime) AS regime FROM bel GROUP BY date) GROUP BY regime", _BEL))
+def regime_days(t: Tables) -> DataFrame:
+    top = _beliefs(t).groupBy("date").agg(F.max_by("regime", F.col("probability") * 10 - F.col("regime")).alias("regime"))
+    return top.groupBy("regime").agg(F.count(F.lit(1)).alias("days"))
+
+
+@query(sql(f"SELECT {both(['ticker', 'date'], ['equity', 'cash'], 4)} FROM (SELECT ticker, date, arg_max(equity, period_end) AS equity, arg_max(cash_flow, period_end) AS cash FROM quarters GROUP BY ALL)"))
+def char_latest_values(t: Tables) -> DataFrame:
+    q = _quarters(t).withColumn("none", F.lit(None).cast("double"))
+    return shown(C.latest_values(q, {"equity": ["equity"], "cash": ["none", "cash_flow"]}), ["ticker", "date"], ["equity", "cash"], 4)
+
+
+@query(sql(f"SELECT d.ticker, d.date, {r('v.pe', 'pe', 5)} FROM customer_dates d LEFT JOIN (SELECT ticker, date, AVG(price) / NULLIF(SUM(eps), 0) AS pe FROM quarters WHERE quarter_no <= 4 GROUP BY ALL HAVING COUNT(*) >= 4) v ON v.ticker = d.ticker AND v.date = d.date"))
+def char_attach(t: Tables) -> DataFrame:
+    out = C.attach(t.customer_dates(), C.valuation_ratios(_quarters(t)), ["pe", "not there"])
+    return shown(out, ["ticker", "date"], ["pe"], 5)
+
+
+@query(sql(f"SELECT portfolio, factor, {r('beta', 'beta')}, {r('variance', 'variance', 9)} FROM (SELECT a.portfolio, a.factor, MAX(a.beta) AS beta, SUM(a.beta * c.covariance * b.beta) AS variance FROM beta a JOIN cov c ON c.i = a.factor JOIN beta b ON b.portfolio = a.portfolio AND b.factor = c.j GROUP BY ALL)", _BETA))
+def risk_factor_contributions(t: Tables) -> DataFrame:
+    out = R.factor_contributions(t.model_weights(), t.exposures(), t.model_cov())
+    return out.select("portfolio", "factor", rounded("beta").alias("beta"), rounded("variance", 9).alias("variance"))
+
+
+@query("SELECT 'f' || i AS factor, CASE WHEN i = 3 THEN 0 ELSE 0.25::DOUBLE END + 0.5 * ((i + 1) / 1024.0 - CASE WHEN i = 3 THEN 0 ELSE 0.25 END) AS mean FROM (SELECT unnest([0, 1, 2]) AS i) UNION ALL SELECT 'sector_x', 0.5 * 4 / 1024.0::DOUBLE")
+def regime_tilt(t: Tables) -> DataFrame:
+    name = F.when(F.col("factor") == "f3", "sector_x").otherwise(F.col("factor")).alias("factor")
+    regime = _tilt(t).select(name, "mean")
+    return G.shrunk_tilt(regime.select("factor", F.lit(0.25).alias("mean")), regime, 0.5)
