@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
-import os
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
@@ -20,16 +21,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="tallyfield-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is absent, as in local tests, a temporary folder is used.
+    Only where the setting is absent and all run in one process, as in tests, it is a temporary folder
+    that goes with the process.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "tallyfield-shared")
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        folder = _own_folder()
     return folder.rstrip("/")
 
 

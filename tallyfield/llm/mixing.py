@@ -13,7 +13,7 @@ import heapq
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,8 +56,8 @@ def edf_cycle(shares: dict) -> list[tuple]:
     return out
 
 
-def _order_hash(columns: list[str]) -> Column:
-    return F.md5(F.coalesce(F.col(columns[0]).cast("string"), F.lit("")))
+#: Columns of a place; an input column of such a name gives way to it.
+PLACE = ("mix_index", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position")
 
 
 def with_schedule(docs: DataFrame, weights: dict | None = None, settings: MixSettings = MixSettings()) -> DataFrame:
@@ -65,10 +65,17 @@ def with_schedule(docs: DataFrame, weights: dict | None = None, settings: MixSet
 
     Every row stays and has one place; a source that has run out leaves its slots empty. Null
     sources are a source of their own; null ids and repeated rows have places of their own; an
-    empty table stays empty; texts aren't read. Sources that ``weights`` doesn't name raise an error.
-    Numbering takes a hash bucket at a time, so that a source with a third of all rows is spread over
-    many tasks; only the counts of sources (at most ``max_sources``) come to the driver.
+    empty table stays empty; texts aren't read but to order rows that repeat an id. Sources that
+    ``weights`` doesn't name raise an error. Numbering takes a hash bucket at a time, so that a source with a
+    third of all rows is spread over many tasks; only the counts of sources (at most ``max_sources``) come to
+    the driver.
     """
+    own = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in PLACE]
+    return _placed(docs, weights, settings).select(*own, *PLACE)
+
+
+def _placed(docs: DataFrame, weights: dict | None, settings: MixSettings) -> DataFrame:
+    """Whole rows as ``_row``, with their places."""
     spark = docs.sparkSession
     sizes = {r[0]: r[1] for r in docs.groupBy("source").count().limit(settings.max_sources + 1).collect()}
     if len(sizes) > settings.max_sources:
@@ -83,12 +90,13 @@ def with_schedule(docs: DataFrame, weights: dict | None = None, settings: MixSet
     slots = spark.range(1).select(F.explode(F.from_json(F.lit(rows), "array<array<string>>")).alias("a")).select(
         F.col("a")[0].alias("_s"), *(F.col("a")[i + 1].cast("bigint").alias(n) for i, n in enumerate(("_share", "_j", "_release", "_deadline", "_slot")))
     )
-    keyed = docs.withColumn("_h", _order_hash(["doc_id"])).withColumn("_bucket", F.substring("_h", 1, 3))
+    again = F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("bigint")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "source", "doc_id", again.alias("_again"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_h"))
+    keyed = keyed.withColumn("_bucket", F.substring("_h", 1, 3))
     per_bucket = keyed.groupBy("source", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     up_to = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(F.col("source").alias("_s2"), F.col("_bucket").alias("_b2"), F.coalesce(F.sum("_n").over(up_to), F.lit(0)).alias("_before"))
-    ties = [F.col(c) for c in ("_h", "doc_id")] + ([F.xxhash64("text")] if "text" in docs.columns else [])
-    numbered = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy("source", "_bucket").orderBy(*ties)))
+    numbered = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy("source", "_bucket").orderBy("_h", "doc_id", "_again")))
     placed = numbered.join(offsets, F.col("source").eqNullSafe(F.col("_s2")) & (F.col("_bucket") == F.col("_b2")))
     index = (F.col("_before") + F.col("_rn") - 1).cast("bigint")
     placed = placed.withColumn("mix_index", index).withColumn("mix_block", F.floor(F.col("mix_index") / settings.block))
@@ -99,12 +107,11 @@ def with_schedule(docs: DataFrame, weights: dict | None = None, settings: MixSet
     placed = placed.join(F.broadcast(slots.drop("_share")), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_r") == F.col("_j")))
     base = F.col("_round") * F.lit(cycle)
     placed = placed.withColumns({"mix_release": base + F.col("_release"), "mix_deadline": base + F.col("_deadline"), "mix_slot": base + F.col("_slot")})
-    placed = placed.withColumn("mix_position", F.col("mix_slot") * settings.block + F.col("mix_index") % settings.block)
-    return placed.select(*docs.columns, "mix_index", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position")
+    return placed.withColumn("mix_position", F.col("mix_slot") * settings.block + F.col("mix_index") % settings.block)
 
 
 def mixed_order(docs: DataFrame, weights: dict | None = None, settings: MixSettings = MixSettings()) -> DataFrame:
     """``docs`` with the same columns and rows, ordered by place: reading the files in order gives the mix."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = with_schedule(docs, weights, settings)
-    return placed.repartitionByRange(parts, "mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+    placed = _placed(docs, weights, settings).select("_row", "mix_position")
+    return placed.repartitionByRange(parts, "mix_position").sortWithinPartitions("mix_position").select("_row.*")
