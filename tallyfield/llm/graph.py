@@ -28,22 +28,25 @@ def _with_minimum(edges: DataFrame, minimum: DataFrame) -> DataFrame:
     return salted_join(edges, minimum, ["u"], "v", "inner")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a centre, which has none itself."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("centre")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("centre")))
+    per_node = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("centre").alias("centre"))
+    return per_node.where("out > 1 or out = 1 and centre = 1").isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge between two nodes; component is the smallest node.
 
-    Each round is written to the shared folder; rounds end when the stars no longer change.
+    Each round is written to the shared folder; rounds end when all edges are stars around a
+    component's smallest node.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e, before = written(e, "edges"), None
-    while True:
+    e = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    while not _are_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = _with_minimum(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _with_minimum(large, least).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = written(small.where("u <> v").distinct(), "stars")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
