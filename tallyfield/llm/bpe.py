@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import sliced, text_chunks
+from tallyfield.llm.common import release_memory, sliced, text_chunks
 
 #: Pre-tokens and white-space pieces that a Python worker remembers; beyond that it starts afresh.
 CACHE_ENTRIES = 300_000
@@ -130,7 +130,7 @@ class WordBpe:
         while at and symbol not in self.step[at]:
             at = self.link[at]
         to = self.step[at].get(symbol, 0)
-        if len(self.moves) >= 4 * CACHE_ENTRIES:
+        if len(self.moves) >= 2 * CACHE_ENTRIES:
             self.moves.clear()
         self.moves[state << 9 | symbol] = to
         return to
@@ -154,7 +154,7 @@ class WordBpe:
                         continue
                     fits = pairs.get(before << 20 | token)
                     if fits is None:
-                        if len(pairs) >= 4 * CACHE_ENTRIES:
+                        if len(pairs) >= 2 * CACHE_ENTRIES:
                             pairs.clear()
                         fits = pairs[before << 20 | token] = self.compatible(before, token)
                     if not fits:
@@ -206,6 +206,11 @@ class WordBpe:
                 out += [known.get(p) or self.piece(p) for p in pieces]
         return out
 
+    def forget_pieces(self) -> None:
+        """Give up the pieces of a task's texts; words, moves and pairs serve the next task too."""
+        self.pieces.clear()
+        release_memory()
+
     def encode(self, text: str) -> list[int]:
         packed = b"".join(p[0] for p in self.encode_parts(text))
         return list(struct.unpack(f"<{len(packed) // 4}I", packed))
@@ -248,6 +253,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
                 sha = lambda values: pa.array([hashlib.sha256(v).hexdigest() for v in values], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(ends).astype(np.int64)), ids, sha(packed), sha(decoded)], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+        bpe.forget_pieces()
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(kernel, "doc_id bigint, n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
@@ -267,5 +273,6 @@ def encoding_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 ids.append(hashlib.sha256(packed).hexdigest())
                 decoded.append(hashlib.sha256(" ".join([p[1] for p in parts if p[0]]).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget_pieces()
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(kernel, DIGEST_SCHEMA)
