@@ -46,7 +46,7 @@ def find_anchors(symbols: np.ndarray, bounds: np.ndarray, k: int, length: int, t
 
     ``symbols`` are 64-bit hashes of the symbols of documents that lie side by side, or places in a
     ``table`` of such hashes, which a block at a time looks up; ``bounds`` has where each begins, and the end. Windows lie inside one document. Places count from the
-    first document's start.
+    first document's start. Every anchor is given once, also where its windows lie in two blocks.
     """
     docs, ats, firsts, lasts, hashes = [], [], [], [], []
     total = len(symbols)
@@ -73,12 +73,15 @@ def find_anchors(symbols: np.ndarray, bounds: np.ndarray, k: int, length: int, t
     if not docs:
         none = np.zeros(0, np.int64)
         return none, none, none, none, np.zeros(0, np.uint64)
+    doc, at, first, last, h = map(np.concatenate, (docs, ats, firsts, lasts, hashes))
+    # windows left and right of a block's border may share their anchor
+    new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])))
+    doc, at, first, last, h = doc[new], at[new], first[new], last[np.append(new[1:], len(last)) - 1], h[new]
     # the smallest of many hashes are small: mixed again, they spread evenly
-    h = np.concatenate(hashes)
     with np.errstate(over="ignore"):
         h = (h ^ (h >> np.uint64(31))) * np.uint64(_ODD[1])
         h = (h ^ (h >> np.uint64(27))) * np.uint64(_ODD[4])
-    return (*map(np.concatenate, (docs, ats, firsts, lasts)), h ^ (h >> np.uint64(32)))
+    return doc, at, first, last, h ^ (h >> np.uint64(32))
 
 
 #: Distinct hashes that a task counts before it sends them.

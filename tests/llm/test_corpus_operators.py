@@ -141,6 +141,26 @@ def test_anchors_cover_every_window_once(monkeypatch):
         assert all(b <= a <= f + 27 for f, a, b in zip(first, at, last, strict=True))
 
 
+def test_anchors_do_not_depend_on_blocks(monkeypatch):
+    rng = np.random.default_rng(15)
+    symbols = rng.integers(0, 1 << 62, 3000, dtype=np.uint64)
+    bounds = np.array([0, 10, 700, 700, 3000])
+    want = anchors.find_anchors(symbols, bounds, 8, 35)
+    for block in (5, 64, 257):
+        monkeypatch.setattr(anchors, "BLOCK", block)
+        for a, b in zip(anchors.find_anchors(symbols, bounds, 8, 35), want, strict=True):
+            assert a.tolist() == b.tolist()
+
+
+def test_bytes_of_a_text_longer_than_a_block(spark):
+    rng = random.Random(16)
+    long, shared = rng.randbytes(300_000).hex(), passage(17)
+    assert len(long) > anchors.BLOCK + 200
+    texts = [(1, long[:1000] + shared + long[1000:]), (2, passage(18) + shared)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    assert rows(substrings.deduplicated_digests(df), *BYTE_COLUMNS) == plain_bytes(texts, 200)
+
+
 def test_index_counts_against_plain_counts():
     rng = random.Random(9)
     for _ in range(150):
