@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 #: The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Label stem, keyword that gates the rules, how the name is written, versions.
+#: Label stem, keyword (a whole word of every spelling) that gates the rules, how the name is written, versions.
 FAMILIES = (
     ("apache", "apache", "apache(?: software)?(?: license)?", ("1 0", "1 1", "2 0")),
     ("mit", "mit", "mit(?: x11)? license", ()),
@@ -46,9 +46,9 @@ FAMILIES = (
     ("cc-by-nc-sa", "nc", "cc by nc sa", ("2 0", "2 5", "3 0", "4 0")),
     ("cc-by-nc-nd", "nc", "cc by nc nd", ("2 0", "2 5", "3 0", "4 0")),
     ("cc-by", "cc", "cc by", ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-sa", "sharealike", "creative commons attribution share ?alike", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc", "noncommercial", "creative commons attribution non ?commercial", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nd", "noderivatives", "creative commons attribution no ?deriv(?:ative)?s", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-sa", "attribution", "creative commons attribution share ?alike", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc", "attribution", "creative commons attribution non ?commercial", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nd", "attribution", "creative commons attribution no ?deriv(?:ative)?s", ("2 0", "2 5", "3 0", "4 0")),
     ("cc-by", "attribution", "creative commons attribution", ("1 0", "2 0", "2 5", "3 0", "4 0")),
     ("public-domain", "domain", "(?:the )?public domain", ()),
 )

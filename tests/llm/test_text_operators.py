@@ -164,6 +164,41 @@ def plain_scan(text, rules):
     return (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {d[0] for d in left})), score)
 
 
+def spellings(parsed):
+    """Texts that a rule's pattern accepts; of a class of characters the first, of repeats the fewest and one more."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            ways = [chr(arg)]
+        elif op == "IN":
+            ways = [chr(arg[0][1][0] if str(arg[0][0]) == "RANGE" else arg[0][1])]
+        elif op == "SUBPATTERN":
+            ways = spellings(arg[3])
+        elif op == "BRANCH":
+            ways = [w for branch in arg[1] for w in spellings(branch)]
+        elif op == "MAX_REPEAT":
+            ways = [w * n for n in sorted({arg[0], min(arg[0] + 1, arg[1])}) for w in spellings(arg[2])]
+        else:
+            assert op == "ASSERT", op
+            ways = [""]
+        out = [o + w for o in out for w in ways]
+    return out
+
+
+def test_gates_pass_every_spelling():
+    for r in licenses.signature_rules():
+        texts = spellings(re._parser.parse(r["re"]))
+        assert texts and all(re.fullmatch(r["re"][: -len("(?= )")], t) for t in texts)
+        assert all(f" {r['kw']} " in f"{t} " for t in texts), r
+
+
+def test_restricted_attributions_of_any_spelling(spark):
+    texts = {"Attribution-Non-Commercial 4.0": "cc-by-nc-4.0", "Attribution-Share-Alike 3.0": "cc-by-sa-3.0", "Attribution-NoDerivs 2.0": "cc-by-nd-2.0", "Attribution-No-Derivatives": "cc-by-nd", "Attribution-NonCommercial": "cc-by-nc"}
+    df = spark.createDataFrame([(i, f"Creative Commons {t}") for i, t in enumerate(texts)], "doc_id bigint, text string")
+    assert {r.doc_id: r.labels for r in licenses.scan_licenses(df).collect()} == dict(enumerate(texts.values()))
+
+
 def test_licenses_against_a_plain_scan(spark, odd, nothing, data):
     rules = licenses.signature_rules()
     assert len(rules) > 200
