@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallyfield.llm.bpe import encode_documents
 from tallyfield.llm.common import shared_folder
 from tallyfield.llm.language import keep_determined, train_language_model
-from tallyfield.llm.mixing import mixed_order
+from tallyfield.llm.mixing import mixed_order, with_schedule
 from tallyfield.llm.near import near_duplicates
 from tallyfield.llm.substrings import deduplicate
 
@@ -47,8 +47,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, in the order of the mix."""
-    return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Token ids of every document, with its place in the mix.
+
+    Files are read again in an order of Spark's choice, so the place is found again: it is a function of
+    the rows alone. Results ordered by mix_position hold every source's weight.
+    """
+    placed = with_schedule(docs.select("doc_id", "text", "source")).select("doc_id", "text", "mix_position")
+    return encode_documents(placed, public_tokenizers.path("word_bpe_49k.json"), ("mix_position",))
 
 
 STAGES = [("language_id", language), ("near_dedup", near_dedup), ("suffix_dedup", string_dedup), ("mixing", mix), ("bpe", tokens)]

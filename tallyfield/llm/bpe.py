@@ -230,11 +230,11 @@ def _tokenizer_bytes(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer_path: str, keep: tuple = ()) -> DataFrame:
     """doc_id, n_tokens, ids array<int>, the ids' digest and the decoded text's digest, for every whole
     text (null: empty, no ids).
 
-    Other columns are ignored, repeated rows give repeated results, an empty table no rows.
+    The columns of ``keep`` follow; others are ignored, repeated rows give repeated results, an empty table no rows.
     A map over the rows, in their order; memory is bounded by a chunk and the worker's caches.
     """
     vocabulary = _tokenizer_bytes(docs, tokenizer_path)
@@ -252,10 +252,12 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
                 sha = lambda values: pa.array([hashlib.sha256(v).hexdigest() for v in values], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(ends).astype(np.int64)), ids, sha(packed), sha(decoded)], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+                kept = [batch.column(2 + i).slice(lo, hi - lo) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(ends).astype(np.int64)), ids, sha(packed), sha(decoded), *kept], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256", *keep])
         bpe.forget_pieces()
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(kernel, "doc_id bigint, n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *keep).mapInArrow(kernel, f"doc_id bigint, n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string{more}")
 
 
 def encoding_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -51,6 +51,17 @@ def test_stages_do_their_work_and_keep_clean_rows(spark, odd, data, tmp_path):
     assert len(tokens) == len(after) and all(r.n_tokens == len(r.ids) for r in tokens)
 
 
+def test_tokens_have_their_places_in_the_mix(spark, data, tmp_path):
+    """Weights are roots of sizes: 256 and 64 documents, so a third of any prefix is from b while b lasts."""
+    docs = spark.createDataFrame([(i, f"text {i} " * (1 + i % 50), "b" if i % 5 == 0 else "a") for i in range(320)], "doc_id bigint, text string, source string")
+    corpus_pipeline.mix(spark, docs, data).write.parquet(f"{tmp_path}/mix")
+    out = corpus_pipeline.tokens(spark, spark.read.parquet(f"{tmp_path}/mix"), data)
+    ids = [r.doc_id for r in out.orderBy("mix_position").select("doc_id").collect()]
+    assert sorted(ids) == list(range(320))
+    for n in range(16, 193, 16):
+        assert abs(sum(i % 5 == 0 for i in ids[:n]) - n / 3) < 16
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
