@@ -2,16 +2,20 @@
 
 A source's documents, in a hashed order, form blocks. Block j of a source of weight w is released
 at slot floor(j / w) and due by slot ceil((j + 1) / w); earliest deadline first fills the slots.
-At every slot each source has then had less than one block more or less than its weight asks.
-Weights are whole shares of a cycle, so one cycle's schedule, a table of bounded size made from the
-weights alone, serves all cycles.
+At every slot each source has then had less than one block more or less than its share asks.
+Shares are whole slots of a cycle, so one cycle's schedule, a table of bounded size made from the
+weights alone, serves all cycles. Given weights whose exact cycle has at most ``max_cycle`` slots are
+their shares; others, and the sources' sizes to a power, are rounded to a cycle of about ``cycle``, and
+against such a weight the deviation grows with the slots (as in the SQL of op6).
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import math
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,12 +24,14 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class MixSettings:
     """block: documents of a block; cycle: slots of a cycle, about; temperature: where no weights
-    are given, they are the sources' sizes to this power; max_sources: bound of the table."""
+    are given, they are the sources' sizes to this power; max_sources: bound of the table; max_cycle: slots
+    of an exact cycle, at most."""
 
     block: int = 16
     cycle: int = 1000
     temperature: float = 0.5
     max_sources: int = 10_000
+    max_cycle: int = 20_000
 
 
 def cycle_shares(weights: dict, cycle: int) -> dict:
@@ -36,6 +42,18 @@ def cycle_shares(weights: dict, cycle: int) -> dict:
     return {s: max(1, round(cycle * w / total)) for s, w in weights.items()}
 
 
+def exact_shares(weights: dict, most: int) -> dict | None:
+    """Whole slots of the shortest cycle in which every source has just its weight, as written in
+    decimals; None if that cycle has over ``most`` slots."""
+    if not weights or min(weights.values()) <= 0:
+        raise ValueError("weights must be positive")
+    parts = {s: Fraction(str(w)) for s, w in weights.items()}
+    unit = math.lcm(*(p.denominator for p in parts.values()))
+    whole = {s: int(p * unit) for s, p in parts.items()}
+    shared = math.gcd(*whole.values())
+    return {s: n // shared for s, n in whole.items()} if sum(whole.values()) // shared <= most else None
+
+
 def edf_cycle(shares: dict) -> list[tuple]:
     """(source, block of the cycle, release, deadline, slot): earliest deadline first over one cycle."""
     cycle = sum(shares.values())
@@ -83,7 +101,8 @@ def _placed(docs: DataFrame, weights: dict | None, settings: MixSettings) -> Dat
     if weights is not None and (unknown := sizes.keys() - weights.keys()):
         raise ValueError(f"no weight for sources {sorted(map(str, unknown))[:5]}")
     given = weights or {s: n**settings.temperature for s, n in sizes.items()}
-    shares = cycle_shares(given, settings.cycle) if given else {}
+    exact = exact_shares(weights, settings.max_cycle) if weights else None
+    shares = exact or (cycle_shares(given, settings.cycle) if given else {})
     table = edf_cycle(shares) if shares else []
     cycle = sum(shares.values())
     rows = json.dumps([[s, shares[s], *rest] for s, *rest in table])
@@ -103,7 +122,7 @@ def _placed(docs: DataFrame, weights: dict | None, settings: MixSettings) -> Dat
     counts = F.broadcast(slots.select(F.col("_s").alias("_s3"), F.col("_share").alias("_k")).distinct())  # at most max_sources rows
     placed = placed.join(counts, F.col("source").eqNullSafe(F.col("_s3")))
     placed = placed.withColumn("_round", F.floor(F.col("mix_block") / F.col("_k"))).withColumn("_r", F.col("mix_block") - F.col("_round") * F.col("_k"))
-    # at most cycle + max_sources rows, made from the weights
+    # at most max_cycle, or cycle + max_sources, rows, made from the weights
     placed = placed.join(F.broadcast(slots.drop("_share")), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_r") == F.col("_j")))
     base = F.col("_round") * F.lit(cycle)
     placed = placed.withColumns({"mix_release": base + F.col("_release"), "mix_deadline": base + F.col("_deadline"), "mix_slot": base + F.col("_slot")})

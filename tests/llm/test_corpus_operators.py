@@ -279,6 +279,17 @@ def test_schedule_stays_within_a_block(weights):
         assert all(abs(had[k] - (slot + 1) * shares[k] / cycle) < 1 for k in shares)
 
 
+def test_given_weights_have_an_exact_cycle(spark):
+    many = {"hot": 0.5} | {f"s{i}": 0.0001 for i in range(5000)}
+    shares = mixing.exact_shares(many, 20_000)
+    assert shares["hot"] == 5000 and set(shares.values()) == {1, 5000}
+    assert mixing.exact_shares({"a": 1 / 3, "b": 2 / 3}, 20_000) == {"a": 1, "b": 2} and mixing.exact_shares({"a": 0.123457, "b": 0.876543}, 20_000) is None
+    df = spark.createDataFrame([(i, "a" if i < 1500 else "b") for i in range(1501)], "doc_id bigint, source string")
+    out = mixing.with_schedule(df, {"a": 1500, "b": 1}, mixing.MixSettings(block=1)).collect()
+    assert all(abs(r.mix_index - r.mix_slot * 1500 / 1501) < 1 for r in out if r.source == "a")
+    assert max(r.mix_deadline for r in out) == 1501
+
+
 def test_mix_gives_every_row_one_place(odd, nothing):
     out = mixing.with_schedule(odd, settings=mixing.MixSettings(block=2, cycle=10)).collect()
     assert len(out) == len(odd_texts()) and len({r.mix_position for r in out}) == len(out)
