@@ -66,7 +66,7 @@ class TopK:
             vm, vd = segment_statistics(x, level)
             # <q,v> = sum of means' products + at most the product of deviations, by Cauchy-Schwarz
             bound = qm @ vm.T + qd @ vd.T
-            alive &= bound * (1 + 1e-9) + 1e-6 >= self.least[:, None]
+            alive &= bound + 1e-9 * np.abs(bound) + 1e-6 >= self.least[:, None]
         for i in np.flatnonzero(alive.any(axis=1)):
             at = np.flatnonzero(alive[i])
             at = at[ids[at] != self.ids[i]]

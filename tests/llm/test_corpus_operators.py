@@ -345,3 +345,10 @@ def test_bounds_hold():
     for level in (1, 4, 16):
         (qm, qd), (vm, vd) = topk.segment_statistics(q, level), topk.segment_statistics(v, level)
         assert (qm @ vm.T + qd @ vd.T + 1e-9 >= q @ v.T).all()
+
+
+def test_ties_below_zero_go_to_the_smaller_id():
+    state = topk.TopK(np.array([1]), np.array([[1000.0]]), topk.SearchSettings(k=1))
+    for i in (5, 3, 4):
+        state.offer(np.array([i]), np.array([[-1000.0]]))
+    assert list(state.rows()) == [(1, 3, -1_000_000)]
