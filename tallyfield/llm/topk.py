@@ -122,7 +122,8 @@ def top_k_search(embeddings: DataFrame, queries, settings: SearchSettings = Sear
     ``queries`` is a condition on the rows; every other row is a candidate of a query. Ties go to
     the smaller vec_id, fewer than k candidates give fewer rows, vectors of another length than
     the query's take no part. Rows that repeat a vec_id stay separate candidates of other queries;
-    none is a candidate of its own id. Queries meet candidates in blocks (a stated query set
+    none is a candidate of its own id. Query rows that repeat a vec_id are ranked together, each with its
+    own copy of a neighbour, and leave k rows for the id, as in the SQL. Queries meet candidates in blocks (a stated query set
     against all rows), and each task keeps k rows per query of its block.
     """
     vectors = quantised(embeddings)

@@ -352,3 +352,10 @@ def test_ties_below_zero_go_to_the_smaller_id():
     for i in (5, 3, 4):
         state.offer(np.array([i]), np.array([[-1000.0]]))
     assert list(state.rows()) == [(1, 3, -1_000_000)]
+
+
+def test_repeated_queries_are_ranked_together(spark):
+    vectors = [(0, [1.0, 0.0]), (0, [1.0, 0.0])] + [(i, [float(i), 1.0]) for i in range(1, 20)]
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>")
+    out = topk.top_k_search(df, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in out] == [19, 19, 18, 18, 17, 17, 16, 16, 15, 15]
