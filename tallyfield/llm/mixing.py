@@ -1,135 +1,185 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame functions only.
 
-A source's documents, in a hashed order, form blocks. Block j of a source of weight w is released
-at slot floor(j / w) and due by slot ceil((j + 1) / w); earliest deadline first fills the slots.
-At every slot each source has then had less than one block more or less than its share asks.
-Shares are whole slots of a cycle, so one cycle's schedule, a table of bounded size made from the
-weights alone, serves all cycles. Given weights whose exact cycle has at most ``max_cycle`` slots are
-their shares; others, and the sources' sizes to a power, are rounded to a cycle of about ``cycle``, and
-against such a weight the deviation grows with the slots (as in the SQL of op6).
+A source's documents, in a hashed order, form quanta of half a block. Sources are the leaves of a
+binary tree; at a node with weights u and v, whose halves have shares p and q = 1 - p of the node's
+turns, quantum j of the first half is due at ceil((j + 1/2) / p), so it is half a quantum early, and
+earliest deadline first serves it in the turn before. Every other turn is the second half's, whose
+quantum j is then served at floor((j + 1/2) / q). So a quantum's slot is a product of whole-number
+divisions along the path from its leaf to the root: nothing is rounded to a cycle, no slot depends on
+the slots before it, and the schedule may be as long as the table.
+
+A half is at any turn at most half a quantum off its share of the node's turns, and a node passes on
+its own error in proportion: a leaf of weight w is off by at most (1 + the sum of w / W over its
+ancestors below the root) / 2 quanta. The tree keeps that sum under 2.4: sources lie in classes of
+weights within a factor of 2, a class is a balanced tree, and classes join from the lightest to the
+heaviest. That makes 1.7 quanta, less than one block of two quanta, against the weights themselves.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import math
 from dataclasses import dataclass
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Weights that are computed are whole multiples of 1 / UNIT: the root of a size n is under 1 / UNIT off, which over all
+#: of the source's quanta makes less than root(n) / 2**23 quanta.
+UNIT = 1 << 20
+#: Bits of the largest given weight.
+GIVEN_BITS = 58
+
 
 @dataclass(frozen=True)
 class MixSettings:
-    """block: documents of a block; cycle: slots of a cycle, about; temperature: where no weights
-    are given, they are the sources' sizes to this power; max_sources: bound of the table; max_cycle: slots
-    of an exact cycle, at most."""
+    """block: documents of a block, an even number; temperature: where no weights are given, they are the
+    sources' sizes to this power."""
 
     block: int = 16
-    cycle: int = 1000
     temperature: float = 0.5
-    max_sources: int = 10_000
-    max_cycle: int = 20_000
 
+    def __post_init__(self):
+        if self.block < 2 or self.block % 2:
+            raise ValueError("a block has two quanta of the same size")
 
-def cycle_shares(weights: dict, cycle: int) -> dict:
-    """Whole slots of a cycle for each source, at least one."""
-    total = sum(weights.values())
-    if not weights or min(weights.values()) <= 0:
-        raise ValueError("weights must be positive")
-    return {s: max(1, round(cycle * w / total)) for s, w in weights.items()}
+    @property
+    def quantum(self) -> int:
+        return self.block // 2
 
 
-def exact_shares(weights: dict, most: int) -> dict | None:
-    """Whole slots of the shortest cycle in which every source has just its weight, as written in
-    decimals; None if that cycle has over ``most`` slots."""
+def whole_weights(weights: dict) -> dict:
+    """Weights as whole numbers: exactly as they are written where that takes no more than ``GIVEN_BITS``
+    bits, else to so many bits of the largest one."""
     if not weights or min(weights.values()) <= 0:
         raise ValueError("weights must be positive")
     parts = {s: Fraction(str(w)) for s, w in weights.items()}
     unit = math.lcm(*(p.denominator for p in parts.values()))
     whole = {s: int(p * unit) for s, p in parts.items()}
-    shared = math.gcd(*whole.values())
-    return {s: n // shared for s, n in whole.items()} if sum(whole.values()) // shared <= most else None
-
-
-def edf_cycle(shares: dict) -> list[tuple]:
-    """(source, block of the cycle, release, deadline, slot): earliest deadline first over one cycle."""
-    cycle = sum(shares.values())
-    order = sorted(shares, key=lambda s: (s is None, str(s)))
-    rank = {s: i for i, s in enumerate(order)}
-    due = lambda s, j: -(-(j + 1) * cycle // shares[s])
-    waiting, ready, out = [(0, rank[s], 0) for s in order], [], []
-    heapq.heapify(waiting)
-    for slot in range(cycle):
-        while waiting and waiting[0][0] <= slot:
-            release, r, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (due(order[r], j), r, j, release))
-        deadline, r, j, release = heapq.heappop(ready)
-        s = order[r]
-        out.append((s, j, release, deadline, slot))
-        if j + 1 < shares[s]:
-            heapq.heappush(waiting, ((j + 1) * cycle // shares[s], r, j + 1))
-    return out
+    most = max(whole.values())
+    if most < 1 << GIVEN_BITS:
+        return whole
+    return {s: max(1, round(Fraction(k << GIVEN_BITS, most))) for s, k in whole.items()}
 
 
 #: Columns of a place; an input column of such a name gives way to it.
 PLACE = ("mix_index", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position")
+_WIDE = "decimal(38,0)"
+
+
+def _divided(a: Column, b: Column) -> Column:
+    """Whole part of a / b, for whole numbers of up to 38 digits."""
+    return F.call_function("div", a, b)
+
 
+def turn(path: Column, j: Column) -> Column:
+    """Slot of a leaf's quantum ``j``. ``path`` has a step (own weight, parent's weight, side) for each
+    node from the leaf up to the root's half; side 0 is the half that is half a quantum early."""
 
-def with_schedule(docs: DataFrame, weights: dict | None = None, settings: MixSettings = MixSettings()) -> DataFrame:
+    def step(m, s):
+        wide = _divided((2 * m.cast("decimal(20,0)") + 1) * s["parent"] - 1 + s["side"], 2 * s["own"])
+        # the same where all fits in 64 bits
+        parent, own = (s[c].cast("bigint") for c in ("parent", "own"))
+        short = _divided((2 * m + 1) * parent - 1 + s["side"], 2 * own)
+        return F.when((s["parent"] < 1 << 61) & (m < _divided(F.lit(1 << 61), parent)), short).otherwise(wide)
+
+    return F.aggregate(path, j.cast("bigint"), step)
+
+
+def source_paths(sources: DataFrame) -> DataFrame:
+    """``sources`` (source, k: whole weight) with path and total weight.
+
+    Windows over a class of weights order at most all sources; those over classes, of which there are
+    at most 63, have one row a class.
+    """
+    ranked = sources.withColumn("class", F.length(F.bin("k")))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy("source")) - 1)
+    per_class = ranked.groupBy("class").agg(F.sum(F.col("k").cast(_WIDE)).cast(_WIDE).alias("w"), F.length(F.bin(F.count(F.lit(1)) - 1)).alias("levels"))
+    lighter = Window.orderBy("class").rowsBetween(Window.unboundedPreceding, 0)
+    heavier = Window.orderBy("class").rowsBetween(1, Window.unboundedFollowing)
+    per_class = per_class.withColumn("u", F.sum("w").over(lighter).cast(_WIDE))
+    per_class = per_class.withColumns({"above": F.collect_list("u").over(heavier), "total": F.max("u").over(Window.orderBy("class").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    step = lambda own, parent, side: F.struct(own.cast(_WIDE).alias("own"), parent.cast(_WIDE).alias("parent"), side.cast("int").alias("side"))
+    chain = F.concat(F.array(F.col("u")), F.col("above"))
+    up = F.concat(F.array(step(F.col("w"), F.col("u"), F.lit(0))), F.transform("above", lambda u, i: step(F.element_at(chain, i + 1), u, F.lit(1))))
+    per_class = per_class.select("class", "levels", "total", up.alias("up"))
+    # nodes of a class: sources whose ranks agree above the lowest ``level`` bits
+    at = ranked.join(per_class.select("class", "levels"), "class").select("source", "k", "class", "rank", F.explode(F.sequence(F.lit(0), "levels")).alias("level"))
+    at = at.withColumn("node", F.expr("shiftright(rank, level)"))
+    at = at.withColumn("w", F.sum(F.col("k").cast(_WIDE)).over(Window.partitionBy("class", "level", "node")).cast(_WIDE))
+    nodes = at.groupBy("source", "class").agg(F.max("k").alias("k"), F.sort_array(F.collect_list(F.struct("level", "w", (F.col("node") % 2).alias("side")))).alias("n"))
+    inside = F.transform(F.slice("n", F.lit(2), F.size("n") - 1), lambda p, i: step(F.element_at("n", i + 1)["w"], p["w"], F.element_at("n", i + 1)["side"]))
+    out = nodes.join(per_class, "class").select("source", "k", "total", F.concat(inside, F.col("up")).alias("path"))
+    # where a node has one half only there is nothing to share
+    return out.withColumn("path", F.filter("path", lambda s: s["own"] < s["parent"]))
+
+
+def _given(docs: DataFrame, weights: dict) -> DataFrame:
+    rows = json.dumps([[s, k] for s, k in whole_weights(weights).items()])
+    return docs.sparkSession.range(1).select(F.explode(F.from_json(F.lit(rows), "array<array<string>>")).alias("a")).select(F.col("a")[0].alias("source"), F.col("a")[1].cast("bigint").alias("k"))
+
+
+def with_schedule(docs: DataFrame, weights: dict | DataFrame | None = None, settings: MixSettings = MixSettings()) -> DataFrame:
     """``docs`` with mix_index, mix_block, mix_release, mix_deadline, mix_slot and mix_position.
 
-    Every row stays and has one place; a source that has run out leaves its slots empty. Null
-    sources are a source of their own; null ids and repeated rows have places of their own; an
-    empty table stays empty; texts aren't read but to order rows that repeat an id. Sources that
-    ``weights`` doesn't name raise an error. Numbering takes a hash bucket at a time, so that a source with a
-    third of all rows is spread over many tasks; only the counts of sources (at most ``max_sources``) come to
-    the driver.
+    mix_index counts a source's documents; mix_slot is the turn of the document's quantum, between
+    mix_release = floor((j - 1) / w) and before mix_deadline = ceil((j + 2) / w) for quantum j of a source
+    of share w, as the deviation is under two quanta; mix_position orders all documents. ``weights`` is a
+    dictionary, or a table (source, weight) where sources are many. Every row stays and has one place; a
+    source that has run out leaves its slots empty. Null sources are a source of their own; null ids and
+    repeated rows have places of their own; an empty table stays empty; texts aren't read but to order rows
+    that repeat an id or have none. Sources that ``weights`` doesn't name raise an error. Numbering takes a hash
+    bucket at a time, so that a source with a third of all rows is spread over many tasks; nothing comes to the driver.
     """
     own = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in PLACE]
     return _placed(docs, weights, settings).select(*own, *PLACE)
 
 
-def _placed(docs: DataFrame, weights: dict | None, settings: MixSettings) -> DataFrame:
+def _placed(docs: DataFrame, weights, settings: MixSettings) -> DataFrame:
     """Whole rows as ``_row``, with their places."""
-    spark = docs.sparkSession
-    sizes = {r[0]: r[1] for r in docs.groupBy("source").count().limit(settings.max_sources + 1).collect()}
-    if len(sizes) > settings.max_sources:
-        raise ValueError(f"more than {settings.max_sources} sources")
-    if weights is not None and (unknown := sizes.keys() - weights.keys()):
-        raise ValueError(f"no weight for sources {sorted(map(str, unknown))[:5]}")
-    given = weights or {s: n**settings.temperature for s, n in sizes.items()}
-    exact = exact_shares(weights, settings.max_cycle) if weights else None
-    shares = exact or (cycle_shares(given, settings.cycle) if given else {})
-    table = edf_cycle(shares) if shares else []
-    cycle = sum(shares.values())
-    rows = json.dumps([[s, shares[s], *rest] for s, *rest in table])
-    slots = spark.range(1).select(F.explode(F.from_json(F.lit(rows), "array<array<string>>")).alias("a")).select(
-        F.col("a")[0].alias("_s"), *(F.col("a")[i + 1].cast("bigint").alias(n) for i, n in enumerate(("_share", "_j", "_release", "_deadline", "_slot")))
-    )
     again = F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("bigint")
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "source", "doc_id", again.alias("_again"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_h"))
+    # rows without an id go by their text
+    h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), again.cast("string"))))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "source", "doc_id", again.alias("_again"), h.alias("_h"))
     keyed = keyed.withColumn("_bucket", F.substring("_h", 1, 3))
     per_bucket = keyed.groupBy("source", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    sources = per_bucket.groupBy("source").agg(F.sum("_n").alias("n"))
+    if weights is None:
+        root = F.sqrt("n") if settings.temperature == 0.5 else F.pow(F.col("n").cast("double"), F.lit(settings.temperature))
+        sources = sources.select("source", F.greatest(F.floor(root * UNIT), F.lit(1)).cast("bigint").alias("k"))
+    else:
+        if isinstance(weights, dict):
+            named = _given(docs, weights)
+        else:
+            most = F.max("weight").over(Window.partitionBy(F.lit(1)))
+            unit = F.pow(F.lit(2.0), GIVEN_BITS - F.ceil(F.log2(most)))
+            named = weights.select("source", F.col("weight").cast("double").alias("weight")).withColumn("k", F.greatest(F.round(F.col("weight") * unit), F.lit(1)).cast("bigint")).select("source", "k")
+        # shares are of all given weights, also of sources that have no rows
+        there = sources.select(F.col("source").alias("_there"))
+        sources = named.join(there, F.col("source").eqNullSafe(F.col("_there")), "full_outer")
+        known = F.when(F.col("k").isNotNull(), F.col("k")).otherwise(F.raise_error(F.concat(F.lit("no weight for source "), F.coalesce("_there", F.lit("null")))).cast("bigint"))
+        sources = sources.select(F.coalesce("source", "_there").alias("source"), known.alias("k"))
+    paths = source_paths(sources).select(F.col("source").alias("_s"), F.col("k").cast(_WIDE).alias("_k"), F.col("total").alias("_total"), F.col("path").alias("_path"))
     up_to = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(F.col("source").alias("_s2"), F.col("_bucket").alias("_b2"), F.coalesce(F.sum("_n").over(up_to), F.lit(0)).alias("_before"))
+    offsets = per_bucket.select("source", F.col("_bucket").alias("_b2"), F.coalesce(F.sum("_n").over(up_to), F.lit(0)).alias("_before"))
+    # a source has at most 4,096 buckets, so its path meets few rows here and each bucket's rows get it with their offset
+    offsets = offsets.join(paths, F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias("_s2"), "_b2", "_before", "_k", "_total", "_path")
     numbered = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy("source", "_bucket").orderBy("_h", "doc_id", "_again")))
     placed = numbered.join(offsets, F.col("source").eqNullSafe(F.col("_s2")) & (F.col("_bucket") == F.col("_b2")))
-    index = (F.col("_before") + F.col("_rn") - 1).cast("bigint")
-    placed = placed.withColumn("mix_index", index).withColumn("mix_block", F.floor(F.col("mix_index") / settings.block))
-    counts = F.broadcast(slots.select(F.col("_s").alias("_s3"), F.col("_share").alias("_k")).distinct())  # at most max_sources rows
-    placed = placed.join(counts, F.col("source").eqNullSafe(F.col("_s3")))
-    placed = placed.withColumn("_round", F.floor(F.col("mix_block") / F.col("_k"))).withColumn("_r", F.col("mix_block") - F.col("_round") * F.col("_k"))
-    # at most max_cycle, or cycle + max_sources, rows, made from the weights
-    placed = placed.join(F.broadcast(slots.drop("_share")), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_r") == F.col("_j")))
-    base = F.col("_round") * F.lit(cycle)
-    placed = placed.withColumns({"mix_release": base + F.col("_release"), "mix_deadline": base + F.col("_deadline"), "mix_slot": base + F.col("_slot")})
-    return placed.withColumn("mix_position", F.col("mix_slot") * settings.block + F.col("mix_index") % settings.block)
-
-
-def mixed_order(docs: DataFrame, weights: dict | None = None, settings: MixSettings = MixSettings()) -> DataFrame:
+    size = settings.quantum
+    placed = placed.withColumn("mix_index", (F.col("_before") + F.col("_rn") - 1).cast("bigint"))
+    placed = placed.withColumns({"mix_block": F.floor(F.col("mix_index") / settings.block), "_j": F.floor(F.col("mix_index") / size)})
+    j = F.col("_j").cast("decimal(20,0)")
+    placed = placed.withColumns({
+        "mix_release": F.when(F.col("_j") == 0, F.lit(0).cast("bigint")).otherwise(_divided((j - 1) * F.col("_total"), F.col("_k"))),
+        "mix_deadline": _divided((j + 2) * F.col("_total") + F.col("_k") - 1, F.col("_k")),
+        "mix_slot": turn(F.col("_path"), F.col("_j")),
+    })
+    return placed.withColumn("mix_position", F.col("mix_slot") * size + F.col("mix_index") % size)
+
+
+def mixed_order(docs: DataFrame, weights: dict | DataFrame | None = None, settings: MixSettings = MixSettings()) -> DataFrame:
     """``docs`` with the same columns and rows, ordered by place: reading the files in order gives the mix."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = _placed(docs, weights, settings).select("_row", "mix_position")

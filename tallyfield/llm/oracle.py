@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyfield.llm.mixing import MixSettings
+from tallyfield.llm.mixing import UNIT, MixSettings
 from tallyfield.llm.near import NearSettings
 from tallyfield.llm.quality import RepeatLimits
 
@@ -41,19 +41,24 @@ comp AS (SELECT a AS doc_id, MIN(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, COALESCE(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM comp LEFT JOIN size USING (doc_id)"""
 
 _M = MixSettings()
+# The tree is walked from the root: turn m of a node is the first half's if the half's rounded share of the turns grows there.
 OP6 = f"""
-WITH RECURSIVE size AS (SELECT source, COUNT(*) AS n, sqrt(COUNT(*)) AS w FROM documents GROUP BY source),
-share AS (SELECT source, CAST(greatest(1, round({_M.cycle} * w / (SELECT SUM(w) FROM size))) AS BIGINT) AS k FROM size),
-one AS (SELECT list(source ORDER BY source) AS s, list(k ORDER BY source) AS k, SUM(k)::BIGINT AS q FROM share),
-step AS (SELECT 0::BIGINT AS t, list_transform(k, lambda x: 0::BIGINT) AS js, 0::BIGINT AS pick FROM one
-  UNION ALL SELECT t + 1, list_transform(range(1, len(k) + 1), lambda i: js[i] + CASE WHEN i = p THEN 1 ELSE 0 END), p FROM (
-    SELECT t, js, k, list_sort(list_transform(list_filter(range(1, len(k) + 1), lambda i: js[i] < k[i] AND js[i] * q // k[i] <= t), lambda i: [((js[i] + 1) * q + k[i] - 1) // k[i], i]))[1][2] AS p
-    FROM step, one WHERE t < q)),
-slots AS (SELECT s[pick] AS source, js[pick] - 1 AS j, t - 1 AS slot, (js[pick] - 1) * q // k[pick] AS r, (js[pick] * q + k[pick] - 1) // k[pick] AS dl FROM step, one WHERE t > 0),
+WITH RECURSIVE src AS (SELECT source, COUNT(*) AS n, CAST(floor(sqrt(COUNT(*)) * {UNIT}) AS BIGINT) AS k FROM documents GROUP BY source),
+ranked AS (SELECT *, length(bin(k)) AS c, row_number() OVER (PARTITION BY length(bin(k)) ORDER BY source NULLS FIRST) - 1 AS r FROM src),
+node AS (SELECT c, l, r >> l AS b, CAST(SUM(k) AS HUGEINT) AS w FROM ranked, (SELECT unnest(range(0, 40)) AS l) GROUP BY ALL),
+class AS (SELECT c, MAX(w) AS w, MIN(l) FILTER (w = top) AS l FROM (SELECT *, MAX(w) OVER (PARTITION BY c) AS top FROM node) GROUP BY c),
+spine AS (SELECT 's' || c AS id, 'n' || c || '_' || l || '_0' AS a, w AS wa, 's' || lag(c) OVER o AS b, CAST(COALESCE(SUM(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS HUGEINT) AS wb FROM class WINDOW o AS (ORDER BY c)),
+half AS (SELECT id, a, wa, b, wb FROM spine UNION ALL SELECT 'n' || p.c || '_' || p.l || '_' || p.b, 'n' || x.c || '_' || x.l || '_' || x.b, x.w, 'n' || y.c || '_' || y.l || '_' || y.b, COALESCE(y.w, 0)
+  FROM node p JOIN node x ON x.c = p.c AND x.l = p.l - 1 AND x.b = 2 * p.b LEFT JOIN node y ON y.c = p.c AND y.l = p.l - 1 AND y.b = 2 * p.b + 1),
+tot AS (SELECT CAST(SUM(k) AS HUGEINT) AS k, (SELECT 's' || MAX(c) FROM class) AS root FROM src),
+walk AS (SELECT CAST(unnest(range(0, (SELECT CAST(MAX((n // {_M.quantum} + 3) * t.k // s.k + 1) AS BIGINT) FROM src s, tot t))) AS HUGEINT) AS slot, root AS id, slot AS m FROM tot
+  UNION ALL SELECT slot, CASE WHEN y > x THEN a ELSE b END, CASE WHEN y > x THEN x ELSE m - x END FROM (
+    SELECT slot, m, a, b, (2 * m * wa + wa + wb) // (2 * (wa + wb)) AS x, (2 * m * wa + 3 * wa + wb) // (2 * (wa + wb)) AS y FROM walk JOIN half USING (id))),
+served AS (SELECT source, m AS j, slot FROM walk JOIN ranked ON id = 'n' || c || '_0_' || r),
 doc AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS x FROM documents)
-SELECT doc_id, d.source, x AS mix_index, x // {_M.block} AS mix_block, x // {_M.block} // k * q + r AS mix_release, x // {_M.block} // k * q + dl AS mix_deadline,
-  x // {_M.block} // k * q + slot AS mix_slot, (x // {_M.block} // k * q + slot) * {_M.block} + x % {_M.block} AS mix_position
-FROM doc d JOIN share h ON h.source = d.source, (SELECT q FROM one) o JOIN slots ON TRUE WHERE slots.source = d.source AND slots.j = x // {_M.block} % k"""
+SELECT doc_id, d.source, x AS mix_index, x // {_M.block} AS mix_block, CAST(greatest(j - 1, 0) * t.k // s.k AS BIGINT) AS mix_release, CAST(((j + 2) * t.k + s.k - 1) // s.k AS BIGINT) AS mix_deadline,
+  CAST(slot AS BIGINT) AS mix_slot, CAST(slot * {_M.quantum} + x % {_M.quantum} AS BIGINT) AS mix_position
+FROM doc d JOIN src s ON s.source IS NOT DISTINCT FROM d.source JOIN served v ON v.source IS NOT DISTINCT FROM d.source AND v.j = x // {_M.quantum}, tot t"""
 
 OP7 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings

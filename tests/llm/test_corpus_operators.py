@@ -266,32 +266,53 @@ def test_components(spark):
 # --- mixing
 
 
-@pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 1, "b": 2, "c": 7}, {f"s{i}": (i % 7) + 1 for i in range(40)}, {"x": 997, "y": 1, "z": 2}, {"only": 3}])
-def test_schedule_stays_within_a_block(weights):
-    shares = mixing.cycle_shares(weights, 200)
-    table = mixing.edf_cycle(shares)
-    cycle = sum(shares.values())
-    assert sorted(t[4] for t in table) == list(range(cycle))
-    had = dict.fromkeys(shares, 0)
-    for s, j, release, deadline, slot in sorted(table, key=lambda t: t[4]):
-        assert j == had[s] and release <= slot < deadline
-        had[s] += 1
-        assert all(abs(had[k] - (slot + 1) * shares[k] / cycle) < 1 for k in shares)
-
-
-def test_given_weights_have_an_exact_cycle(spark):
-    many = {"hot": 0.5} | {f"s{i}": 0.0001 for i in range(5000)}
-    shares = mixing.exact_shares(many, 20_000)
-    assert shares["hot"] == 5000 and set(shares.values()) == {1, 5000}
-    assert mixing.exact_shares({"a": 1 / 3, "b": 2 / 3}, 20_000) == {"a": 1, "b": 2} and mixing.exact_shares({"a": 0.123457, "b": 0.876543}, 20_000) is None
-    df = spark.createDataFrame([(i, "a" if i < 1500 else "b") for i in range(1501)], "doc_id bigint, source string")
-    out = mixing.with_schedule(df, {"a": 1500, "b": 1}, mixing.MixSettings(block=1)).collect()
-    assert all(abs(r.mix_index - r.mix_slot * 1500 / 1501) < 1 for r in out if r.source == "a")
-    assert max(r.mix_deadline for r in out) == 1501
+def schedule_of(spark, weights, turns):
+    """Slot of every quantum that any source has within ``turns`` turns, by source."""
+    whole = mixing.whole_weights(weights)
+    rows = spark.createDataFrame(list(whole.items()), "source string, k bigint")
+    paths = mixing.source_paths(rows)
+    most = F.ceil(F.col("k") * F.lit(turns + 0.0) / F.col("total")).cast("bigint") + 2
+    out = paths.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), most))).select("source", "j", mixing.turn(F.col("path"), F.col("j")).alias("slot")).where(F.col("slot") < turns)
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    out = out.toPandas()
+    spark.conf.unset("spark.sql.execution.arrow.pyspark.enabled")
+    total = sum(whole.values())
+    return out, {s: k / total for s, k in whole.items()}
+
+
+SKEWED = {
+    "even": {"a": 1, "b": 1}, "few": {"a": 1, "b": 2, "c": 7}, "only": {"a": 3}, "one of many": {"x": 997, "y": 1, "z": 2}, "irrational": {"a": 2**0.5, "b": 1, "c": 0.01},
+    "forty": {f"s{i}": (i % 7) + 1 for i in range(40)}, "fibonacci": {f"s{i}": w for i, w in enumerate((1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144))}, "powers": {f"s{i}": 2.0**-i for i in range(30)},
+    "hot and 5,000": {"hot": 0.5} | {f"s{i}": 0.0001 for i in range(5000)}, "uneven 5,000": {f"s{i}": (1 + i % 97) ** 0.5 for i in range(5000)} | {"hot": 9000.0},
+}
+
+
+@pytest.mark.parametrize("name", sorted(SKEWED))
+def test_schedule_stays_within_a_block(spark, name):
+    """Two quanta are a block; the deviation is from the given weights, over all turns."""
+    turns = 1_000_000 if name in ("irrational", "hot and 5,000") else 30_000
+    out, share = schedule_of(spark, SKEWED[name], turns)
+    assert np.array_equal(np.sort(out.slot.to_numpy()), np.arange(turns))  # every turn is one quantum's
+    w = out.source.map(share).to_numpy()
+    j, slot = out.j.to_numpy(), out.slot.to_numpy()
+    # a source is furthest behind just before a quantum's turn and furthest ahead just after it
+    assert (slot * w - j).max() < 1.75 and ((j + 1) - (slot + 1) * w).max() < 1.75
+    assert (np.floor((j - 1) / w) <= slot).all() and (slot < np.ceil((j + 2) / w)).all()
+
+
+def test_weights_become_whole_numbers():
+    assert mixing.whole_weights({"a": 0.3, "b": 0.7, "c": 2}) == {"a": 3, "b": 7, "c": 20}
+    w = mixing.whole_weights({f"s{i}": 1000 * (i + 1) ** 0.5 for i in range(50)})
+    assert max(w.values()) <= 1 << mixing.GIVEN_BITS and all(abs(w[f"s{i}"] / w["s49"] - ((i + 1) / 50) ** 0.5) < 1e-12 for i in range(50))
+    for bad in ({}, {"a": 0}, {"a": -1.0}):
+        with pytest.raises(ValueError):
+            mixing.whole_weights(bad)
+    with pytest.raises(ValueError):
+        mixing.MixSettings(block=3)
 
 
 def test_mix_gives_every_row_one_place(odd, nothing):
-    out = mixing.with_schedule(odd, settings=mixing.MixSettings(block=2, cycle=10)).collect()
+    out = mixing.with_schedule(odd, settings=mixing.MixSettings(block=2)).collect()
     assert len(out) == len(odd_texts()) and len({r.mix_position for r in out}) == len(out)
     by = collections.defaultdict(list)
     for r in out:
@@ -302,13 +323,24 @@ def test_mix_gives_every_row_one_place(odd, nothing):
         assert [r.mix_index for r in rs] == list(range(len(rs)))
     assert mixing.with_schedule(nothing).count() == 0
     assert rows(mixing.mixed_order(odd), *odd.columns) == rows(odd, *odd.columns) and mixing.mixed_order(odd).columns == odd.columns
-    with pytest.raises(ValueError):
-        mixing.with_schedule(odd, {"s1": 1.0})
+    with pytest.raises(Exception, match="no weight for source"):
+        mixing.with_schedule(odd, {"s1": 1.0, "s3": 2.0}).collect()
+
+
+def test_weights_may_be_a_table_and_rows_without_ids_are_spread(spark):
+    df = spark.createDataFrame([(None, f"text {i}", "a" if i % 4 else None) for i in range(400)], "doc_id bigint, text string, source string")
+    table = spark.createDataFrame([("a", 1.0), (None, 2.0), ("empty", 1.0)], "source string, weight double")
+    out = mixing.with_schedule(df, table).orderBy("mix_position").collect()
+    assert len({r.mix_position for r in out}) == 400 and sorted(r.text for r in out) == sorted(f"text {i}" for i in range(400))
+    for r in out:
+        share = 0.25 if r.source == "a" else 0.5
+        assert (r.mix_index // 8 - 1) / share - 1 <= r.mix_slot < (r.mix_index // 8 + 2) / share + 1
+    assert [r.mix_position for r in mixing.with_schedule(df.repartition(7), {"a": 1, None: 2, "empty": 1}).orderBy("mix_position").collect()] == [r.mix_position for r in out]
 
 
 def test_mixed_order_follows_the_schedule(spark):
     df = spark.createDataFrame([(i, "t", "a" if i % 4 else "b") for i in range(400)], "doc_id bigint, text string, source string")
-    out = [r.source for r in mixing.mixed_order(df, {"a": 1, "b": 1}, mixing.MixSettings(block=4, cycle=8)).collect()]
+    out = [r.source for r in mixing.mixed_order(df, {"a": 1, "b": 1}, mixing.MixSettings(block=4)).collect()]
     for n in range(8, 200, 8):
         assert abs(out[:n].count("b") - n / 2) <= 4
 
