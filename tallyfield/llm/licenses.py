@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 #: The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Label stem, keyword (a whole word of every spelling) that gates the rules, how the name is written, versions.
+#: Label stem, keywords (whole words of every spelling) that gate the rules, how the name is written, versions.
 FAMILIES = (
     ("apache", "apache", "apache(?: software)?(?: license)?", ("1 0", "1 1", "2 0")),
-    ("mit", "mit", "mit(?: x11)? license", ()),
+    ("mit", "mit license", "mit(?: x11)? license", ()),
     ("bsd", "bsd", "bsd(?: style)?(?: license)?", ("0 clause", "1 clause", "2 clause", "3 clause", "4 clause")),
     ("gpl", "gpl", "(?:gnu )?gpl", ("1", "2", "3", "2 0", "3 0")),
     ("gpl", "gnu", "gnu general public license", ("1", "2", "3", "2 0", "3 0")),
@@ -29,7 +29,7 @@ FAMILIES = (
     ("eupl", "eupl", "eupl", ("1 0", "1 1", "1 2")),
     ("artistic", "artistic", "artistic license", ("1 0", "2 0")),
     ("boost", "boost", "boost software license", ("1 0",)),
-    ("isc", "isc", "isc license", ()),
+    ("isc", "isc license", "isc license", ()),
     ("zlib", "zlib", "zlib(?: libpng)? license", ()),
     ("unlicense", "unlicense", "(?:the )?unlicense", ()),
     ("wtfpl", "wtfpl", "wtfpl", ("1 0", "2", "2 0")),
@@ -40,11 +40,11 @@ FAMILIES = (
     ("odbl", "database", "open(?: data commons)? database license", ("1 0",)),
     ("pddl", "public", "public domain dedication and license", ("1 0",)),
     ("cc0", "cc0", "(?:cc )?cc0", ("1 0",)),
-    ("cc-by-sa", "sa", "cc by sa", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc", "nc", "cc by nc", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nd", "nd", "cc by nd", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc-sa", "nc", "cc by nc sa", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc-nd", "nc", "cc by nc nd", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-sa", "cc", "cc by sa", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc", "cc", "cc by nc", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nd", "cc", "cc by nd", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc-sa", "cc", "cc by nc sa", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc-nd", "cc", "cc by nc nd", ("2 0", "2 5", "3 0", "4 0")),
     ("cc-by", "cc", "cc by", ("1 0", "2 0", "2 5", "3 0", "4 0")),
     ("cc-by-sa", "attribution", "creative commons attribution share ?alike", ("2 0", "2 5", "3 0", "4 0")),
     ("cc-by-nc", "attribution", "creative commons attribution non ?commercial", ("2 0", "2 5", "3 0", "4 0")),
@@ -65,6 +65,13 @@ NOTICES = (
     ("permission", "permission", "permission is hereby granted(?: free of charge)?"),
     ("redistribution", "redistribution", "redistribution and use in source and binary forms"),
 )
+#: Identifiers after "SPDX-License-Identifier:", as words, and their labels.
+SPDX = (
+    ("mit", "mit"), ("isc", "isc"), ("zlib", "zlib"), ("unlicense", "unlicense"), ("wtfpl", "wtfpl"), ("0bsd", "bsd-0c"), ("bsd 2 clause", "bsd-2c"), ("bsd 3 clause", "bsd-3c"),
+    ("apache 1 1", "apache-1.1"), ("apache 2 0", "apache-2.0"), ("mpl 1 1", "mpl-1.1"), ("mpl 2 0", "mpl-2.0"), ("epl 1 0", "epl-1.0"), ("epl 2 0", "epl-2.0"), ("cddl 1 0", "cddl-1.0"), ("bsl 1 0", "boost-1.0"),
+    ("gpl 2 0", "gpl-2.0"), ("gpl 3 0", "gpl-3.0"), ("lgpl 2 1", "lgpl-2.1"), ("lgpl 3 0", "lgpl-3.0"), ("agpl 3 0", "agpl-3.0"), ("artistic 2 0", "artistic-2.0"), ("cc0 1 0", "cc0-1.0"),
+    ("cc by 4 0", "cc-by-4.0"), ("cc by sa 4 0", "cc-by-sa-4.0"), ("cc by nc 4 0", "cc-by-nc-4.0"), ("cc by nd 4 0", "cc-by-nd-4.0"), ("ofl 1 1", "ofl-1.1"),
+)
 #: Priorities: a notice of licensing, a name with a version, a bare name; and what each is worth.
 WORTH = {1: 1.0, 2: 0.85, 3: 0.6}
 BASE_WORTH = 0.7
@@ -91,6 +98,8 @@ def signature_rules() -> list[dict]:
         add(stem, keyword, name, 3)
     for label, keyword, body in NOTICES:
         add(label, keyword, body, 2)
+    for written, label in SPDX:
+        add(label, "spdx", f"spdx license identifier {written}(?: only| or later)?", 1)
     return out
 
 
@@ -98,24 +107,70 @@ def _spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" ")))
 
 
-def _rules_column(rules: list[dict]) -> Column:
-    return F.array(*(F.struct(F.lit(r["label"]).alias("label"), F.lit(r["kw"]).alias("kw"), F.lit(r["re"]).alias("re"), F.lit(r["prio"]).alias("prio")) for r in rules))
+def numbered(pattern: str, space: str = "(?: [0-9]+:)") -> str:
+    """A rule's pattern for words that have their numbers before them."""
+    ahead = "(?= )"
+    return pattern.removesuffix(ahead).replace(" ", space) + ahead
 
 
-def _places(words: Column, rule: Column) -> Column:
-    """[(label, prio, start, end)] of a rule's matches, as numbers of words."""
-    found = F.regexp_extract_all(words, rule["re"], F.lit(0))
-    gaps = F.split(words, rule["re"], F.lit(-1))
-    step = F.transform(found, lambda m, i: F.struct(_spaces(F.element_at(gaps, i + 1)).alias("gap"), _spaces(m).alias("n")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("array_repeat(named_struct('label', '', 'prio', 0, 'a', 0, 'b', 0), 0)").alias("out"))
-    walked = F.aggregate(
-        step, start,
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + s["n"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(rule["label"].alias("label"), rule["prio"].alias("prio"), (acc["at"] + s["gap"]).alias("a"), (acc["at"] + s["gap"] + s["n"]).alias("b")))).alias("out"),
-        ),
-    )
-    return walked["out"]
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _found(rules: list[dict]) -> Column:
+    """Of the padded words ``w``: one array, in an array, of (a, before, prio, label) of all matches, sorted:
+    first word, minus the word after the last, and the rule's; no array where no rule's keywords are there.
+
+    Every pattern is a literal, compiled once; a match carries the numbers of its words, so places take no
+    walk over the text. Lambdas bind the words, the keywords and the numbered words, so that a plan that
+    moves this column, say below a filter, still makes each once. It is one SQL text, as thousands of calls
+    would cost seconds.
+    """
+    keywords = ", ".join(f"IF(contains(v, ' {k} '), '{k}', NULL)" for k in dict.fromkeys(x for r in rules for x in r["kw"].split()))
+    gates = {k: " AND ".join(f"array_contains(kw, '{x}')" for x in k.split()) for k in dict.fromkeys(r["kw"] for r in rules)}
+    hits = lambda r: f"named_struct('prio', {r['prio']}, 'label', {_quoted(r['label'])}, 'm', regexp_extract_all(words, {_quoted(numbered(r['re']))}, 0))"
+    gated = ", ".join(f"IF({gate}, array({', '.join(hits(r) for r in rules if r['kw'] == k)}), NULL)" for k, gate in gates.items())
+    some = f"filter(flatten(filter(array({gated}), g -> g IS NOT NULL)), h -> size(h.m) > 0)"
+    place = "named_struct('a', int(substring_index(substr(m, 2), ':', 1)), 'before', -1 - int(substring_index(substring_index(m, ' ', -1), ':', 1)), 'prio', h.prio, 'label', h.label)"
+    # " 0:word 1:word ... n:"
+    numbers = "concat(' ', array_join(transform(split(substr(v, 2), ' '), (x, i) -> concat(string(i), ':', x)), ' '))"
+    found = f"transform(array({numbers}), words -> sort_array(flatten(transform({some}, h -> transform(h.m, m -> {place})))))"
+    kept = f"IF({' OR '.join(f'({g})' for g in gates.values())}, {found}, array())"
+    return F.expr(f"flatten(transform(array(w), v -> flatten(transform(array(filter(array({keywords}), k -> k IS NOT NULL)), kw -> {kept}))))")
+
+
+#: Detections that a sweep gathers before it hands them on; arrays are copied when they grow.
+SWEEP = 512
+
+
+def _unsuppressed(found: Column) -> Column:
+    """[(label, prio, a, b)] that no other detection suppresses, in order of their places, each once.
+
+    In the order of first word, length (longest first) and priority, whatever may suppress a detection
+    stands before it: it goes if a detection before it of the same or a higher priority ends no earlier.
+    Those with the same words and priority share their fate. One sweep, with the furthest end of each priority.
+    """
+    none = F.expr("array_repeat(named_struct('label', '', 'prio', 0, 'a', 0, 'b', 0), 0)")
+    zero = F.lit(0)
+    start = F.struct(zero.alias("e1"), zero.alias("e2"), zero.alias("e3"), F.lit(-1).alias("a"), zero.alias("b"), zero.alias("prio"), F.lit("").alias("label"), F.lit(False).alias("kept"), none.alias("out"))
+
+    def look(s, d):
+        b, p = -d["before"], d["prio"]
+        same = (s["a"] == d["a"]) & (s["b"] == b) & (s["prio"] == p)
+        kept = F.when(same, s["kept"]).otherwise(b > F.when(p == 1, s["e1"]).when(p == 2, s["e2"]).otherwise(s["e3"]))
+        new = kept & ~(same & (s["label"] == d["label"]))
+        end = lambda n: F.when(p <= n, F.greatest(s[f"e{n}"], b)).otherwise(s[f"e{n}"]).alias(f"e{n}")
+        one = F.struct(d["label"].alias("label"), p.alias("prio"), d["a"].alias("a"), b.alias("b"))
+        return F.struct(end(1), end(2), end(3), d["a"].alias("a"), b.alias("b"), p.alias("prio"), d["label"].alias("label"), kept.alias("kept"), F.when(new, F.concat(s["out"], F.array(one))).otherwise(s["out"]).alias("out"))
+
+    def sweep(s, i):
+        state = [s[c].alias(c) for c in ("e1", "e2", "e3", "a", "b", "prio", "label", "kept")]
+        done = F.aggregate(F.slice(found, i * SWEEP + 1, F.lit(SWEEP)), F.struct(*state, none.alias("out")), look)
+        return F.struct(*(done[c].alias(c) for c in ("e1", "e2", "e3", "a", "b", "prio", "label", "kept")), F.concat(s["all"], F.array(done["out"])).alias("all"))
+
+    first = F.struct(*(start[c].alias(c) for c in ("e1", "e2", "e3", "a", "b", "prio", "label", "kept")), F.expr("array_repeat(array(named_struct('label', '', 'prio', 0, 'a', 0, 'b', 0)), 0)").alias("all"))
+    rounds = F.sequence(zero, F.floor((F.size(found) - 1) / SWEEP).cast("int"))
+    return F.when(F.size(found) > 0, F.flatten(F.aggregate(rounds, first, sweep)["all"])).otherwise(none)
 
 
 def scan_licenses(docs: DataFrame, rules: list[dict] | None = None) -> DataFrame:
@@ -132,10 +187,9 @@ def scan_licenses(docs: DataFrame, rules: list[dict] | None = None) -> DataFrame
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     # every run of other characters is one space; one stands before the first word and after the last
-    joined = F.concat(F.lit(" "), F.regexp_replace(F.translate(text, upper, upper.lower()), WORD_GAP, " "), F.lit(" "))
-    spaced = F.when(joined.startswith("  "), F.substr(joined, F.lit(2))).otherwise(joined)
-    spaced = F.when(F.length(F.trim(joined)) == 0, F.lit(" ")).otherwise(F.regexp_replace(spaced, " +$", " "))
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), spaced.alias("w")).withColumn("n_words", (_spaces(F.col("w")) - 1).cast("bigint"))
+    words = F.trim(F.regexp_replace(F.translate(text, upper, upper.lower()), WORD_GAP, " "))
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), words.alias("_t"))
+    base = base.select("doc_id", F.when(F.col("_t") == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), "_t", F.lit(" "))).alias("w")).withColumn("n_words", (_spaces(F.col("w")) - 1).cast("bigint"))
     w = F.col("w")
     any_base = " (?=(?:" + "|".join(p for p, _ in BASE) + ") )"
     has = {p: w.contains(f" {p} ") for p, _ in BASE}
@@ -145,14 +199,8 @@ def scan_licenses(docs: DataFrame, rules: list[dict] | None = None) -> DataFrame
         "first_word": F.when(some, _spaces(F.split(w, any_base, 2)[0])).cast("bigint"),
         "last_word": F.when(some, _spaces(F.regexp_extract(w, f"(?s)^(.*){any_base}", 1))).cast("bigint"),
         "_base": F.filter(F.array(*(F.when(has[p], F.lit(label)) for p, label in BASE)), lambda x: x.isNotNull()),
-        "_kw": F.filter(F.array(*(F.when(w.contains(f" {k} "), F.lit(k)) for k in sorted({r["kw"] for r in rules}))), lambda x: x.isNotNull()),
     })
-    chosen = F.filter(_rules_column(rules), lambda r: F.array_contains(F.col("_kw"), r["kw"]))
-    empty = F.expr("array_repeat(named_struct('label', '', 'prio', 0, 'a', 0, 'b', 0), 0)")
-    base = base.withColumn("_all", F.when(F.size("_kw") > 0, F.array_distinct(F.flatten(F.transform(chosen, lambda r: _places(w, r))))).otherwise(empty))
-    longer = lambda d, e: (e["b"] - e["a"] > d["b"] - d["a"]) | ((e["b"] - e["a"] == d["b"] - d["a"]) & (e["prio"] < d["prio"]))
-    left = F.filter("_all", lambda d: ~F.exists("_all", lambda e: (e["a"] <= d["a"]) & (e["b"] >= d["b"]) & (e["prio"] <= d["prio"]) & longer(d, e)))
-    base = base.withColumn("detections", left)
+    base = base.withColumn("detections", F.flatten(F.transform(_found(rules), _unsuppressed)))
     worth = lambda p: F.when(p == 1, WORTH[1]).when(p == 2, WORTH[2]).otherwise(WORTH[3])
     best = F.array_max(F.concat(F.transform("detections", lambda d: worth(d["prio"])), F.array(F.when(F.size("_base") > 0, F.lit(BASE_WORTH)).otherwise(F.lit(0.0)))))
     named = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallyfield.llm.licenses import BASE, BASE_WORTH, WORTH, signature_rules
 from tallyfield.llm.mixing import UNIT, MixSettings
 from tallyfield.llm.near import NearSettings
 from tallyfield.llm.quality import RepeatLimits
@@ -66,6 +67,42 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(n AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s) WHERE n <= 10"""
 
+
+
+def _rules() -> str:
+    """Rows (label, priority, keywords, pattern). Here words stand as " 0:word " each, so that a match may take
+    the space after its last word: there is no look ahead."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    body = lambda r: " [0-9]+:" + r["re"].removeprefix(" ").removesuffix("(?= )").replace(" ", "(?:  [0-9]+:)") + " "
+    return ", ".join(f"({quoted(r['label'])}, {r['prio']}, string_split({quoted(r['kw'])}, ' '), {quoted(body(r))})" for r in signature_rules())
+
+
+OP8 = f"""
+WITH rule(label, prio, kw, re) AS (VALUES {_rules()}),
+t AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(COALESCE(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+place AS (SELECT k, label, i - 1 AS i FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM t) JOIN (VALUES {", ".join(f"(string_split('{p}', ' '), '{label}')" for p, label in BASE)}) b(p, label) ON list_slice(w, i, i + len(p) - 1) = p),
+based AS (SELECT k, COUNT(*) AS n, MIN(i) AS a, MAX(i) AS b, list(DISTINCT label) AS labels FROM place GROUP BY k),
+gated AS (SELECT k, g.kw, array_to_string(list_transform(w, lambda x, i: ' ' || (i - 1) || ':' || x || ' '), '') AS v FROM t JOIN (SELECT DISTINCT kw FROM rule) g ON list_has_all(list_distinct(w), g.kw)),
+hit AS (SELECT k, label, prio, unnest(regexp_extract_all(v, re)) AS m FROM gated JOIN rule ON rule.kw = gated.kw),
+found AS (SELECT DISTINCT k, label, prio, CAST(split_part(trim(m), ':', 1) AS INT) AS a, CAST(split_part(list_last(string_split(trim(m), ' ')), ':', 1) AS INT) + 1 AS b FROM hit),
+kept AS (SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM found e WHERE e.k = f.k AND e.a <= f.a AND e.b >= f.b AND e.prio <= f.prio AND (e.b - e.a > f.b - f.a OR e.b - e.a = f.b - f.a AND e.prio < f.prio))),
+named AS (SELECT k, list(DISTINCT label) AS labels, MAX(CASE prio WHEN 1 THEN {WORTH[1]} WHEN 2 THEN {WORTH[2]} ELSE {WORTH[3]} END) AS worth FROM kept GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n, 0) AS n_base, a AS first_word, b AS last_word, COALESCE(array_to_string(list_sort(based.labels), ','), '') AS base_labels,
+  COALESCE(array_to_string(list_sort(list_distinct(list_concat(COALESCE(based.labels, []), COALESCE(named.labels, [])))), ','), '') AS labels,
+  CAST(greatest(COALESCE(worth, 0), CASE WHEN n > 0 THEN {BASE_WORTH} ELSE 0 END) AS DOUBLE) AS score FROM t LEFT JOIN based USING (k) LEFT JOIN named USING (k)"""
+
+_BYTES = 200
+# Bytes as pairs of hexadecimal digits; windows of a text that is too short are none.
+OP9 = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(COALESCE(text, ''))) AS h FROM documents),
+part AS (SELECT k, c, substr(h, 1000 * c + 1, {1000 + 2 * _BYTES - 2}) AS s FROM (SELECT k, h, unnest(range(0, length(h) // 1000 + 1)) AS c FROM d)),
+win AS (SELECT k, 500 * c + j AS i, md5(substr(s, 2 * j + 1, {2 * _BYTES})) AS v FROM (SELECT k, c, s, unnest(range(0, length(s) // 2 - {_BYTES - 1})) AS j FROM part)),
+rep AS (SELECT k, i FROM (SELECT k, i, COUNT(*) OVER (PARTITION BY v) AS n FROM win) WHERE n > 1),
+run AS (SELECT k, MIN(i) AS a, MAX(i) + {_BYTES} AS b FROM (SELECT k, i, SUM(CASE WHEN i <= p + {_BYTES} THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY i) AS g FROM (SELECT k, i, lag(i) OVER (PARTITION BY k ORDER BY i) AS p FROM rep)) GROUP BY k, g),
+gone AS (SELECT k, SUM(b - a) AS n, COUNT(*) AS spans, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM run GROUP BY k),
+kept AS (SELECT d.*, n, spans, CASE WHEN n IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(a) + 1), lambda j: substr(h, CASE WHEN j = 0 THEN 1 ELSE 2 * b[j] + 1 END, CASE WHEN j = 0 THEN 2 * a[1] WHEN j = len(a) THEN length(h) ELSE 2 * (a[j + 1] - b[j]) END)), '') END AS left_over FROM d LEFT JOIN gone USING (k))
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(COALESCE(n, 0) AS BIGINT) AS n_removed, COALESCE(spans, 0) AS n_spans, sha256(unhex(left_over)) AS kept_sha256 FROM kept"""
+
 _L = RepeatLimits()
 
 
@@ -91,5 +128,5 @@ SELECT * EXCLUDE (too_long), n_words < {_L.min_words} OR 100 * n_repeat_words >
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_format": OP2, "op3_fm_substring_dedup": OP3, "op5_minhash_near_dedup": OP5, "op6_source_mix": OP6,
-        "op7_topk_search": OP7, "op10_repetition_quality": OP10,
+        "op7_topk_search": OP7, "op8_license_scan": OP8, "op9_suffix_dedup": OP9, "op10_repetition_quality": OP10,
     }
