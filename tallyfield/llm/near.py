@@ -29,16 +29,19 @@ CACHE_ENTRIES = 400_000
 @dataclass(frozen=True)
 class NearSettings:
     """words: of a shingle; percent: least similarity of a link; chunks of chunk_size places of
-    ``bits`` bits: pairs under 2 * chunks differing places are sure to meet; tile: documents of a
-    block of a large candidate group; max_differing: places that a pair worth confirming may differ
-    in (a link differs in more with a probability under 1e-9)."""
+    8 bits: pairs under 2 * chunks differing places are sure to meet; tile: documents of a block of a
+    large candidate group; tile_shingles: their shingles, about; signature_tile: signatures of a block;
+    max_differing: places that a pair worth confirming may differ in (a link differs in more with a
+    probability under 1e-9; None: any number, so that every pair of a group whose sizes allow a link is confirmed)."""
 
     words: int = 4
     percent: int = 80
     chunks: int = 14
     chunk_size: int = 7
     tile: int = 256
-    max_differing: int = 46
+    tile_shingles: int = 2_000_000
+    signature_tile: int = 4096
+    max_differing: int | None = 46
 
     @property
     def places(self) -> int:
@@ -230,7 +233,7 @@ def _confirm(rows: list[tuple], settings: NearSettings) -> list[tuple[int, int]]
     sig = np.stack([r[4] for r in rows])
     differ = np.stack([(sig != s).sum(axis=1) for s in sig])
     i, j = np.triu_indices(n, 1)
-    ok = differ[i, j] <= settings.max_differing
+    ok = differ[i, j] <= (settings.places if settings.max_differing is None else settings.max_differing)
     ok &= 100 * np.minimum(size[i], size[j]) >= settings.percent * np.maximum(size[i], size[j])
     if side.any() and not side.all():
         ok &= side[i] != side[j]
@@ -265,10 +268,10 @@ TILE_COLUMNS = ("component", "i", "j", "node", "label", "side", "s1", "set", "si
 
 def _member_sets(docs: DataFrame, groups: DataFrame, reps: DataFrame, settings: NearSettings) -> DataFrame:
     """The groups' members with block, shingle set and signature; a group has a block for each
-    ``tile`` members, dealt by a hash."""
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / settings.tile).alias("blocks"))
-    members = salted_join(groups, sizes, ["component"], "node", "inner").select("node", "component", "blocks", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).alias("block"))
-    wanted = members.join(reps.select(F.col("rep").alias("node"), "s1", "s2"), "node")
+    ``tile`` members, or ``tile_shingles`` shingles if that is more, dealt by a hash."""
+    wanted = groups.join(reps.select(F.col("rep").alias("node"), "s1", "s2", "size"), "node")
+    sizes = wanted.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / settings.tile, F.sum("size") / settings.tile_shingles)).alias("blocks"))
+    wanted = salted_join(wanted.drop("size"), sizes, ["component"], "node", "inner").withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")))
     # a representative's text: any row of its id with its set; the set is computed anew below
     texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text"))
 
@@ -319,13 +322,79 @@ def _tile_links(tiles: DataFrame, settings: NearSettings) -> DataFrame:
     return ordered.mapInArrow(kernel, "a bigint, b bigint")
 
 
+PAIR_COLUMNS = ("component", "i", "j", "node", "label", "side", "size", "block", "other", "sig")
+
+
+def _worth_confirming(pairs: DataFrame, settings: NearSettings) -> DataFrame:
+    """Rows (component, i, j, node, label, side) of the tiles of sets in which a pair of signatures is close enough.
+
+    Tiles of ``signature_tile`` signatures come in; what goes out names only members that have a partner in
+    their tile, so sets are copied for pairs that may be links, not for all of a group.
+    """
+    most = settings.places if settings.max_differing is None else settings.max_differing
+
+    def close(rows):
+        left, right = ([r for r in rows if r[2] == k] for k in (1, 0))
+        if not left or not right:
+            return
+        node, label, size, block = (np.array([r[c] for r in right], np.int64) for c in (0, 1, 3, 4))
+        sig = np.stack([np.frombuffer(r[6], np.uint8) for r in right])
+        seen = set()
+        for x in left:
+            ok = (label != x[1]) & (100 * np.minimum(size, x[3]) >= settings.percent * np.maximum(size, x[3]))
+            at = np.flatnonzero(ok)
+            at = at[(sig[at] != np.frombuffer(x[6], np.uint8)).sum(axis=1) <= most]
+            for j in np.unique(block[at]).tolist():
+                seen.add((x[5], j, x[0], x[1], 1))
+            seen.update(zip([x[5]] * len(at), block[at].tolist(), node[at].tolist(), label[at].tolist(), [0] * len(at), strict=True))
+        yield from seen
+
+    def kernel(batches):
+        def batch_of(c, found):
+            found = list(found)
+            if found:
+                i, j, node, label, side = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([c] * len(found), pa.int64()), *(pa.array(v, pa.int64()) for v in (i, j, node, label)), pa.array(side, pa.int32())], ["component", "i", "j", "node", "label", "side"])
+
+        rows, key = [], None
+        for batch in sliced(batches, 1024):
+            for c, i, j, *rest in zip(*(batch.column(k).to_pylist() for k in range(len(PAIR_COLUMNS))), strict=True):
+                if (c, i, j) != key:
+                    yield from batch_of(key and key[0], close(rows))
+                    rows, key = [], (c, i, j)
+                rows.append(rest)
+        yield from batch_of(key and key[0], close(rows))
+
+    ordered = pairs.select(*PAIR_COLUMNS).repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    return ordered.mapInArrow(kernel, "component bigint, i bigint, j bigint, node bigint, label bigint, side int").distinct()
+
+
+def second_round(sets: DataFrame, near: DataFrame, settings: NearSettings) -> DataFrame:
+    """Tiles for what the first round left: of groups of several blocks, whatever isn't in the group's
+    largest component yet, against all members, by signature first."""
+    large = sets.where("blocks > 1").select("component", "blocks", "block", "node", F.floor(F.length("set") / 8).cast("bigint").alias("size"), "sig").distinct()
+    large = large.join(near.select("node", F.col("component").alias("c")), "node", "left").withColumn("label", F.coalesce("c", "node")).drop("c")
+    counts = large.groupBy("component", "label").agg(F.countDistinct("node").alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    rest = F.col("all") - F.col("most")
+    counts = counts.where("most < all").select("component", "main", *(F.ceil(n / t).alias(c) for c, n, t in (("rows", F.col("all"), settings.signature_tile), ("columns", rest, settings.signature_tile), ("others", rest, settings.tile))))
+    large = salted_join(large, counts, ["component"], "node", "inner")
+    part = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
+    large = large.withColumn("other", part("others", 6))
+    zero = F.lit(0).cast("bigint")
+    as_member = large.withColumns({"i": F.explode(F.sequence(zero, F.col("columns") - 1)), "j": part("rows", 7), "side": F.lit(0)})
+    as_other = large.where("label <> main").withColumns({"i": part("columns", 8), "j": F.explode(F.sequence(zero, F.col("rows") - 1)), "side": F.lit(1)})
+    wanted = _worth_confirming(as_member.select(*PAIR_COLUMNS).unionByName(as_other.select(*PAIR_COLUMNS)), settings)
+    return written(wanted, "pairs").join(sets.where("blocks > 1").select("node", "s1", "set", "sig"), "node").select(*TILE_COLUMNS)
+
+
 def confirmed_components(docs: DataFrame, groups: DataFrame, reps: DataFrame, settings: NearSettings) -> DataFrame:
     """(node, component) of representatives with real links, from the pairs inside candidate groups.
 
     First every block of a group is a tile of its own and meets the group's first block, which is
-    linear in the members and connects most of a large group. What isn't in the group's largest
-    component by then meets all blocks of the group. So every pair is looked at or known to be
-    connected, and no task holds more than two blocks.
+    linear in the members and connects most of a large group of copies. What isn't in the group's largest
+    component by then meets all members by signature, and by its set where the signatures are close: a group
+    whose members have met by chance, like pages of one template, costs few sets. So every pair is looked
+    at or known to be connected, and no task holds more than two blocks.
     """
     sets = written(_member_sets(docs, groups, reps, settings), "sets")
     zero = F.lit(0).cast("bigint")
@@ -336,15 +405,7 @@ def confirmed_components(docs: DataFrame, groups: DataFrame, reps: DataFrame, se
     )
     tiles = sets.withColumn("t", F.explode(pairs)).withColumns({"i": F.col("t.i"), "j": F.col("t.j"), "side": F.col("t.side"), "label": F.col("node")})
     near = written(connected_components(_tile_links(tiles, settings)), "near")
-    # the second round is for groups of several blocks
-    large = sets.where("blocks > 1").join(near.select("node", F.col("component").alias("c")), "node", "left").withColumn("label", F.coalesce("c", "node")).drop("c")
-    counts = large.groupBy("component", "label").agg(F.countDistinct("node").alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    counts = counts.where("most < all").select("component", "main", F.ceil((F.col("all") - F.col("most")) / settings.tile).alias("others"))
-    large = salted_join(large, counts, ["component"], "node", "inner")
-    other = F.pmod(F.xxhash64("node", F.lit(6)), F.col("others"))
-    as_member = large.withColumn("i", F.explode(F.sequence(zero, F.col("others") - 1))).withColumns({"j": F.col("block"), "side": F.lit(0)})
-    as_other = large.where("label <> main").withColumn("j", F.explode(F.sequence(zero, F.col("blocks") - 1))).withColumns({"i": other, "side": F.lit(1)})
-    more = _tile_links(as_member.select(*TILE_COLUMNS).unionByName(as_other.select(*TILE_COLUMNS)), settings)
+    more = _tile_links(second_round(sets, near, settings), settings)
     return connected_components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
@@ -354,11 +415,12 @@ def near_duplicates(docs: DataFrame, settings: NearSettings = NearSettings()) ->
     Texts with the same shingle set are one representative, the smallest id, before anything is
     joined. Null and empty texts, and rows without an id, are linked with nothing; a row without an
     id has a null component and is kept. Rows that repeat id and text get the same result. Other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows. Rows that repeat an id with different texts share the class of the id: what
+    is linked with any of its texts.
     """
     table = written(sketches(docs, settings), "sketches")
     usable = table.where("doc_id is not null and s1 is not null")
-    reps = written(usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("sig").alias("sig")), "representatives")
+    reps = written(usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("size"), F.max("sig").alias("sig")), "representatives")
     groups = written(candidate_groups(reps, settings), "groups")
     classes = confirmed_components(docs, groups, reps, settings)
     # classes that change a document's component: several documents, or a link to a smaller id

@@ -234,6 +234,33 @@ def test_near_duplicates_of_edited_copies(spark):
     assert rows(near.near_duplicates(df), *NEAR_COLUMNS) == plain_near(texts)
 
 
+def test_pages_of_one_template_cost_few_sets(spark):
+    """Alike by 0.38: they meet, but none is linked; what the second round copies doesn't grow with the square."""
+    template = passage(77, 150)
+    settings = near.NearSettings(tile=32)
+    copied = []
+    for n in (150, 600):
+        texts = [(i, template + " " + passage(9000 + i, 120)) for i in range(n)] + [(n, template + " " + passage(9000, 120) + " more")]
+        df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)
+        table = near.sketches(df, settings)
+        reps = table.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("size"), F.max("sig").alias("sig"))
+        groups = near.candidate_groups(reps, settings)
+        assert groups.groupBy("component").count().agg(F.max("count")).first()[0] > n / 2
+        sets = near._member_sets(df, groups, reps, settings)
+        copied.append(near.second_round(sets, spark.createDataFrame([], "node bigint, component bigint"), settings).count())
+        got = {r.doc_id: r.component_id for r in near.near_duplicates(df, settings).collect()}
+        assert got == {i: 0 if i == n else i for i in range(n + 1)}
+    assert copied[1] < n / 2
+
+
+def test_every_pair_is_confirmed_without_a_bound(spark):
+    base = passage(60, 150).split()
+    rng = random.Random(61)
+    texts = [(i, " ".join(w if rng.random() > 0.004 * (i % 12) else f"n{rng.random()}" for w in base)) for i in range(60)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    assert rows(near.near_duplicates(df, near.NearSettings(tile=8, max_differing=None)), *NEAR_COLUMNS) == plain_near(texts)
+
+
 def test_signatures_under_the_distance_meet():
     """Any two signatures that differ in fewer than twice the chunks share an index key."""
     s = near.NearSettings()
