@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Query blocks that a task keeps at a time.
 OPEN_BLOCKS = 32
+#: Vector blocks whose statistics it remembers.
+OPEN_VECTORS = 4
 SCHEMA = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -22,7 +24,7 @@ class SearchSettings:
 
     k: int = 10
     query_block: int = 512
-    vector_block: int = 4096
+    vector_block: int = 2048
     levels: tuple = (1, 4, 16)
 
 
@@ -39,52 +41,93 @@ def segment_statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.nda
     return np.stack(mean, axis=1), np.stack(dev, axis=1)
 
 
+#: Share of the pairs alive from which a level's bounds come from one matrix product over all of them.
+DENSE = 0.05
+PAIRS = 1 << 17
+
+
+class Block:
+    """A block of whole-number vectors with what the bounds need of them, made once."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, levels: tuple):
+        self.ids, self.x = ids, x
+        self.real = x.astype(np.float64)
+        self.norm = np.sqrt((self.real**2).sum(axis=1))
+        self.most = int(np.abs(self.real).max()) + 1 if x.size else 0
+        self.stats = [segment_statistics(self.real, lv) for lv in levels if lv <= max(1, x.shape[1])]
+
+
+def exact_scores(v: Block, at: np.ndarray, q: Block, i: int) -> np.ndarray:
+    """Inner products of rows ``at`` with a query, exact whole numbers: doubles, 64-bit or unbounded integers by
+    a bound of the sum of the products' sizes."""
+    most = q.most * v.most * max(1, q.x.shape[1])
+    if most < 1 << 53:
+        return (v.real[at] @ q.real[i]).astype(np.int64)
+    if most < 1 << 62:
+        return v.x[at] @ q.x[i]
+    return v.x[at].astype(object) @ q.x[i].astype(object)
+
+
 class TopK:
-    """Running best k of each query of a block."""
+    """Running best k of each query of a block. ``removed`` counts the pairs that each level rules out."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, settings: SearchSettings):
-        self.ids, self.x, self.s = ids, x, settings
-        self.levels = [lv for lv in settings.levels if lv <= max(1, x.shape[1])]
-        self.stats = [segment_statistics(x, lv) for lv in self.levels]
-        self.found: list[list[tuple[int, int]]] = [[] for _ in ids]
-        self.least = np.full(len(ids), -np.inf)
+    def __init__(self, queries: Block, settings: SearchSettings):
+        self.q, self.s = queries, settings
+        self.found: list[list[tuple[int, int]]] = [[] for _ in queries.ids]
+        self.least = np.full(len(queries.ids), -np.inf)
+        self.removed = [0] * len(queries.stats)
+        self.scored = 0
 
-    def offer(self, ids: np.ndarray, x: np.ndarray) -> None:
+    def offer(self, v: Block) -> None:
         """Score the candidates that no level of bounds rules out."""
-        if x.shape[1] != self.x.shape[1]:
+        if v.x.shape[1] != self.q.x.shape[1]:
             raise ValueError("vectors of different lengths")
-        order = np.argsort(-np.abs(x).sum(axis=1), kind="stable")[: 4 * self.s.k]
-        first = np.zeros(len(x), bool)
-        first[order] = True
+        first = np.zeros(len(v.ids), bool)
+        first[np.argsort(-v.norm, kind="stable")[: 4 * self.s.k]] = True
         for part in (np.flatnonzero(first), np.flatnonzero(~first)):  # large vectors first: they set the bar
-            self._offer(ids[part], x[part])
-
-    def _offer(self, ids: np.ndarray, x: np.ndarray) -> None:
-        q = np.arange(len(self.ids))
-        alive = np.ones((len(q), len(ids)), bool)
-        for level, (qm, qd) in zip(self.levels, self.stats, strict=True):
-            vm, vd = segment_statistics(x, level)
+            self._offer(v, part)
+
+    def _bounds(self, level: int, v: Block, part: np.ndarray, alive: np.ndarray) -> None:
+        """Take out of ``alive`` the pairs that this level rules out; only pairs alive are looked at."""
+        (qm, qd), (vm, vd) = self.q.stats[level], v.stats[level]
+        vm, vd = vm[part], vd[part]
+        # rounding: a relative error of the sums, against the product of the norms
+        slack = (self.q.x.shape[1] + 64) * 2e-15
+        before = int(alive.sum())
+        if before > DENSE * alive.size:
             # <q,v> = sum of means' products + at most the product of deviations, by Cauchy-Schwarz
-            bound = qm @ vm.T + qd @ vd.T
-            alive &= bound + 1e-9 * np.abs(bound) + 1e-6 >= self.least[:, None]
+            bound = qm @ vm.T + qd @ vd.T + slack * np.outer(self.q.norm, v.norm[part]) + 1e-6
+            alive &= bound >= self.least[:, None]
+        else:
+            at_q, at_v = np.nonzero(alive)
+            for lo in range(0, len(at_q), PAIRS):
+                i, j = at_q[lo : lo + PAIRS], at_v[lo : lo + PAIRS]
+                bound = np.einsum("ps,ps->p", qm[i], vm[j]) + np.einsum("ps,ps->p", qd[i], vd[j]) + slack * self.q.norm[i] * v.norm[part[j]] + 1e-6
+                gone = bound < self.least[i]
+                alive[i[gone], j[gone]] = False
+        self.removed[level] += before - int(alive.sum())
+
+    def _offer(self, v: Block, part: np.ndarray) -> None:
+        alive = self.q.ids[:, None] != v.ids[part][None, :]
+        for level in range(len(self.q.stats)):
+            if alive.any():
+                self._bounds(level, v, part, alive)
         for i in np.flatnonzero(alive.any(axis=1)):
-            at = np.flatnonzero(alive[i])
-            at = at[ids[at] != self.ids[i]]
-            if not len(at):
-                continue
-            score = x[at] @ self.x[i]  # whole numbers below 2**53: exact
+            at = part[alive[i]]
+            score = exact_scores(v, at, self.q, i)
+            self.scored += len(at)
             if len(at) > self.s.k:  # ties at the k-th score all stay
-                cut = np.partition(score, len(at) - self.s.k)[len(at) - self.s.k]
-                keep = score >= cut
+                cut = np.sort(score)[len(at) - self.s.k]
+                keep = (score >= cut).astype(bool)
                 at, score = at[keep], score[keep]
-            best = self.found[i] + list(zip((-score).astype(np.int64).tolist(), ids[at].tolist(), strict=True))
+            best = self.found[i] + list(zip((-score).tolist(), v.ids[at].tolist(), strict=True))
             best.sort()
             self.found[i] = best[: self.s.k]
             if len(self.found[i]) == self.s.k:
-                self.least[i] = -self.found[i][-1][0]
+                self.least[i] = float(-self.found[i][-1][0])
 
     def rows(self):
-        for q, best in zip(self.ids.tolist(), self.found, strict=True):
+        for q, best in zip(self.q.ids.tolist(), self.found, strict=True):
             for score, v in best:
                 yield q, v, -score
 
@@ -133,27 +176,41 @@ def top_k_search(embeddings: DataFrame, queries, settings: SearchSettings = Sear
     # query rows are gathered by id so that small partitions don't give small blocks
     q = _blocks(chosen.repartition(max(1, tasks // 8), "vec_id"), settings.query_block, "q")
     v = _blocks(vectors, settings.vector_block, "v")
-    # every query block meets the vector blocks of each of some slices; a slice is one task's stream
-    slices = 2 * max(1, tasks // 8)
-    q = q.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    v = v.withColumn("slice", F.pmod(F.xxhash64("v_ids"), F.lit(slices)).cast("int"))
-    met = q.join(v, ["slice", "width"])
+    # every query block meets the vector blocks of each slice; a slice is one task's stream. A given number of partitions
+    # isn't merged for its few bytes: the work is in the pairs
+    slices = tasks
+    q = q.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).repartition(tasks, "slice", "width")
+    v = v.withColumn("slice", F.pmod(F.xxhash64("v_ids"), F.lit(slices)).cast("int")).repartition(tasks, "slice", "width")
+    met = q.join(v.hint("merge"), ["slice", "width"])
 
     def kernel(batches):
         states: dict = {}
+        known: dict = {}
+
+        def block(ids, x):
+            """Vector blocks come once for each query block: the last ones are kept."""
+            key = (ids, x)
+            if key not in known:
+                if len(known) >= OPEN_VECTORS:
+                    known.pop(next(iter(known)))
+                known[key] = made(ids, x)
+            return known[key]
+
+        def made(ids, x):
+            i = np.frombuffer(ids, np.int64)
+            return Block(i, np.frombuffer(x, np.int64).reshape(len(i), -1), settings.levels)
+
         for batch in batches:
             cols = [batch.column(batch.schema.get_field_index(c)) for c in ("q_ids", "q_x", "v_ids", "v_x")]
             for row in range(batch.num_rows):
                 qi, qx, vi, vx = (c[row].as_py() for c in cols)
                 state = states.pop((qi, qx), None)
                 if state is None:
-                    ids = np.frombuffer(qi, np.int64)
-                    state = TopK(ids, np.frombuffer(qx, np.int64).reshape(len(ids), -1).astype(np.float64), settings)
+                    state = TopK(made(qi, qx), settings)
                     if len(states) >= OPEN_BLOCKS:  # the one unused for longest leaves its rows
                         yield from _batch(states.pop(next(iter(states))))
                 states[qi, qx] = state
-                ids = np.frombuffer(vi, np.int64)
-                state.offer(ids, np.frombuffer(vx, np.int64).reshape(len(ids), -1).astype(np.float64))
+                state.offer(block(vi, vx))
         for state in states.values():
             yield from _batch(state)
 

@@ -407,9 +407,11 @@ def test_bounds_hold():
 
 
 def test_ties_below_zero_go_to_the_smaller_id():
-    state = topk.TopK(np.array([1]), np.array([[1000.0]]), topk.SearchSettings(k=1))
+    s = topk.SearchSettings(k=1)
+    block = lambda i, x: topk.Block(np.array([i]), np.array([[x]]), s.levels)
+    state = topk.TopK(block(1, 1000), s)
     for i in (5, 3, 4):
-        state.offer(np.array([i]), np.array([[-1000.0]]))
+        state.offer(block(i, -1000))
     assert list(state.rows()) == [(1, 3, -1_000_000)]
 
 
@@ -418,3 +420,39 @@ def test_repeated_queries_are_ranked_together(spark):
     df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>")
     out = topk.top_k_search(df, F.col("vec_id") == 0).orderBy("rank").collect()
     assert [r.vec_id for r in out] == [19, 19, 18, 18, 17, 17, 16, 16, 15, 15]
+
+
+@pytest.mark.parametrize("size", [1 << 20, 300_000 << 10, 1 << 34])
+def test_scores_of_any_size_are_exact(size):
+    """Sums below 2**53, below 2**63, and with parts beyond."""
+    rng = np.random.default_rng(20)
+    x = rng.integers(-size, size, (400, 24))
+    x[200:] = x[:200] + rng.integers(-1, 2, (200, 24))  # scores that differ in their last digits
+    if size > 1 << 30:
+        x[:, 12:] = -x[:, :12]  # products of either sign, so that the sums are small again
+        x[:, 0] += rng.integers(0, 5, 400)
+    s = topk.SearchSettings(k=10)
+    state = topk.TopK(topk.Block(np.arange(8), x[:8], s.levels), s)
+    for lo in range(0, 400, 64):
+        state.offer(topk.Block(np.arange(lo, min(400, lo + 64)), x[lo : lo + 64], s.levels))
+    big = [[int(v) for v in r] for r in x]
+    want = [(q, v, -a) for q in range(8) for a, v in sorted((-sum(i * j for i, j in zip(big[q], big[v], strict=True)), v) for v in range(400) if v != q)[:10]]
+    assert list(state.rows()) == want
+
+
+def test_levels_look_at_survivors_only():
+    """Vectors around a few centres: each level rules out pairs that the coarser ones left, and few are scored."""
+    rng = np.random.default_rng(21)
+    centres = np.repeat(rng.integers(-500, 500, (40, 16)), 4, axis=1)  # constant within a sixteenth
+    x = centres[rng.integers(0, 40, 4000)] + rng.integers(-20, 20, (4000, 64))
+    s = topk.SearchSettings()
+    state = topk.TopK(topk.Block(np.arange(100), x[:100], s.levels), s)
+    for lo in range(0, 4000, 500):
+        state.offer(topk.Block(np.arange(lo, lo + 500), x[lo : lo + 500], s.levels))
+    pairs = 100 * 4000 - 100
+    assert sum(state.removed) + state.scored == pairs and min(state.removed) > 0.05 * pairs and state.scored < 0.1 * pairs
+    score = x[:100] @ x.T
+    for q, v, got in state.rows():
+        assert got == score[q, v]
+    best = np.sort(np.where(np.arange(100)[:, None] == np.arange(4000), -(1 << 60), score), axis=1)[:, -10:]
+    assert sorted(got for _, _, got in state.rows()) == sorted(best.ravel().tolist())
