@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.llm.bpe import encode_documents
-from tallyfield.llm.common import shared_folder
+from tallyfield.llm.common import named, shared_folder
 from tallyfield.llm.language import keep_determined, train_language_model
 from tallyfield.llm.mixing import mixed_order, with_schedule
-from tallyfield.llm.near import near_duplicates
+from tallyfield.llm.near import NearSettings, near_duplicates
 from tallyfield.llm.substrings import deduplicate
 
 
@@ -26,13 +26,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id.
+    """One document of each near-duplicate group stays, the one with the smallest id: shingles of five words, 0.8.
 
     Rows that repeat both id and text are one document; rows without an id stay.
     """
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = near_duplicates(docs, NearSettings(words=5)).where("kept and doc_id is not null").select("doc_id").distinct()
     one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return one.select(*named(docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
 def string_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

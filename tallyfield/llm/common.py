@@ -52,6 +52,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named(columns: list[str], within: str | None = None) -> list:
+    """Columns of any name, dots and backticks too; of a struct column if ``within`` names one."""
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    return [F.col(f"{within}.{quoted(c)}" if within else quoted(c)).alias(c) for c in columns]
+
+
 def text_key(doc_id: str = "doc_id", text: str = "text") -> list:
     """Two 64-bit hashes of a row's id and text, independent of how rows are partitioned.
 

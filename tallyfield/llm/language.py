@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
-from tallyfield.llm.common import sliced
+from tallyfield.llm.common import named, sliced
 
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
 UNDETERMINED = "und"
@@ -206,8 +207,8 @@ def keep_determined(docs: DataFrame, model: ByteCnn | None, least: float = 0.4)
     packed = docs.where(text.isNotNull() & text.rlike(r"\p{L}"))
     if model is None:
         return packed
-    packed = packed.select(text.alias("text"), F.struct(*rest).alias("rest"))
-    kind = packed.schema["rest"].dataType.simpleString()
+    packed = packed.select(text.alias("text"), F.struct(*named(rest)).alias("rest"))
+    schema = StructType().add("text", StringType()).add("rest", packed.schema["rest"].dataType)
     settings = model.settings
 
     def kernel(batches):
@@ -219,4 +220,4 @@ def keep_determined(docs: DataFrame, model: ByteCnn | None, least: float = 0.4)
                 keep[i] = total.max() >= least * len(w)
             yield batch.filter(pa.array(keep))
 
-    return packed.mapInArrow(kernel, f"text string, rest {kind}").select(*(F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
+    return packed.mapInArrow(kernel, schema).select(*(F.col("text") if c == "text" else named([c], "rest")[0] for c in docs.columns))

@@ -25,6 +25,8 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfield.llm.common import named
+
 #: Weights that are computed are whole multiples of 1 / UNIT: the root of a size n is under 1 / UNIT off, which over all
 #: of the source's quanta makes less than root(n) / 2**23 quanta.
 UNIT = 1 << 20
@@ -132,7 +134,7 @@ def with_schedule(docs: DataFrame, weights: dict | DataFrame | None = None, sett
     that repeat an id or have none. Sources that ``weights`` doesn't name raise an error. Numbering takes a hash
     bucket at a time, so that a source with a third of all rows is spread over many tasks; nothing comes to the driver.
     """
-    own = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in PLACE]
+    own = named([c for c in docs.columns if c not in PLACE], "_row")
     return _placed(docs, weights, settings).select(*own, *PLACE)
 
 
@@ -141,7 +143,7 @@ def _placed(docs: DataFrame, weights, settings: MixSettings) -> DataFrame:
     again = F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("bigint")
     # rows without an id go by their text
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), again.cast("string"))))
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "source", "doc_id", again.alias("_again"), h.alias("_h"))
+    keyed = docs.select(F.struct(*named(docs.columns)).alias("_row"), "source", "doc_id", again.alias("_again"), h.alias("_h"))
     keyed = keyed.withColumn("_bucket", F.substring("_h", 1, 3))
     per_bucket = keyed.groupBy("source", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     sources = per_bucket.groupBy("source").agg(F.sum("_n").alias("n"))
@@ -150,14 +152,14 @@ def _placed(docs: DataFrame, weights, settings: MixSettings) -> DataFrame:
         sources = sources.select("source", F.greatest(F.floor(root * UNIT), F.lit(1)).cast("bigint").alias("k"))
     else:
         if isinstance(weights, dict):
-            named = _given(docs, weights)
+            given = _given(docs, weights)
         else:
             most = F.max("weight").over(Window.partitionBy(F.lit(1)))
             unit = F.pow(F.lit(2.0), GIVEN_BITS - F.ceil(F.log2(most)))
-            named = weights.select("source", F.col("weight").cast("double").alias("weight")).withColumn("k", F.greatest(F.round(F.col("weight") * unit), F.lit(1)).cast("bigint")).select("source", "k")
+            given = weights.select("source", F.col("weight").cast("double").alias("weight")).withColumn("k", F.greatest(F.round(F.col("weight") * unit), F.lit(1)).cast("bigint")).select("source", "k")
         # shares are of all given weights, also of sources that have no rows
         there = sources.select(F.col("source").alias("_there"))
-        sources = named.join(there, F.col("source").eqNullSafe(F.col("_there")), "full_outer")
+        sources = given.join(there, F.col("source").eqNullSafe(F.col("_there")), "full_outer")
         known = F.when(F.col("k").isNotNull(), F.col("k")).otherwise(F.raise_error(F.concat(F.lit("no weight for source "), F.coalesce("_there", F.lit("null")))).cast("bigint"))
         sources = sources.select(F.coalesce("source", "_there").alias("source"), known.alias("k"))
     paths = source_paths(sources).select(F.col("source").alias("_s"), F.col("k").cast(_WIDE).alias("_k"), F.col("total").alias("_total"), F.col("path").alias("_path"))

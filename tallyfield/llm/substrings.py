@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 from tallyfield.llm.anchors import find_anchors, repeated_anchors
-from tallyfield.llm.common import sliced, text_chunks, text_key
+from tallyfield.llm.common import named, sliced, text_chunks, text_key
 
 DIGEST_SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 #: Order of strings: the anchor's hash first, so that runs part evenly without a sample.
@@ -477,9 +478,9 @@ def deduplicate(docs: DataFrame, settings: SubstringSettings = SubstringSettings
     stay null.
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    packed = docs.select("doc_id", "text", F.struct(*rest).alias("_rest")) if rest else docs.select("doc_id", "text", F.lit(None).cast("string").alias("_rest"))
+    packed = docs.select("doc_id", "text", F.struct(*named(rest)).alias("_rest")) if rest else docs.select("doc_id", "text", F.lit(None).cast("string").alias("_rest"))
     joined = _with_spans(packed, settings, ["_rest"]).select("doc_id", "text", "k2", "spans", "_rest")
-    kind = joined.schema["_rest"].dataType.simpleString()
+    schema = StructType().add("doc_id", LongType()).add("text", StringType()).add("_rest", joined.schema["_rest"].dataType)
 
     def kernel(batches):
         for batch in sliced(batches):
@@ -489,5 +490,5 @@ def deduplicate(docs: DataFrame, settings: SubstringSettings = SubstringSettings
                 out.append(t if t is None or not s else cut_spans(t.encode("utf-8", "surrogatepass"), s)[0].decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([cols["doc_id"], pa.array(out, pa.string()), cols["_rest"]], ["doc_id", "text", "_rest"])
 
-    done = joined.mapInArrow(kernel, f"doc_id bigint, text string, _rest {kind}")
-    return done.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns))
+    done = joined.mapInArrow(kernel, schema)
+    return done.select(*(F.col(c) if c in ("doc_id", "text") else named([c], "_rest")[0] for c in docs.columns))

@@ -180,13 +180,13 @@ def test_index_counts_against_plain_counts():
 # --- near-duplicates
 
 
-def shingles(text):
+def shingles(text, n=4):
     w = (text or "").encode().lower().split()
-    return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
 
 
-def plain_near(texts):
-    sets = [shingles(t) for _, t in texts]
+def plain_near(texts, n=4):
+    sets = [shingles(t, n) for _, t in texts]
     parent = {i: i for i, _ in texts if i is not None}
 
     def find(x):
