@@ -1,7 +1,7 @@
 """The engine's calls. Each reads tables of a store and gives DataFrames.
 
 A store is a folder with the Parquet tables transactions (portfolio, ticker, date, side, quantity, price),
-instruments (ticker, ccy, classes), prices (ticker, date, close, volume, dividend, split), fx (ccy, month, fx_rate), and, where
+instruments (ticker, ccy, classes), prices (ticker, date, close, volume, dividend, split), fx (ccy, date, fx_rate), and, where
 a call needs them, shares, statements and estimates. Fitted models are tables of the store too.
 """
 
@@ -123,8 +123,10 @@ class Engine:
         own = rows.select("date", "ticker", "ret", long.alias("e")).select("date", "ticker", "ret", "e.factor", "e.x").join(fitted.select("date", "factor", "factor_return"), ["date", "factor"])
         residuals = own.groupBy("date", "ticker").agg((F.max("ret") - F.sum(F.col("x") * F.col("factor_return"))).alias("residual"))
         last = x.groupBy("ticker").agg(F.max("date").alias("date"))
+        # what the regression of a date used, known the day before: factor attribution takes these
+        used = rows.select("date", "ticker", long.alias("e")).select("date", "ticker", "e.factor", "e.x")
         save_model(self.root, "risk", {
-            "exposures": x, "latest_exposures": x.join(last, ["ticker", "date"]).select("ticker", "factor", "x"),
+            "exposures": x, "used_exposures": used, "latest_exposures": x.join(last, ["ticker", "date"]).select("ticker", "factor", "x"),
             "factor_cov": R.ewma_covariance(fitted, settings.covariance_halflife), "idio_var": R.ewma_idio(residuals, settings.idio_halflife),
         })
         return R.factor_summary(fitted)
@@ -219,11 +221,12 @@ class Engine:
         return R.euler(self.weights_on(portfolio, date), x, cov, idio)
 
     def get_factor_attribution(self, portfolio: str, start: str, end: str, linked: bool = True) -> DataFrame:
-        """Components of the holdings return by factor; the window is read with a lead of 15 days."""
+        """Components of the holdings return by factor, with the exposures that were known the day before; the
+        window is read with a lead of 15 days."""
         lead = str(self.spark.range(1).select(F.date_sub(F.lit(start).cast("date"), 15)).first()[0])
         rows = U.weighted(self._perf(portfolio, lead, end)).where(F.col("date") >= F.lit(start).cast("date"))
         returns = U.rollup(rows, []).select("portfolio", "date", "ret_hlds")
-        x, f = self._risk("exposures", "factor_returns")
+        x, f = self._risk("used_exposures", "factor_returns")
         out = R.factor_attribution(R.resolved_weights(rows), x, f, returns)
         return R.linked_factor_attribution(out, returns) if linked else out
 

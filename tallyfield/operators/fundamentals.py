@@ -15,13 +15,19 @@ ESTIMATE_PERIODS = ("0q", "+1q", "0y", "+1y", "LTG")
 def asof_quarters(dates: DataFrame, statements: DataFrame, lag_days: int = 45, newest: int = 8) -> DataFrame:
     """For each (ticker, date) the newest reports whose period ended ``lag_days`` before the date.
 
-    ``statements`` is wide: (ticker, period_end, fields). The join is on ticker with a range on the
-    date; a ticker has a few reports a year, so it grows with dates, not with their square.
+    ``statements`` is wide: (ticker, period_end, fields). Reports are numbered by ticker; one window over
+    dates and reports together says how many were out by a date, and the newest of them join by number, so a
+    date meets ``newest`` reports at most, however long the history is.
     """
-    r = statements.withColumnRenamed("ticker", "_t")
-    both = dates.join(r, (F.col("ticker") == F.col("_t")) & (F.col("period_end") <= F.date_sub("date", lag_days))).drop("_t")
-    w = Window.partitionBy("ticker", "date").orderBy(F.desc("period_end"))
-    return both.withColumn("quarter_no", F.row_number().over(w)).where(F.col("quarter_no") <= newest)
+    ranked = statements.withColumn("_n", F.row_number().over(Window.partitionBy("ticker").orderBy("period_end")))
+    moments = dates.select("ticker", "date", F.date_sub("date", lag_days).alias("_at"), F.lit(None).cast("int").alias("_n")).unionByName(
+        ranked.select("ticker", F.lit(None).cast("date").alias("date"), F.col("period_end").alias("_at"), "_n")
+    )
+    # a report of the same day is out
+    out = Window.partitionBy("ticker").orderBy("_at", F.col("_n").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    known = moments.withColumn("_out", F.max("_n").over(out)).where("date is not null and _out is not null")
+    wanted = known.select("ticker", "date", "_out", F.explode(F.sequence(F.greatest(F.col("_out") - newest + 1, F.lit(1)), "_out")).alias("_n"))
+    return wanted.join(ranked, ["ticker", "_n"]).withColumn("quarter_no", F.col("_out") - F.col("_n") + 1).drop("_n", "_out")
 
 
 def nearest_price(dates: DataFrame, prices: DataFrame, tolerance: int = 1) -> DataFrame:

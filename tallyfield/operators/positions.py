@@ -24,14 +24,15 @@ def map_transactions(raw: DataFrame, columns: dict[str, str], codes: dict[str, s
     return out.withColumns({"buy_sell": mapped, "transaction_date": F.to_date(F.col("transaction_date").cast("string"), date_format)})
 
 
-def resolve_identifiers(transactions: DataFrame, instruments: DataFrame, suffixes: DataFrame, currencies: DataFrame) -> tuple[DataFrame, DataFrame]:
+def resolve_identifiers(transactions: DataFrame, instruments: DataFrame, suffixes: DataFrame, currencies: DataFrame, preferred_exchange: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(resolved, discarded) transactions.
 
     ``instruments`` (isin, currency, ticker, exchange, security_type): the first by exchange and ticker
-    stands for an (isin, currency). ``suffixes`` (exchange, suffix): the first in order is put after
+    stands for an (isin, currency), one at ``preferred_exchange`` before all others. ``suffixes`` (exchange, suffix): the first in order is put after
     the ticker. Ids in ``currencies`` (isin) are spot currencies.
     """
-    first = Window.partitionBy("isin", "currency").orderBy("exchange", "ticker")
+    liked = F.coalesce(F.col("exchange") == preferred_exchange, F.lit(False)) if preferred_exchange else F.lit(False)
+    first = Window.partitionBy("isin", "currency").orderBy(F.desc(liked), "exchange", "ticker")
     known = instruments.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     one = suffixes.groupBy("exchange").agg(F.min("suffix").alias("suffix"))
     known = known.join(one, "exchange", "left").withColumn("ticker", F.concat("ticker", F.coalesce("suffix", F.lit("")))).drop("suffix", "exchange")
@@ -125,12 +126,13 @@ def unadjust_prices(prices: DataFrame) -> DataFrame:
 
 
 def price_positions(daily: DataFrame, prices: DataFrame, fx: DataFrame, instruments: DataFrame) -> DataFrame:
-    """Positions with prices by (ticker, date) and rates by (ccy, month); missing ones stay null.
+    """Positions with prices by (ticker, date) and rates by (ccy, date); missing ones stay null, and
+    daily performance carries the last ones forward.
 
     ``instruments`` has ticker, ccy and classification columns.
     """
     out = daily.join(instruments, "ticker", "left").join(prices, ["ticker", "date"], "left")
-    return out.withColumn("month", F.trunc("date", "month")).join(fx, ["ccy", "month"], "left").drop("month")
+    return out.join(fx, ["ccy", "date"], "left")
 
 
 def cash_calendar(tickers: DataFrame, start: str, end: str) -> DataFrame:

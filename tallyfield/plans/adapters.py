@@ -56,12 +56,12 @@ class Tables:
         return one.select("ticker", "date", "close", "volume", F.when(first, F.floor(F.col("close") / 128).cast("double")).otherwise(0.0).alias("dividend"), F.when(odd & (F.col("date") == late), 2.0).otherwise(0.0).alias("split"))
 
     def fx(self) -> DataFrame:
-        """(ccy, month, fx_rate)."""
-        months = self.read("lineitem").select(F.trunc(F.to_date("l_shipdate"), "month").alias("month")).distinct()
+        """(ccy, date, fx_rate): daily rates, of weekdays only."""
+        days = self.read("lineitem").select(F.to_date("l_shipdate").alias("date")).distinct().where(F.weekday("date") < 5)
         ccys = self.instruments().select("ccy").distinct()
-        # five currencies and the months there are
-        both = months.crossJoin(F.broadcast(ccys))
-        return both.select("ccy", "month", (1 + F.substring("ccy", 2, 9).cast("double") / 8 + F.month("month") / 64).alias("fx_rate"))
+        # five currencies and the days there are
+        both = days.crossJoin(F.broadcast(ccys))
+        return both.select("ccy", "date", (1 + F.substring("ccy", 2, 9).cast("double") / 8 + F.month("date") / 64 + F.dayofmonth("date") / 1024).alias("fx_rate"))
 
     def snapshots(self) -> DataFrame:
         return P.running_quantity(self.by_day())

@@ -60,10 +60,12 @@ def both(keys: list[str], doubles: list[str], digits: int = 6) -> str:
 @query("SELECT CAST(l_shipdate AS DATE) AS date, COUNT(*) AS n, SUM(l_quantity) AS quantity FROM lineitem WHERE CAST(l_shipdate AS DATE) BETWEEN "
        "(SELECT greatest(MIN(CAST(l_shipdate AS DATE)), DATE '1996-01-01') FROM lineitem WHERE l_linestatus = 'O') AND (SELECT least(MAX(CAST(l_shipdate AS DATE)), DATE '1997-06-30') FROM lineitem WHERE l_linestatus = 'O') GROUP BY ALL")
 def scan_filter_window(t: Tables) -> DataFrame:
-    line = t.read("lineitem").select(F.to_date("l_shipdate").alias("date"), "l_quantity", "l_linestatus")
+    line = t.read("lineitem").select(F.to_date("l_shipdate").alias("date"), "l_shipdate", "l_quantity", "l_linestatus")
     a, b = F.lit("1996-01-01").cast("date"), F.lit("1997-06-30").cast("date")
     window = line.where("l_linestatus = 'O'").agg(F.greatest(F.min("date"), a).alias("a"), F.least(F.max("date"), b).alias("b"))  # one row
-    return line.join(F.broadcast(window), F.col("date").between(F.col("a"), F.col("b"))).groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+    # the range that both ends lie in reaches the scan
+    inside = line.where((F.col("l_shipdate") >= a) & (F.col("l_shipdate") < F.date_add(b, 1)))
+    return inside.join(F.broadcast(window), F.col("date").between(F.col("a"), F.col("b"))).groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
 @query(sql(f"SELECT {both(['portfolio', 'date'], ['ret', 'contribution'])} FROM (SELECT portfolio, date, (ret - 1) * 100 AS ret, contribution * 100 AS contribution FROM root)"))

@@ -24,14 +24,14 @@ prices AS (SELECT ticker, date, close, volume,
 quoted AS (SELECT *, close * later AS raw_close, later * s1 AS split_factor FROM (
   SELECT *, COALESCE(product(s1) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1.0) AS later
   FROM (SELECT *, CASE WHEN split = 0 THEN 1.0 ELSE split END AS s1 FROM prices))),
-fx AS (SELECT ccy, month, 1 + CAST(substr(ccy, 2) AS DOUBLE) / 8 + month(month) / 64 AS fx_rate
-  FROM (SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS DATE) AS month FROM lineitem), (SELECT DISTINCT ccy FROM instruments)),
+fx AS (SELECT ccy, date, 1 + CAST(substr(ccy, 2) AS DOUBLE) / 8 + month(date) / 64 + day(date) / 1024 AS fx_rate
+  FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem WHERE isodow(l_shipdate) < 6), (SELECT DISTINCT ccy FROM instruments)),
 snapshots AS (SELECT portfolio, ticker, date, SUM(signed_quantity) OVER (PARTITION BY portfolio, ticker ORDER BY date) AS quantity FROM by_day),
 spans AS (SELECT *, lead(date) OVER (PARTITION BY portfolio, ticker ORDER BY date) AS nxt, MAX(date) OVER (PARTITION BY portfolio) AS last FROM snapshots),
 daily AS (SELECT portfolio, ticker, CAST(unnest(generate_series(CAST(date AS TIMESTAMP), CAST(CASE WHEN quantity = 0 THEN date ELSE COALESCE(nxt - 1, last) END AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date, quantity FROM spans),
 priced AS (SELECT d.portfolio, d.ticker, d.date, d.quantity, i.ccy, i.c1, i.c2, q.close, q.dividend, q.split_factor, f.fx_rate
   FROM daily d LEFT JOIN instruments i USING (ticker) LEFT JOIN quoted q ON q.ticker = d.ticker AND q.date = d.date
-  LEFT JOIN fx f ON f.ccy = i.ccy AND f.month = CAST(date_trunc('month', d.date) AS DATE)),
+  LEFT JOIN fx f ON f.ccy = i.ccy AND f.date = d.date),
 filled AS (SELECT p.portfolio, p.ticker, p.date, p.ccy, p.c1, p.c2, p.quantity, last_value(p.close IGNORE NULLS) OVER w AS close,
   COALESCE(last_value(p.fx_rate IGNORE NULLS) OVER w, 1.0) AS fx_rate, last_value(p.split_factor IGNORE NULLS) OVER w AS split_factor,
   COALESCE(p.dividend, 0.0) AS dividend, b.traded_quantity, b.signed_cash, b.gross_cash, COALESCE(b.n_trades, 0) AS n_trades
@@ -64,12 +64,12 @@ returned AS (SELECT *, wp AS w_pos, wt AS w_trb, CASE level WHEN 0 THEN COALESCE
   CASE level WHEN 0 THEN COALESCE(t, 0) + 1 ELSE t / NULLIF(wt, 0) + 1 END AS tx_ret, CASE level WHEN 0 THEN COALESCE(tl, 0) + 1 ELSE tl / NULLIF(wt, 0) + 1 END AS tx_ret_lcl FROM summed),
 nodes AS (SELECT *, ret - ret_lcl + 1 AS ccy_ret FROM (SELECT *, COALESCE(ret_hlds, 1) + COALESCE(tx_ret, 1) - 1 AS ret, COALESCE(ret_hlds_lcl, 1) + COALESCE(tx_ret_lcl, 1) - 1 AS ret_lcl FROM returned)),
 root AS (SELECT * FROM nodes WHERE level = 0),
-all_nodes AS (SELECT portfolio, date, level, c1, c2, NULL AS ticker, w_pos, w_trb, ret, ret_lcl, ret_hlds, ret_hlds_lcl, tx_ret_lcl, contribution FROM nodes
+all_nodes AS MATERIALIZED (SELECT portfolio, date, level, c1, c2, NULL AS ticker, w_pos, w_trb, ret, ret_lcl, ret_hlds, ret_hlds_lcl, tx_ret_lcl, contribution FROM nodes
   UNION ALL SELECT portfolio, date, 3, c1, c2, ticker, w_pos, w_trb, ret, ret_lcl, ret_hlds, ret_hlds_lcl, tx_ret_lcl, contribution FROM weighted),
 tree AS (SELECT COALESCE(a.date, b.date) AS date, COALESCE(a.level, b.level) AS level, COALESCE(a.c1, b.c1) AS c1, COALESCE(a.c2, b.c2) AS c2, COALESCE(a.ticker, b.ticker) AS ticker,
   a.w_pos, b.w_pos AS w_pos_bench, a.ret, b.ret AS ret_bench, a.ret_hlds_lcl, b.ret_hlds_lcl AS ret_hlds_lcl_bench
   FROM (SELECT * FROM all_nodes WHERE portfolio = 'F') a FULL JOIN (SELECT * FROM all_nodes WHERE portfolio = 'O') b
-  ON a.date = b.date AND a.level = b.level AND COALESCE(a.c1, '-') = COALESCE(b.c1, '-') AND COALESCE(a.c2, '-') = COALESCE(b.c2, '-') AND COALESCE(a.ticker, '-') = COALESCE(b.ticker, '-')),
+  ON a.date = b.date AND a.level = b.level AND a.c1 IS NOT DISTINCT FROM b.c1 AND a.c2 IS NOT DISTINCT FROM b.c2 AND a.ticker IS NOT DISTINCT FROM b.ticker),
 sides AS (SELECT date, level, c1, c2, ticker, COALESCE(w_pos, 0) AS p, COALESCE(w_pos_bench, 0) AS b, COALESCE(ret_hlds_lcl, 1) AS rp, COALESCE(ret_hlds_lcl_bench, 1) AS rb FROM tree),
 hurdle AS (SELECT date, rb AS h, rp AS root_rp FROM sides WHERE level = 0 AND p <> 0 AND b <> 0),
 parented AS (SELECT s.*, h.h, h.root_rp, u.p AS pp, u.b AS bp FROM sides s JOIN hurdle h USING (date) LEFT JOIN sides u ON u.date = s.date AND u.level = s.level - 1 AND u.level >= 1

@@ -90,11 +90,31 @@ def perf(spark, trades):
     daily = P.unroll_daily(P.running_quantity(P.daily_trades(trades)))
     rows = [(t, day(i), 100.0 + 3 * i + 7 * j, 1.0 if (t, i) == ("AAA", 3) else 0.0, 1.0) for j, t in enumerate(("AAA", "BBB", "CCC")) for i in range(6) if i != 4]
     prices = spark.createDataFrame(rows, "ticker string, date date, close double, dividend double, split_factor double")
-    fx = spark.createDataFrame([("USD", dt.date(2024, 1, 1), 2.0)], "ccy string, month date, fx_rate double")
+    fx = spark.createDataFrame([("USD", dt.date(2024, 1, 1), 2.0)], "ccy string, date date, fx_rate double")
     inst = spark.createDataFrame([("AAA", "USD", "S0", "x"), ("BBB", "USD", "S1", "y"), ("CCC", "USD", "S1", "y")], "ticker string, ccy string, c1 string, c2 string")
     return D.daily_performance(P.price_positions(daily, prices, fx, inst), P.daily_trades(trades)).cache()
 
 
+def test_rates_move_from_day_to_day_and_gaps_are_carried(spark, trades):
+    daily = P.unroll_daily(P.running_quantity(P.daily_trades(trades))).where("ticker = 'AAA'")
+    prices = spark.createDataFrame([("AAA", day(i), 100.0, 0.0, 1.0) for i in range(6)], "ticker string, date date, close double, dividend double, split_factor double")
+    fx = spark.createDataFrame([("EUR", day(0), 1.0), ("EUR", day(1), 1.25), ("EUR", day(3), 1.5)], "ccy string, date date, fx_rate double")
+    inst = spark.createDataFrame([("AAA", "EUR")], "ticker string, ccy string")
+    rows = {r.date: r for r in D.daily_performance(P.price_positions(daily, prices, fx, inst), P.daily_trades(trades)).collect()}
+    assert [rows[day(i)].fx_rate for i in range(6)] == [1.0, 1.25, 1.25, 1.5, 1.5, 1.5]
+    assert rows[day(1)].ret == pytest.approx(1.25) and rows[day(1)].ret_lcl == 1 and rows[day(1)].ccy_ret == pytest.approx(1.25)
+    assert rows[day(3)].ccy_ret == pytest.approx(1.2) and rows[day(4)].ccy_ret == 1
+
+
+def test_a_preferred_exchange_comes_first(spark):
+    tx = spark.createDataFrame([("I1", "EUR"), ("I2", "EUR")], "isin string, currency string")
+    inst = spark.createDataFrame([("I1", "EUR", "A", "FP", "Common Stock"), ("I1", "EUR", "B", "GY", "Common Stock"), ("I2", "EUR", "C", "FP", "Common Stock")], "isin string, currency string, ticker string, exchange string, security_type string")
+    suffixes = spark.createDataFrame([("GY", ".DE"), ("FP", ".PA")], "exchange string, suffix string")
+    none = spark.createDataFrame([], "isin string")
+    tickers = lambda liked: sorted(r.ticker for r in P.resolve_identifiers(tx, inst, suffixes, none, liked)[0].collect())
+    assert tickers(None) == ["A.PA", "C.PA"] and tickers("GY") == ["B.DE", "C.PA"]
+
+
 def test_first_day_has_no_holding_profit(perf):
     first = perf.where("ticker = 'AAA' and date = '2024-01-01'").first()
     assert (first.bod if "bod" in first else first.position_basis, first.pnl_lcl, first.trb_lcl) == (0, 0.0, 1000.0)

@@ -88,7 +88,7 @@ def engine(spark, tmp_path_factory):
     T.write_table(frame(prices, "ticker string, date date, close double, volume int, dividend double, split double"), d, "prices")
     T.write_table(frame(trades, "portfolio string, ticker string, date date, side string, quantity double, price double"), d, "transactions")
     T.write_table(frame([(t, "USD" if j % 2 else "EUR", f"S{j % 3}", f"C{j % 2}") for j, t in enumerate(tickers)], "ticker string, ccy string, c1 string, c2 string"), d, "instruments")
-    T.write_table(frame([(c, dt.date(2023, m, 1), 1.0 if c == "USD" else 1.0 + m / 64) for c in ("USD", "EUR") for m in range(1, 7)], "ccy string, month date, fx_rate double"), d, "fx")
+    T.write_table(frame([(c, dt.date(2023, m, 1), 1.0 if c == "USD" else 1.0 + m / 64) for c in ("USD", "EUR") for m in range(1, 7)], "ccy string, date date, fx_rate double"), d, "fx")
     T.write_table(frame([(t, DAY, 1e6 * (j + 1)) for j, t in enumerate(tickers)], "ticker string, report_date date, shares double"), d, "shares")
     for p in ("P", "B"):
         e.impute_positions(p)
