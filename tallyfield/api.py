@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from tallyfield.operators import risk as R
 from tallyfield.operators import rollup as U
 from tallyfield.operators.performance import daily_performance
 from tallyfield.sources.config import SourceConfig
-from tallyfield.sources.tables import load_model, read_table, save_model, write_table
+from tallyfield.sources.tables import CURRENCIES, EXCHANGE_SUFFIXES, load_model, read_table, save_model, write_table
 
 
 @dataclass
@@ -50,14 +51,41 @@ class Engine:
 
     # positions
 
-    def impute_positions(self, portfolio: str) -> DataFrame:
-        """Dense, priced daily positions of a portfolio's transactions; written to the store."""
+    def import_transactions(self, portfolio: str, raw: DataFrame, columns: dict[str, str], codes: dict[str, str], date_format: str = "yyyy-MM-dd", append: bool = False, preferred_exchange: str | None = None) -> DataFrame:
+        """Take raw rows into the store's transactions of ``portfolio``; the rows that no instrument resolves.
+
+        ``columns`` names raw columns as isin, currency, transaction_date, buy_sell, quantity and price, ``codes`` turns the raw
+        codes into B and S. Identifiers resolve by the store's listings (isin, currency, ticker, exchange, security_type),
+        suffixes (exchange, suffix) and currencies known as cash. ``append`` keeps what is there, repeated rows too.
+        """
+        mapped = P.map_transactions(raw, columns, codes, date_format)
+        suffixes = self._there("suffixes")
+        suffixes = self.spark.createDataFrame(list(EXCHANGE_SUFFIXES), "exchange string, suffix string") if suffixes is None else suffixes
+        cash = self.spark.createDataFrame([(c,) for c in CURRENCIES], "isin string")
+        known, unknown = P.resolve_identifiers(mapped, self.table("listings"), suffixes, cash, preferred_exchange)
+        new = known.select("ticker", F.col("transaction_date").alias("date"), F.col("buy_sell").alias("side"), F.col("quantity").cast("double").alias("quantity"), F.col("price").cast("double").alias("price"))
+        there = self._there("transactions")
+        if append and there is not None:
+            new = P.append_transactions(there.where(F.col("portfolio") == portfolio).drop("portfolio"), new)
+        # a table that is read can't be written over: the new one is complete before it takes the place
+        ready = f"transactions_new_{portfolio}"
+        write_table(new, self.root, ready)
+        others = there.where(F.col("portfolio") != portfolio) if there is not None else None
+        own = self.table(ready).withColumn("portfolio", F.lit(portfolio))
+        write_table(own if others is None else others.unionByName(own, allowMissingColumns=True), self.root, "transactions_new")
+        write_table(self.table("transactions_new"), self.root, "transactions")
+        return unknown
+
+    def impute_positions(self, portfolio: str, base_currency: str | None = None) -> DataFrame:
+        """Dense, priced daily positions of a portfolio's transactions; written to the store. Rates are those of the store,
+        against ``base_currency`` if it names one of its currencies."""
         trades = self._of("transactions", portfolio)
         splits = self.table("prices").where(F.coalesce("split", F.lit(0.0)) != 0).select("ticker", F.col("date").alias("split_date"))
         trades = P.align_split_dates(trades, splits)
         daily = P.extend_to_last_price(P.unroll_daily(P.running_quantity(P.daily_trades(trades))), self.table("prices"))
         prices = P.unadjust_prices(self.table("prices")).select("ticker", "date", F.col("raw_close").alias("close"), "dividend", "split_factor")
-        out = P.price_positions(daily, prices, self.table("fx"), self.table("instruments"))
+        fx = P.rebased(self.table("fx"), base_currency) if base_currency else self.table("fx")
+        out = P.price_positions(daily, prices, fx, self.table("instruments"))
         write_table(out.drop("portfolio"), self.root, f"positions/portfolio={portfolio}")
         return self._of("positions", portfolio)
 
@@ -83,8 +111,13 @@ class Engine:
                 rows = rows.join(I.tracking(rows.select(*P.POSITION, "date", "ret"), bench, P.POSITION), P.POSITION, "left")
         return rows
 
-    def portfolio_totals(self, portfolio: str, start: str, end: str, classes: list[str] = (), benchmark: str | None = None) -> DataFrame:
-        """Series of the root and all buckets with returns linked over time, of the benchmark too."""
+    def portfolio_totals(self, portfolio: str, start: str, end: str, classes: list[str] = (), benchmark: str | None = None, indicators: bool = False) -> DataFrame:
+        """Series of the root and all buckets, of the benchmark too.
+
+        acc_ columns: total, holdings and trading returns linked with their local parts, the currency's part, profits as running
+        sums, and contributions linked by the portfolio's own return, so that a level's add up to it. ``indicators``: trailing
+        returns and ex-post risk of every node's series.
+        """
         names = [portfolio] + ([benchmark] if benchmark else [])
         rows = None
         for n in names:
@@ -92,7 +125,12 @@ class Engine:
             rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
         nodes = U.rollup(rows, list(classes))
         keys = ["portfolio", "level", *classes]
-        return L.link_split(nodes, keys, "ret", ["ret_lcl", "ccy_ret"])
+        out = L.link_split(nodes, keys, "ret", ["ret_lcl", "ccy_ret"])
+        out = L.link_split(out, keys, "ret_hlds", ["ret_hlds_lcl"])
+        out = L.link_split(out, keys, "tx_ret", ["tx_ret_lcl"])
+        out = L.accumulate(out, keys, [], ["pnl", "pnl_lcl", "income_pnl", "tx_pnl"])
+        out = L.link_contributions(out, keys, ["contribution", "contribution_lcl"])
+        return I.spread(I.trailing_local(I.trailing_returns(out, keys), keys), keys) if indicators else out
 
     def performance_attribution(self, portfolio: str, benchmark: str, start: str, end: str, classes: list[str], trend: bool = False) -> DataFrame:
         """Linked attribution effects on the last date, or weekly over the window."""
@@ -107,15 +145,33 @@ class Engine:
 
     # risk model
 
-    def risk_calibration(self, tickers: list[str] | None = None, settings: X.FactorSettings = X.FactorSettings(), factors: tuple[str, ...] = ("momentum", "low_vol", "reversal", "liquidity")) -> DataFrame:
-        """Fit the cross-sectional model on the price panel and keep it in the store; its summary."""
+    def _there(self, name: str) -> DataFrame | None:
+        """A table of the store that may be missing."""
+        try:
+            return self.table(name)
+        except AnalysisException:
+            return None
+
+    def risk_calibration(self, tickers: list[str] | None = None, settings: X.FactorSettings = X.FactorSettings(), sector: str | None = None, scheme: str = "sqrt_mktcap", start: str | None = None, end: str | None = None) -> DataFrame:
+        """Fit the cross-sectional model and keep it in the store; its summary.
+
+        Price factors always take part; size, value and quality where the store has statements; dummies of the
+        instruments' class ``sector``. Weights follow capitalisation by ``scheme`` where shares are known. Returns from
+        ``start`` to ``end`` are fitted; exposures look back before ``start``.
+        """
         panel = self.table("prices")
         panel = panel.where(F.col("ticker").isin(tickers)) if tickers else panel
-        z = X.winsor_z(X.price_factors(panel, settings).select("date", "ticker", *factors), list(factors), settings.winsor)
+        panel = panel.where(F.col("date") <= F.lit(end).cast("date")) if end else panel
+        kinds, names = None, []
+        if sector:
+            kinds = self.table("instruments").select("ticker", F.col(sector).alias("sector"))
+            names = [r[0] for r in kinds.where("sector is not null").select("sector").distinct().orderBy("sector").collect()]  # a classification's few labels
+        z, factors = X.exposure_panel(panel, settings, self._there("statements"), kinds, names)
         rows = X.previous_exposures(z, X.daily_returns(panel))
+        rows = rows.where(F.col("date") >= F.lit(start).cast("date")) if start else rows
         save_model(self.root, "risk", {"cross_section": rows})
         rows = load_model(self.spark, self.root, "risk", ["cross_section"])["cross_section"]
-        fitted = R.wls_multi(rows, list(factors), least=settings.min_stocks)
+        fitted = R.wls_multi(rows, factors, "cap", scheme, settings.min_stocks)
         save_model(self.root, "risk", {"factor_returns": fitted})
         fitted = load_model(self.spark, self.root, "risk", ["factor_returns"])["factor_returns"]
         long = F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f).alias("x")) for f in factors)))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfield.functions.columns import ratio
+from tallyfield.operators.fundamentals import asof_quarters, latest_values, trailing_sums
 
 
 @dataclass(frozen=True)
@@ -35,13 +36,18 @@ def daily_returns(panel: DataFrame, bound: float = 0.5) -> DataFrame:
     return out.where(F.col("ret").between(-bound, bound)).select("date", "ticker", "ret")
 
 
-def price_factors(panel: DataFrame, s: FactorSettings = FactorSettings()) -> DataFrame:
-    """momentum, low_vol, reversal and liquidity as of each date, where history suffices."""
+PRICE_FACTORS = ("momentum", "low_vol", "reversal", "liquidity")
+VALUE_FACTORS = ("size", "value_ep", "value_bp", "quality_roe", "quality_gm")
+
+
+def price_factors(panel: DataFrame, s: FactorSettings = FactorSettings(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """momentum, low_vol, reversal and liquidity as of each date, where history suffices, and the panel's
+    columns ``keep``."""
     w = Window.partitionBy("ticker").orderBy("date")
     rows = panel.withColumns({"_r": F.col("close") / F.lag("close").over(w) - 1, "_n": F.row_number().over(w)})
     past = lambda n: F.lag("close", n).over(w)
     return rows.select(
-        "date", "ticker", "_n",
+        "date", "ticker", "_n", *keep,
         (past(s.momentum_skip) / past(s.momentum - 1) - 1).alias("momentum"),
         F.when(F.col("_n") > s.low_vol, -F.stddev_samp("_r").over(w.rowsBetween(-(s.low_vol - 1), 0)) * (s.periods**0.5)).alias("low_vol"),
         (-(F.col("close") / past(s.reversal) - 1)).alias("reversal"),
@@ -81,6 +87,32 @@ def sector_dummies(rows: DataFrame, sectors: list[str], column: str = "sector")
     return rows.withColumns({f"sector_{s}": F.when(F.col(column) == s, 1.0).otherwise(0.0) for s in sorted(sectors)[1:]})
 
 
+def exposure_panel(panel: DataFrame, s: FactorSettings = FactorSettings(), statements: DataFrame | None = None, sectors: DataFrame | None = None, names: list[str] = ()) -> tuple[DataFrame, list[str]]:
+    """(date, ticker, cap, factors...) and the factors' names: price factors, with ``statements`` size, value
+    and quality too, all as clipped z-scores, and a dummy for each sector of ``names`` but the first.
+
+    ``statements`` (ticker, period_end, net_income, revenue, gross_profit, equity, shares) count from
+    ``report_lag_days`` after a period's end; flows are trailing sums of four quarters. ``sectors`` is
+    (ticker, sector). The set of factors is the same on every date. cap is null without shares.
+    """
+    rows = price_factors(panel, s, ("close",)).withColumnRenamed("close", "price")
+    styles = list(PRICE_FACTORS)
+    if statements is not None:
+        quarters = asof_quarters(rows.select("ticker", "date"), statements, s.report_lag_days)
+        flows = trailing_sums(quarters, ["net_income", "revenue", "gross_profit"]).select("ticker", "date", *(F.col(f"{c}_ttm").alias(c) for c in ("net_income", "revenue", "gross_profit")))
+        stocks = latest_values(quarters, {"equity": ["equity"], "shares": ["shares"]})
+        rows = value_factors(rows.join(flows, ["ticker", "date"], "left").join(stocks, ["ticker", "date"], "left"))
+        rows = rows.withColumn("cap", F.col("price") * F.col("shares"))
+        styles += VALUE_FACTORS
+    else:
+        rows = rows.withColumn("cap", F.lit(None).cast("double"))
+    z = winsor_z(rows.select("date", "ticker", "cap", *styles), styles, s.winsor)
+    if sectors is None:
+        return z, styles
+    z = sector_dummies(z.join(sectors.select("ticker", "sector"), "ticker", "left"), names).drop("sector")
+    return z, [*styles, *(f"sector_{n}" for n in sorted(names)[1:])]
+
+
 def previous_exposures(exposures: DataFrame, returns: DataFrame) -> DataFrame:
     """Returns of a date with exposures as of the panel's date before: no look ahead."""
     days = returns.select("date").distinct()

@@ -36,6 +36,22 @@ def link_active(rows: DataFrame, keys: list[str], portfolio: str, benchmark: str
     return rows.withColumns(out | {"acc_active": (F.col("_all_p") - F.col("_all_b")) * 100}).drop("_p", "_b", "_day_k", "_all_p", "_all_b", "_all_k", "_first")
 
 
+def link_contributions(nodes: DataFrame, keys: list[str], contributions: list[str], order: str = "date") -> DataFrame:
+    """acc_<contribution>: contributions to the portfolio's return, linked by the return of its root (level 0) of the
+    same date, so that those of a level add up to the compounded return. A series' rows before its first count as nothing.
+
+    ``nodes`` has portfolio, level, ret and the contributions; the root's coefficients come from its own whole series.
+    """
+    w = Window.partitionBy("portfolio").orderBy(order)
+    root = nodes.where("level = 0").select("portfolio", order, "ret")
+    root = root.withColumn("_r", F.when(F.row_number().over(w) == 1, 1.0).otherwise(F.coalesce(F.when(F.col("ret") > 0, F.col("ret")), F.lit(1.0))))
+    root = root.withColumn("_all_k", carino_k(F.product("_r").over(so_far(w)))).select("portfolio", order, carino_k(F.col("_r")).alias("_day_k"), "_all_k", (F.row_number().over(w) == 1).alias("_start"))
+    rows = nodes.join(root, ["portfolio", order], "left")
+    own = so_far(Window.partitionBy(*keys).orderBy(order))
+    part = lambda c: F.when(F.col("_start"), 0.0).otherwise(F.col("_day_k") * F.coalesce(c, F.lit(0.0)))
+    return rows.withColumns({f"acc_{c}": F.sum(part(c)).over(own) / F.col("_all_k") for c in contributions}).drop("_day_k", "_all_k", "_start")
+
+
 def accumulate(rows: DataFrame, keys: list[str], returns: list[str], amounts: list[str], order: str = "date") -> DataFrame:
     """acc_ columns: compounded 1-based returns (first row flat) and running sums."""
     w = Window.partitionBy(*keys).orderBy(order)

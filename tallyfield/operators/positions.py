@@ -135,6 +135,12 @@ def price_positions(daily: DataFrame, prices: DataFrame, fx: DataFrame, instrume
     return out.join(fx, ["ccy", "date"], "left")
 
 
+def rebased(fx: DataFrame, base: str) -> DataFrame:
+    """Rates (ccy, date, fx_rate) against another currency of the table: each by that one's rate of the date."""
+    to = fx.where(F.col("ccy") == base).select("date", F.col("fx_rate").alias("_to"))
+    return fx.join(to, "date").select("ccy", "date", (F.col("fx_rate") / F.nullif("_to", F.lit(0.0))).alias("fx_rate"))
+
+
 def cash_calendar(tickers: DataFrame, start: str, end: str) -> DataFrame:
     """Cash at price 1 on every calendar day, without a weekend at the end."""
     days = tickers.select("ticker", F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"), F.expr("interval 1 day"))).alias("date"))

@@ -41,7 +41,8 @@ def wls_multi(rows: DataFrame, factors: list[str], cap: str | None = None, schem
     """(date, factor, factor_return, t_stat, r2) from one regression per date, in Arrow batches.
 
     A date is one cross section, bounded by the number of instruments. Rows with a missing value and
-    dates with fewer than ``least`` rows are left out. ``scheme``: sqrt_mktcap, mktcap or equal.
+    dates with fewer than ``least`` rows are left out. ``scheme``: sqrt_mktcap, mktcap or equal; a missing
+    or non-positive ``cap`` counts as the date's median, and all are equal where none is usable.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -49,6 +50,8 @@ def wls_multi(rows: DataFrame, factors: list[str], cap: str | None = None, schem
         if len(pdf) < max(least, len(factors)):
             return pd.DataFrame({"date": pd.Series(dtype=object), "factor": pd.Series(dtype=str), "factor_return": [], "t_stat": [], "r2": []})
         size = pdf[cap].to_numpy(float) if cap else np.ones(len(pdf))
+        good = np.isfinite(size) & (size > 0)
+        size = np.where(good, size, np.median(size[good]) if good.any() else 1.0)
         w = {"sqrt_mktcap": np.sqrt(size), "mktcap": size}.get(scheme, np.ones(len(pdf)))
         f, _, r2, t = wls_kernel(pdf["ret"].to_numpy(float), pdf[factors].to_numpy(float), w)
         return pd.DataFrame({"date": pdf["date"].iloc[0], "factor": factors, "factor_return": f, "t_stat": t, "r2": r2})

@@ -468,9 +468,38 @@ def risk_wls_single(t: Tables) -> DataFrame:
     return shown(R.wls_single(_cross_section(t), "momentum"), ["date"], ["factor_return"], 7)
 
 
-@query()
+def _scores(columns: list[str], source: str, keep: str = "") -> str:
+    """Clipped cross-sectional z-scores of columns of ``source`` (date, ticker, ...)."""
+    clip = ", ".join(f"{c} AS raw_{c}, COUNT({c}) OVER d AS n_{c}, CASE WHEN {c} IS NOT NULL THEN greatest(least({c}, AVG({c}) OVER d + 3 * stddev_samp({c}) OVER d), AVG({c}) OVER d - 3 * stddev_samp({c}) OVER d) END AS c_{c}" for c in columns)
+    score = ", ".join(f"CASE WHEN n_{c} >= 5 AND stddev_samp(c_{c}) OVER d > 0 AND raw_{c} IS NOT NULL THEN (c_{c} - AVG(c_{c}) OVER d) / stddev_samp(c_{c}) OVER d ELSE 0.0 END AS {c}" for c in columns)
+    return f"SELECT date, ticker{keep}, {score} FROM (SELECT date, ticker{keep}, {clip} FROM {source} WINDOW d AS (PARTITION BY date)) WINDOW d AS (PARTITION BY date)"
+
+
+_TWO = _RET + f""", two AS ({_scores(["momentum", "reversal"], "fac")}),
+xy AS (SELECT r.date, r.ret AS y, z.momentum AS a, z.reversal AS b FROM rets r JOIN days d USING (date) JOIN two z ON z.date = d.before AND z.ticker = r.ticker),
+mom2 AS (SELECT date, COUNT(*) AS n, SUM(a * a) AS aa, SUM(a * b) AS ab, SUM(b * b) AS bb, SUM(a * y) AS ay, SUM(b * y) AS yb, SUM(y * y) AS yy, SUM(y) AS sy FROM xy GROUP BY date HAVING COUNT(*) >= 20),
+sol AS (SELECT *, aa * bb - ab * ab AS det, (bb * ay - ab * yb) / (aa * bb - ab * ab) AS fa, (aa * yb - ab * ay) / (aa * bb - ab * ab) AS fb FROM mom2),
+err AS (SELECT *, yy - fa * ay - fb * yb AS sse, yy - sy * sy / n AS sst FROM sol)"""
+
+
+@query(sql(f"SELECT {both(['date', 'factor'], ['factor_return', 't_stat', 'r2'], 5)} FROM (SELECT date, 'momentum' AS factor, fa AS factor_return, fa / sqrt(bb / det * sse / n) AS t_stat, 1 - sse / sst AS r2 FROM err UNION ALL SELECT date, 'reversal', fb, fb / sqrt(aa / det * sse / n), 1 - sse / sst FROM err)", _TWO))
 def risk_wls_multi(t: Tables) -> DataFrame:
-    return R.wls_multi(_cross_section(t), ["momentum", "reversal"])
+    return shown(R.wls_multi(_cross_section(t), ["momentum", "reversal"]), ["date", "factor"], ["factor_return", "t_stat", "r2"], 5)
+
+
+_ALL = [*X.PRICE_FACTORS, *X.VALUE_FACTORS]
+_PANEL = _FAC.replace("SELECT date, ticker, row_number()", "SELECT date, ticker, close AS price, row_number()") + f""", reported AS (SELECT * FROM (SELECT f.ticker, f.date, s.* EXCLUDE (ticker), row_number() OVER (PARTITION BY f.ticker, f.date ORDER BY s.period_end DESC) AS quarter_no FROM fac f JOIN statements s ON s.ticker = f.ticker AND s.period_end <= f.date - 45) WHERE quarter_no <= 8),
+flow AS (SELECT ticker, date, arg_max(equity, period_end) AS equity, arg_max(shares, period_end) AS shares, {", ".join(f"CASE WHEN COUNT(*) FILTER (quarter_no <= 4) >= 2 THEN SUM({c}) FILTER (quarter_no <= 4) * 4 / COUNT(*) FILTER (quarter_no <= 4) END AS {c}" for c in ("net_income", "revenue", "cash_flow"))} FROM reported GROUP BY ALL),
+style AS (SELECT f.*, price * shares AS cap, ln(CASE WHEN price * shares > 0 THEN price * shares END) AS size, net_income / NULLIF(price * shares, 0) AS value_ep, equity / NULLIF(price * shares, 0) AS value_bp, CASE WHEN equity > 0 THEN net_income / equity END AS quality_roe, cash_flow / NULLIF(revenue, 0) AS quality_gm FROM fac f LEFT JOIN flow USING (ticker, date)),
+full_panel AS ({_scores(_ALL, "style", ", cap")})"""
+
+
+@query(sql(f"SELECT {both(['date', 'ticker'], ['cap', *_ALL], 4)}, {', '.join(f'CASE WHEN ticker % 4 = {i} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS sector_{i}' for i in (1, 2, 3))} FROM full_panel", _PANEL))
+def risk_exposure_panel(t: Tables) -> DataFrame:
+    """All factors of the calibration: price, value and quality scores and sector dummies, with the capitalisation."""
+    sectors = t.read("events").select(F.col("user_id").alias("ticker"), (F.col("user_id") % 4).cast("string").alias("sector")).distinct()
+    z, _ = X.exposure_panel(t.events_panel(), SMALL, t.statements().withColumn("gross_profit", F.col("cash_flow")), sectors, ["0", "1", "2", "3"])
+    return shown(z, ["date", "ticker", "sector_1", "sector_2", "sector_3"], ["cap", *_ALL], 4).select("date", "ticker", *(rounded(c, 4).alias(c) for c in ("cap", *_ALL)), "sector_1", "sector_2", "sector_3")
 
 
 _LAM = "0.5 ** (1 / 63.0)"

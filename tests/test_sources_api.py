@@ -104,6 +104,67 @@ def test_positions_and_totals(engine):
     assert last.acc_ret_lcl + last.acc_ccy_ret - 1 == pytest.approx(last.acc_ret, abs=1e-9)
 
 
+def test_totals_link_every_field(engine):
+    e, days, _ = engine
+    rows = e.portfolio_totals("P", str(days[0]), str(days[-1]), ["c1"], indicators=True).where(F.col("date") == F.lit(str(days[-1])).cast("date")).collect()
+    root = next(r for r in rows if r.level == 0)
+    tops = [r for r in rows if r.level == 1]
+    # a level's holdings contributions add up to the compounded holdings return of days after the first
+    assert sum(r.acc_contribution for r in tops) == pytest.approx(root.acc_contribution) and root.acc_contribution == pytest.approx(root.acc_ret - 1, abs=1e-3)
+    assert sum(r.acc_pnl for r in tops) == pytest.approx(root.acc_pnl) and root.acc_ret_hlds > 0 and root.acc_tx_ret is not None
+    assert all(r.std_dev > 0 and r.ret_1w is not None and r.ret_1w_lcl is not None for r in rows)
+
+
+def test_raw_files_become_positions(spark, engine, tmp_path):
+    e, days, _ = engine
+    d = str(tmp_path)
+    own = Engine(spark, S.SourceConfig(folder=d))
+    for t in ("prices", "fx", "instruments"):
+        T.write_table(e.table(t), d, t)
+    T.write_table(spark.createDataFrame([("I1", "EUR", "T00", "US", "Common Stock"), ("I1", "EUR", "T00", "FP", "Common Stock"), ("I2", "USD", "T01", "US", "Common Stock")], "isin string, currency string, ticker string, exchange string, security_type string"), d, "listings")
+    columns = {"Id": "isin", "Ccy": "currency", "Day": "transaction_date", "Way": "buy_sell", "Pieces": "quantity", "Paid": "price"}
+    raw = lambda rows: spark.createDataFrame(rows, "Id string, Ccy string, Day string, Way string, Pieces string, Paid string")
+    first = raw([("I1", "EUR", "02/01/2023", "Buy", "10", "50"), ("I9", "EUR", "02/01/2023", "Buy", "1", "1")])
+    unknown = own.import_transactions("P", first, columns, {"Buy": "B", "Sell": "S"}, "dd/MM/yyyy", preferred_exchange="US")
+    assert [r.isin for r in unknown.collect()] == ["I9"]
+    own.import_transactions("P", raw([("I2", "USD", "05/01/2023", "Buy", "4", "51")]), columns, {"Buy": "B", "Sell": "S"}, "dd/MM/yyyy", append=True)
+    own.import_transactions("Q", raw([("I2", "USD", "05/01/2023", "Sell", "4", "51")]), columns, {"Buy": "B", "Sell": "S"}, "dd/MM/yyyy")
+    got = {(r.portfolio, r.ticker): (r.side, r.quantity) for r in own.table("transactions").collect()}
+    assert got == {("P", "T00"): ("B", 10.0), ("P", "T01"): ("B", 4.0), ("Q", "T01"): ("S", 4.0)}
+    p = {(r.ticker, r.date): r for r in own.impute_positions("P").collect()}
+    assert p["T00", days[3]].quantity == 10 and p["T01", days[3]].quantity == 4 and p["T00", days[3]].close is not None
+    fx = spark.createDataFrame([("EUR", DAY, 1.5), ("USD", DAY, 1.0)], "ccy string, date date, fx_rate double")
+    T.write_table(fx, d, "fx")
+    based = {(r.ticker, r.date): r.fx_rate for r in own.impute_positions("P", base_currency="EUR").collect()}
+    assert based["T00", DAY] == 1.0
+
+
+def test_calibration_takes_all_factors_and_the_day_before(spark, engine, tmp_path):
+    e, days, tickers = engine
+    d = str(tmp_path)
+    own = Engine(spark, S.SourceConfig(folder=d))
+    for t in ("prices", "fx", "instruments", "transactions", "positions"):
+        T.write_table(e.table(t), d, t)
+    ends = [dt.date(2021, 12, 31), dt.date(2022, 3, 31), dt.date(2022, 6, 30), dt.date(2022, 9, 30)]
+    rows = [(t, x, 10.0 + j, 100.0 + 3 * j, 40.0 + j, 200.0 + (j * 7) % 5, 1e6 * (1 + j)) for j, t in enumerate(tickers) for x in ends]
+    T.write_table(spark.createDataFrame(rows, "ticker string, period_end date, net_income double, revenue double, gross_profit double, equity double, shares double"), d, "statements")
+    s = FactorSettings(momentum=10, momentum_skip=2, low_vol=10, reversal=3, liquidity=5, min_history=11, min_stocks=8)
+    got = {r.factor for r in own.risk_calibration(settings=s, sector="c2", start=str(days[20]), end=str(days[100])).collect()}
+    assert got == {"momentum", "low_vol", "reversal", "liquidity", "size", "value_ep", "value_bp", "quality_roe", "quality_gm", "sector_C1"}
+    f = own.get_factor_returns()
+    assert f.agg(F.min("date"), F.max("date")).first() == (days[20], days[100])
+    used, cov = own._risk("used_exposures", "factor_cov")
+    all_x = own._risk("exposures")[0]
+    # what a date's regression used is what was known the day before
+    shifted = all_x.select(F.date_add("date", 1).alias("date"), "ticker", "factor", F.col("x").alias("before"))
+    both = used.join(shifted, ["date", "ticker", "factor"])
+    assert both.count() == used.count() and both.where("x <> before").count() == 0
+    # attribution's components are weights times fitted values
+    att = own.get_factor_attribution("P", str(days[30]), str(days[60]), linked=False).where("factor = 'total'").collect()
+    fitted = used.join(f.select("date", "factor", "factor_return"), ["date", "factor"]).groupBy("date", "ticker").agg(F.sum(F.col("x") * F.col("factor_return")).alias("fit"))
+    assert len(att) == 31 and fitted.count() > 0 and att[0].component is not None
+
+
 def test_attribution_call(engine):
     e, days, _ = engine
     top = e.performance_attribution("P", "B", str(days[0]), str(days[-1]), ["c1", "c2"]).where("level = 0").first()
