@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 
 import numpy as np
 
@@ -124,20 +123,45 @@ def wasserstein2(m1, c1, m2, c2) -> float:
 
 
 def assign(cost: np.ndarray) -> list[int]:
-    """For each row a column of its own at least cost; rows and columns are few (regimes)."""
+    """For each row a column of its own at least cost, by shortest augmenting paths over reduced costs."""
     n, m = cost.shape
     if n > m:
         raise ValueError("more rows than columns")
-    best = min(itertools.permutations(range(m), n), key=lambda p: sum(cost[i, j] for i, j in enumerate(p)))
-    return list(best)
+    owner = np.full(m, -1)  # row of a column
+    row_price, column_price = np.zeros(n), np.zeros(m)
+    for row in range(n):
+        far, before, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        at, last, base = row, -1, 0.0
+        while True:
+            through = base + cost[at] - row_price[at] - column_price
+            nearer = ~done & (through < far)
+            far[nearer], before[nearer] = through[nearer], last
+            last = int(np.where(done, np.inf, far).argmin())
+            base = far[last]
+            done[last] = True
+            if owner[last] < 0:
+                break
+            at = owner[last]
+        row_price[row] += base
+        held = done & (owner >= 0)
+        row_price[owner[held]] += base - far[held]
+        column_price[done] -= base - far[done]
+        while last >= 0:  # the columns of the path move on by one
+            owner[last] = owner[before[last]] if before[last] >= 0 else row
+            last = before[last]
+    out = [0] * n
+    for j, i in enumerate(owner.tolist()):
+        if i >= 0:
+            out[i] = j
+    return out
 
 
 class TemplateBook:
     """Persistent regime ids across refits: each new state goes to the nearest template, which moves
-    towards it; states beyond ``threshold`` found a template of their own."""
+    towards it; states beyond ``threshold`` found a template of their own, however many there are."""
 
-    def __init__(self, threshold: float = 2.0, rate: float = 0.3, most: int = 8):
-        self.threshold, self.rate, self.most, self.means, self.covs = threshold, rate, most, [], []
+    def __init__(self, threshold: float = 2.0, rate: float = 0.3):
+        self.threshold, self.rate, self.means, self.covs = threshold, rate, [], []
 
     def match(self, means: np.ndarray, covs: np.ndarray) -> list[int]:
         k, known = len(means), len(self.means)
@@ -153,42 +177,57 @@ class TemplateBook:
                 j = out[i]
                 self.means[j] = (1 - self.rate) * self.means[j] + self.rate * means[i]
                 self.covs[j] = (1 - self.rate) * self.covs[j] + self.rate * covs[i]
-            elif len(self.means) < self.most:
+            else:
                 out[i] = len(self.means)
                 self.means.append(means[i].copy())
                 self.covs.append(covs[i].copy())
-            else:
-                out[i] = int(np.argmin([wasserstein2(means[i], covs[i], m, c) for m, c in zip(self.means, self.covs, strict=True)]))
         return out
 
 
-def capped_simplex(v: np.ndarray, cap: float) -> np.ndarray:
-    """Nearest point with 0 <= w <= cap and sum 1."""
-    lo, hi = v.min() - cap - 1, v.max() + 1
-    for _ in range(200):
+def nearest_traded(v: np.ndarray, before: np.ndarray, cap: float, cost: float) -> np.ndarray:
+    """The w with 0 <= w <= cap and sum 1 that has the least |w - v|^2 / 2 + cost sum|w - before|.
+
+    For a multiplier m of the sum every weight has a closed form, which falls as m grows: bisection finds m.
+    """
+
+    def at(m):
+        d = v - m - before
+        return np.clip(before + np.sign(d) * np.maximum(np.abs(d) - cost, 0), 0, cap)
+
+    lo, hi = min(v.min(), before.min()) - cap - cost - 1, max(v.max(), before.max()) + cost + 1
+    for _ in range(100):
         mid = (lo + hi) / 2
-        if np.clip(v - mid, 0, cap).sum() > 1:
+        if at(mid).sum() > 1:
             lo = mid
         else:
             hi = mid
-    return np.clip(v - (lo + hi) / 2, 0, cap)
+    a, b = at(lo), at(hi)  # sums on either side of 1
+    gap = a.sum() - b.sum()
+    return b if gap <= 0 else b + (a - b) * (1 - b.sum()) / gap
 
 
-def construct_weights(mu: np.ndarray, cov: np.ndarray, before: np.ndarray, cap: float, cost: float, aversion: float, horizon: float, steps: int = 4000) -> np.ndarray:
+def construct_weights(mu: np.ndarray, cov: np.ndarray, before: np.ndarray, cap: float, cost: float, aversion: float, horizon: float, steps: int = 20_000, tolerance: float = 1e-12) -> np.ndarray:
     """max w'mu h - aversion / 2 h w'Cw - cost sum|w - before|, with sum 1 and 0 <= w <= cap.
 
-    Projected subgradient on the capped simplex with averaging. Raises ValueError if no such weights are.
+    Accelerated proximal gradient with restarts, up to a fixed point, where the conditions of an optimum
+    hold. Raises ValueError if no such weights are.
     """
     n = len(mu)
     if n == 0 or n * cap < 1 - 1e-12:
         raise ValueError("infeasible: the largest weights don't add up to 1")
     h = max(1.0, horizon)
-    step = 1.0 / max(aversion * h * np.linalg.eigvalsh(cov)[-1] + 1e-9, 1e-9)
-    value = lambda w: w @ mu * h - aversion / 2 * h * w @ cov @ w - cost * np.abs(w - before).sum()
-    w = best = capped_simplex(np.full(n, 1 / n), cap)
-    for t in range(steps):
-        grad = mu * h - aversion * h * cov @ w - cost * np.sign(w - before)
-        w = capped_simplex(w + step / np.sqrt(1 + t / 20) * grad, cap)
-        if value(w) > value(best):
-            best = w
-    return best
+    curve = max(aversion * h * np.linalg.eigvalsh(cov)[-1], 1e-3 * np.abs(mu).max() * h, 1e-9)
+    slope = lambda w: aversion * h * (cov @ w) - mu * h
+    w = y = nearest_traded(np.full(n, 1 / n), before, cap, 0.0)
+    t = 1.0
+    for _ in range(steps):
+        new = nearest_traded(y - slope(y) / curve, before, cap, cost / curve)
+        if np.abs(new - y).max() < tolerance:
+            return new
+        if (y - new) @ (new - w) > 0:  # the momentum points back
+            t, y = 1.0, new
+        else:
+            u = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            t, y = u, new + (t - 1) / u * (new - w)
+        w = new
+    return w

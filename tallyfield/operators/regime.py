@@ -154,11 +154,9 @@ def top_names(scores: DataFrame, n: int) -> DataFrame:
 def construct_portfolio(exposures: DataFrame, cov: DataFrame, idio: DataFrame, means: DataFrame, before: DataFrame, *, target_n: int = 100, max_weight: float = 0.05, cost_bps: float = 10.0, aversion: float = 5.0, hold_days: float = 20.0) -> DataFrame:
     """(ticker, weight) of the chosen names.
 
-    The best ``target_n`` names by expected return over volatility come to the driver, at most 1,000;
-    everything before that is joins and sums.
+    The best ``target_n`` names by expected return over volatility come to the driver, where a dense matrix of them
+    is solved; everything before that is joins and sums.
     """
-    if target_n > 1000:
-        raise ValueError("at most 1,000 names")
     spark = exposures.sparkSession
     mu = exposures.join(means, "factor").groupBy("ticker").agg(F.sum(F.col("x") * F.col("mean")).alias("mu"))
     half = exposures.join(cov, exposures.factor == cov.i).select("ticker", "x", F.col("j").alias("factor2"), "covariance")

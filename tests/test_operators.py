@@ -1,6 +1,7 @@
 """Hand-made frames: positions, performance, linking, attribution, factors and risk."""
 
 import datetime as dt
+import itertools
 
 import numpy as np
 import pytest
@@ -320,6 +321,44 @@ def test_construction_respects_its_limits():
         hmm.construct_weights(mu, cov, np.zeros(8), 0.1, 0.0, 1.0, 1.0)
 
 
+def test_construction_is_an_optimum():
+    """No shift of weight between two names helps: the conditions of an optimum of a concave objective."""
+    rng = np.random.default_rng(12)
+    for n, cap, cost, aversion in ((12, 0.2, 0.001, 5.0), (30, 0.1, 0.0, 20.0), (30, 0.08, 0.01, 5.0), (5, 1.0, 0.0005, 0.0), (40, 0.05, 0.002, 1.0)):
+        x = rng.normal(size=(n, 3))
+        cov = x @ x.T * 1e-4 + np.diag(rng.uniform(1e-5, 1e-3, n))
+        mu, before, h = rng.normal(0, 1e-3, n), hmm.nearest_traded(rng.uniform(0, 2 / n, n), np.zeros(n), cap, 0.0), 20.0
+        value = lambda w: w @ mu * h - aversion / 2 * h * w @ cov @ w - cost * np.abs(w - before).sum()  # noqa: B023, E731
+        w = hmm.construct_weights(mu, cov, before, cap, cost, aversion, h)
+        assert w.sum() == pytest.approx(1, abs=1e-9) and w.min() >= 0 and w.max() <= cap + 1e-12
+        best = value(w)
+        for i in range(n):
+            for j in range(n):
+                for step in (1e-5, 1e-3):
+                    s = min(step, w[i], cap - w[j])
+                    if i != j and s > 0:
+                        moved = w.copy()
+                        moved[i] -= s
+                        moved[j] += s
+                        assert value(moved) <= best + 1e-10
+
+
+def test_assignment_against_all_permutations():
+    rng = np.random.default_rng(13)
+    for _ in range(200):
+        n = int(rng.integers(1, 5))
+        cost = rng.integers(0, 9, (n, rng.integers(n, 7))).astype(float)
+        got = hmm.assign(cost)
+        least = min(sum(cost[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(cost.shape[1]), n))
+        assert len(set(got)) == n and sum(cost[i, j] for i, j in enumerate(got)) == least
+
+
+def test_templates_have_no_bound():
+    book = hmm.TemplateBook(threshold=1.0)
+    for i in range(30):
+        assert book.match(np.array([[10.0 * i]]), np.array([[[1.0]]])) == [i]
+
+
 def test_standardising_is_causal(spark):
     rng = np.random.default_rng(12)
     rows = [(day(i), "f", float(v)) for i, v in enumerate(rng.normal(size=60))]
