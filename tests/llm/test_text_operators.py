@@ -54,6 +54,87 @@ def test_windows_cover_every_byte():
             assert all(w[i].tobytes() == t[s : s + 256] for i, s in enumerate(starts))
 
 
+def plain_network(model, window):
+    """Class probabilities of one window, a loop at a time: every filter at every place, its best, softmax."""
+    s, p = model.settings, model.p
+    pooled = []
+    for k, width in enumerate(s.widths):
+        for f in range(s.filters):
+            column = k * s.filters + f
+            best = -np.inf
+            for at in range(len(window) - max(s.widths) + 1):
+                total = 0.0
+                for i in range(width):
+                    for d in range(s.embedding):
+                        total += float(p["emb"][window[at + i], d]) * float(p["conv"][i * s.embedding + d, column])
+                best = max(best, total)
+            pooled.append(max(0.0, best + float(p["bias"][column])))
+    z = [sum(pooled[f] * float(p["out"][f, c]) for f in range(len(pooled))) + float(p["base"][c]) for c in range(len(model.labels))]
+    e = [np.exp(x - max(z)) for x in z]
+    return [x / sum(e) for x in e]
+
+
+def small_network():
+    s = language.CnnSettings(window=24, filters=3, embedding=4, steps=40, batch=8)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.integers(97, 107, (30, 24)), rng.integers(103, 113, (30, 24)), rng.integers(97, 113, (30, 24))]).astype(np.uint8)
+    model = language.ByteCnn(["a", "b", "c"], s)
+    model.train(x, np.repeat([0, 1, 2], 30))
+    return model, x
+
+
+def test_network_against_loops(spark):
+    """The vectorised pass, and with it the whole prediction of a text: mean over its windows, best label."""
+    model, x = small_network()
+    got = model.probabilities(x[::9])
+    assert np.allclose(got, [plain_network(model, w) for w in x[::9]], atol=1e-5)
+    rng = random.Random(6)
+    texts = [(i, "".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.randint(1, 90)))) for i in range(25)] + [(90, None), (91, "12 34"), (92, ""), (90, "hij")]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    out = {}
+    for i, t in texts:
+        if t is None or not any(c.isalpha() for c in t):
+            want = ("und", 0.0)
+        else:
+            b = t.encode()
+            n = -(-max(len(b), 1) // 24)
+            starts = [min(k * 24, max(0, len(b) - 24)) for k in range(n)]
+            mean = np.mean([plain_network(model, (b[a : a + 24] + bytes(24))[:24]) for a in starts], axis=0)
+            want = (model.labels[int(mean.argmax())], float(mean.max()))
+        out.setdefault(i, []).append((zlib.crc32(str(i).encode()) % 3 == 1, *want))
+    for r in language.predict_language(df, model).collect():
+        assert any(r.held_out == h and r.lang_pred == k and abs(r.score - s) < 1e-5 for h, k, s in out[r.doc_id]), r
+
+
+def test_training_step_follows_the_loss():
+    """The first step moves every parameter by the rate, against the sign of a numeric gradient of the batch's loss."""
+    s = language.CnnSettings(window=16, filters=2, embedding=3, steps=1, batch=6, rate=1e-3)
+    rng = np.random.default_rng(9)
+    x = rng.integers(97, 105, (12, 16)).astype(np.uint8)
+    y = np.repeat([0, 1], 6)
+    model, start = language.ByteCnn(["a", "b"], s), language.ByteCnn(["a", "b"], s)
+    model.train(x, y)
+    draw = np.random.default_rng(s.seed + 1)
+    by = [np.flatnonzero(y == k) for k in range(2)]
+    pick = np.array([draw.choice(by[k]) for k in draw.integers(0, 2, s.batch)])
+    for k in start.p:
+        start.p[k] = start.p[k].astype(np.float64)
+    loss = lambda: -np.log(start.probabilities(x[pick])[np.arange(s.batch), y[pick]]).mean()
+    looked = 0
+    for k, v in start.p.items():
+        for at in np.ndindex(*v.shape):
+            kept = v[at]
+            v[at] = kept + 1e-6
+            up = loss()
+            v[at] = kept - 1e-6
+            slope = (up - loss()) / 2e-6
+            v[at] = kept
+            if abs(slope) > 1e-4 and (k != "conv" or start.mask[at]):
+                looked += 1
+                assert model.p[k][at] - kept == pytest.approx(-1e-3 * np.sign(slope), abs=2e-5), (k, at)
+    assert looked > 30
+
+
 def test_network_gradient():
     """Training lowers the loss on two separable languages."""
     s = language.CnnSettings(steps=60, window=32, batch=16)
