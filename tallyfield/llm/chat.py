@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfield.llm.common import sliced
+
 SCHEMA = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint"
 FORMATTED_SCHEMA = "conv_id bigint, formatted string, ids array<int>, loss_mask array<byte>"
 #: The template's control strings; their ids follow the vocabulary's in this order.
@@ -109,8 +111,15 @@ def ordered_turns(conversations: DataFrame) -> DataFrame:
     ties of a turn go by role, then text. One shuffle by conversation; the sort spills, and
     readers stream over it, so a very long conversation needs no memory of its own.
     """
-    clean = conversations.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return clean.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return _in_order(_clean(conversations))
+
+
+def _clean(conversations: DataFrame) -> DataFrame:
+    return conversations.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def _in_order(turns: DataFrame) -> DataFrame:
+    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
 def _streamed(batches):
@@ -164,14 +173,37 @@ def format_conversations(conversations: DataFrame, ranks_path: str, pattern: str
     return ordered_turns(conversations).mapInArrow(kernel, FORMATTED_SCHEMA)
 
 
+READ_SCHEMA = "conv_id bigint, turn bigint, role string, text string, under boolean, chars bigint, tokens bigint"
+
+
+def read_back(conversations: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """Every turn as it is read back from its assembled tokens and mask: role, text, whether it is under the loss
+    mask, and the sizes of its formatted text. A map over the rows, so turns of one conversation spread over tasks."""
+    ranks = _broadcast_ranks(conversations, ranks_path)
+
+    def kernel(batches):
+        make = TurnAssembler(ranks.value, pattern)
+        for batch in sliced(batches):
+            out = []
+            for conv, turn, role, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, delta = make.turn(role, body)
+                turns, chars = make.read(ids, np.cumsum(delta)[:-1])
+                ((r, t, under),) = turns  # a row is a turn
+                out.append((conv, turn, r, t, under, chars, len(ids)))
+            if out:
+                types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [f.split()[0] for f in READ_SCHEMA.split(", ")])
+
+    return _clean(conversations).mapInArrow(kernel, READ_SCHEMA)
+
+
 def conversation_digests(conversations: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """One row per conversation with counts and SHA-256 digests, read back from the assembled
-    tokens and mask. Turns are assembled and read one at a time, in constant memory."""
-    ranks = _broadcast_ranks(conversations, ranks_path)
+    tokens and mask. Turns are assembled and read where they lie; a conversation's task only hashes them
+    in order, in constant memory."""
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def kernel(batches):
-        make = TurnAssembler(ranks.value, pattern)
         out, state, conv = [], None, None
 
         def close():
@@ -182,20 +214,19 @@ def conversation_digests(conversations: DataFrame, ranks_path: str, pattern: str
             types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-        for c, role, body, new in _streamed(batches):
-            if new:
-                if state:
-                    close()
-                if len(out) >= 4096:
-                    yield batch_of()
-                    out.clear()
-                state = {"n": 0, "turns": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "all": 0, "tokens": 0}
-            conv = c
-            ids, delta = make.turn(role, body)
-            turns, chars = make.read(ids, np.cumsum(delta)[:-1])
-            state["all"] += chars
-            state["tokens"] += len(ids)
-            for r, t, under in turns:
+        before = ...
+        for batch in sliced(batches, 1024):
+            for c, _, r, t, under, chars, tokens in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if c != before:
+                    if state:
+                        close()
+                    if len(out) >= 4096:
+                        yield batch_of()
+                        out.clear()
+                    state = {"n": 0, "turns": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "all": 0, "tokens": 0}
+                conv = before = c
+                state["all"] += chars
+                state["tokens"] += tokens
                 state["n"] += 1
                 state["turns"].update(f"{r}\n{t}\n".encode("utf-8", "surrogatepass"))
                 if under:
@@ -206,4 +237,4 @@ def conversation_digests(conversations: DataFrame, ranks_path: str, pattern: str
         if out:
             yield batch_of()
 
-    return ordered_turns(conversations).mapInArrow(kernel, SCHEMA)
+    return _in_order(read_back(conversations, ranks_path, pattern)).mapInArrow(kernel, SCHEMA)
