@@ -38,6 +38,33 @@ def bytes_to_symbols() -> list[str]:
     return [chr(b if b in shown else next(rest)) for b in range(256)]
 
 
+class Remembered(dict):
+    """A cache of two generations: when the younger is full it becomes the older, and what is asked for again
+    comes back from there. Long keys aren't kept, so entries bound its bytes."""
+
+    def __init__(self, entries: int, longest: int = 64):
+        super().__init__()
+        self.entries, self.longest, self.older = entries, longest, {}
+
+    def keep(self, key, value) -> None:
+        if len(key) <= self.longest:
+            if len(self) >= self.entries // 2:
+                self.older = dict(self)
+                super().clear()
+            self[key] = value
+
+    def recall(self, key):
+        """What the older generation knows; ``get`` asks the younger one alone."""
+        got = self.older.get(key)
+        if got is not None:
+            self.keep(key, got)
+        return got
+
+    def clear(self) -> None:
+        super().clear()
+        self.older = {}
+
+
 class WordBpe:
     """A tokenizer file of BPE with word ends; lower case, white space dropped."""
 
@@ -51,6 +78,8 @@ class WordBpe:
         self.text |= {i: t for t, i in special.items()}
         self.special = special
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        #: What every added token begins with, at most two characters: most texts hold none of it.
+        self.marks = re.compile("|".join(sorted({re.escape(t[:2]) for t in special}))) if special else None
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         byte_of = {c: b for b, c in enumerate(bytes_to_symbols())}
         # how each token was merged, in the order of the merges
@@ -98,8 +127,7 @@ class WordBpe:
         self.step, self.link, self.ends = step, link, ends
         self.moves: dict[int, int] = {}
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.pieces: dict[str, tuple[bytes, str]] = {}
+        self.words, self.pieces = Remembered(CACHE_ENTRIES), Remembered(CACHE_ENTRIES)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the tokens stay apart when their texts stand side by side.
@@ -171,6 +199,8 @@ class WordBpe:
 
     def piece(self, raw: str) -> tuple[bytes, str]:
         """Ids (little-endian) and decoded text of a piece without white space."""
+        if (got := self.pieces.recall(raw)) is not None:
+            return got
         if raw.isascii():
             text = raw.lower()
         else:
@@ -178,25 +208,21 @@ class WordBpe:
         words = self.words
         found = []
         for word in (text,) if text.isalpha() else self.pattern.findall(text):
-            got = words.get(word)
+            got = words.get(word) or words.recall(word)
             if got is None:
                 ids = self.word_ids(word.encode("utf-8"))
                 got = struct.pack(f"<{len(ids)}I", *ids), " ".join([self.text[i] for i in ids])
-                if len(words) >= CACHE_ENTRIES:
-                    words.clear()
-                words[word] = got
+                words.keep(word, got)
             found.append(got)
         got = found[0] if len(found) == 1 else (b"".join([f[0] for f in found]), " ".join([f[1] for f in found]))
-        if len(self.pieces) >= CACHE_ENTRIES:
-            self.pieces.clear()
-        self.pieces[raw] = got
+        self.pieces.keep(raw, got)
         return got
 
     def encode_parts(self, text: str) -> list[tuple[bytes, str]]:
         """Ids and decoded text of the pieces of a whole text, in order."""
         out: list[tuple[bytes, str]] = []
         special = self.special
-        for part in self.cut.split(text) if self.cut and "<|" in text else (text,):
+        for part in self.cut.split(text) if self.cut and self.marks.search(text) else (text,):
             if part in special:
                 out.append((struct.pack("<I", special[part]), part))
             elif ODD_SPACE.search(part):

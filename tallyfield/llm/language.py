@@ -122,26 +122,32 @@ def is_held_out(doc_id: int | None) -> bool:
 def train_language_model(docs: DataFrame, settings: CnnSettings = CnnSettings()) -> ByteCnn | None:
     """Fit the network on rows with text and language that aren't held out.
 
-    At most ``max_docs`` rows come to the driver, the first by a hash of the id; the number of
-    usable rows sets the hash range that is read, so the choice needs no sort of the texts.
-    None if no row can be used.
+    Every language has the same share of ``max_docs``, so that a rare one takes part with all its rows; within a
+    language a hash of id and text picks rows, and the language's count sets the hash range that is read, so that
+    the choice needs no sort of the texts. Windows are cut where the texts lie: at most ``max_docs`` times
+    ``windows_per_doc`` windows come to the driver, and the count of each language. None if no row can be used.
     """
-    usable = docs.where((F.crc32(F.col("doc_id").cast("string")) % 3 != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = usable.select("doc_id").count()
-    share = min(1.0, 0.9 * settings.max_docs / max(total, 1))
-    bound = int(share * (1 << 30))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bound
-    rows = usable.where(part).select("doc_id", F.encode("text", "UTF-8").alias("b"), "lang").limit(settings.max_docs).collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0, bytes(r.b)))
-    rng = np.random.default_rng(settings.seed)
-    labels = sorted({r.lang for r in rows})
-    x, y = [], []
+    usable = docs.where((F.crc32(F.col("doc_id").cast("string")) % 3 != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.col("text").cast("string").alias("text"))
+    totals = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
+    labels = sorted(totals)
+    quota = max(1, settings.max_docs // max(len(labels), 1))
+    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    bound = F.lit(0)
+    for k in labels:
+        bound = F.when(F.col("lang") == k, int(min(1.0, 0.9 * quota / totals[k]) * (1 << 30))).otherwise(bound)
+    size, most = settings.window, settings.windows_per_doc
+    n = F.greatest(F.ceil(F.length("b") / size), F.lit(1))
+    some = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.pmod(F.xxhash64("h", i), n)))
+    starts = F.when(n <= most, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(some)
+    cut = F.transform(starts, lambda k: F.substr("b", (F.greatest(F.least(k * size, F.length("b") - size), F.lit(0)) + 1).cast("int"), F.lit(size)))
+    chosen = usable.where(h < bound).select("lang", h.alias("h"), F.encode("text", "UTF-8").alias("b")).select("lang", "h", cut.alias("w"))
+    rows = chosen.orderBy("h", "lang", "w").limit(settings.max_docs).collect()
+    labels, x, y = sorted({r.lang for r in rows}), [], []
     for r in rows:
-        w = windows_of(bytes(r.b), settings.window)
-        for i in rng.permutation(len(w))[: settings.windows_per_doc]:
-            x.append(w[i])
+        for w in r.w:
+            x.append(windows_of(bytes(w), size)[0])
             y.append(labels.index(r.lang))
-    if not labels:
+    if not x:
         return None
     model = ByteCnn(labels, settings)
     model.train(np.stack(x), np.asarray(y))

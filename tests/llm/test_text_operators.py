@@ -219,6 +219,18 @@ def test_bpe_equals_the_library(spark, odd, nothing):
     assert bpe.encoding_digests(nothing, path).count() == 0
 
 
+def test_caches_keep_what_is_asked_for():
+    c = bpe.Remembered(8, 5)
+    for i in range(20):
+        c.keep(f"k{i}", i + 1)
+        assert len(c) <= 4 and len(c.older) <= 4
+        assert (c.get("k0") or c.recall("k0")) == 1  # asked for at every step
+    c.keep("far too long", 1)
+    assert c.get("far too long") is None and c.recall("k1") is None
+    c.clear()
+    assert not c and c.recall("k19") is None
+
+
 # --- licenses
 
 
