@@ -366,15 +366,16 @@ def _worth_confirming(pairs: DataFrame, settings: NearSettings) -> DataFrame:
         yield from batch_of(key and key[0], close(rows))
 
     ordered = pairs.select(*PAIR_COLUMNS).repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return ordered.mapInArrow(kernel, "component bigint, i bigint, j bigint, node bigint, label bigint, side int").distinct()
+    return ordered.mapInArrow(kernel, "component bigint, i bigint, j bigint, node bigint, label bigint, side int")
 
 
 def second_round(sets: DataFrame, near: DataFrame, settings: NearSettings) -> DataFrame:
     """Tiles for what the first round left: of groups of several blocks, whatever isn't in the group's
     largest component yet, against all members, by signature first."""
-    large = sets.where("blocks > 1").select("component", "blocks", "block", "node", F.floor(F.length("set") / 8).cast("bigint").alias("size"), "sig").distinct()
+    large = sets.where("blocks > 1").select("component", "blocks", "block", "node", F.floor(F.length("set") / 8).cast("bigint").alias("size"), "sig")
     large = large.join(near.select("node", F.col("component").alias("c")), "node", "left").withColumn("label", F.coalesce("c", "node")).drop("c")
-    counts = large.groupBy("component", "label").agg(F.countDistinct("node").alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    # rows that repeat an id and its text count twice here and are one row of a tile of sets
+    counts = large.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
     rest = F.col("all") - F.col("most")
     counts = counts.where("most < all").select("component", "main", *(F.ceil(n / t).alias(c) for c, n, t in (("rows", F.col("all"), settings.signature_tile), ("columns", rest, settings.signature_tile), ("others", rest, settings.tile))))
     large = salted_join(large, counts, ["component"], "node", "inner")
