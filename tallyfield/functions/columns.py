@@ -11,6 +11,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
+def ieee_ratio(a: Column, b: Column) -> Column:
+    """a / b by IEEE 754, as DuckDB divides: over 0 infinite with the sign of a, NaN for 0 / 0."""
+    return F.when(b != 0, a / b).when(b == 0, a * F.lit(float("inf")))
+
+
 def rounded(c: Column | str, digits: int = 6) -> Column:
     """Rounded double without a negative zero."""
     c = F.col(c) if isinstance(c, str) else c

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfield.functions.columns import ratio
+from tallyfield.functions.columns import ieee_ratio, ratio
 from tallyfield.operators.fundamentals import asof_quarters, latest_values, trailing_sums
 
 
@@ -42,15 +42,15 @@ VALUE_FACTORS = ("size", "value_ep", "value_bp", "quality_roe", "quality_gm")
 
 def price_factors(panel: DataFrame, s: FactorSettings = FactorSettings(), keep: tuple[str, ...] = ()) -> DataFrame:
     """momentum, low_vol, reversal and liquidity as of each date, where history suffices, and the panel's
-    columns ``keep``."""
+    columns ``keep``. What divides by a price of 0 is infinite or NaN."""
     w = Window.partitionBy("ticker").orderBy("date")
-    rows = panel.withColumns({"_r": F.col("close") / F.lag("close").over(w) - 1, "_n": F.row_number().over(w)})
+    rows = panel.withColumns({"_r": ieee_ratio(F.col("close"), F.lag("close").over(w)) - 1, "_n": F.row_number().over(w)})
     past = lambda n: F.lag("close", n).over(w)
     return rows.select(
         "date", "ticker", "_n", *keep,
-        (past(s.momentum_skip) / past(s.momentum - 1) - 1).alias("momentum"),
+        (ieee_ratio(past(s.momentum_skip), past(s.momentum - 1)) - 1).alias("momentum"),
         F.when(F.col("_n") > s.low_vol, -F.stddev_samp("_r").over(w.rowsBetween(-(s.low_vol - 1), 0)) * (s.periods**0.5)).alias("low_vol"),
-        (-(F.col("close") / past(s.reversal) - 1)).alias("reversal"),
+        (-(ieee_ratio(F.col("close"), past(s.reversal)) - 1)).alias("reversal"),
         F.when(F.col("_n") >= s.liquidity, F.ln(F.avg(F.col("close") * F.col("volume")).over(w.rowsBetween(-(s.liquidity - 1), 0)))).alias("liquidity"),
     ).where(F.col("_n") >= s.min_history).drop("_n")
 
