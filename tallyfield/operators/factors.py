@@ -30,9 +30,9 @@ class FactorSettings:
 
 
 def daily_returns(panel: DataFrame, bound: float = 0.5) -> DataFrame:
-    """Simple returns against the ticker's row before, those within the bound only."""
+    """Simple returns against the ticker's row before, those within the bound only: none against a price of 0."""
     w = Window.partitionBy("ticker").orderBy("date")
-    out = panel.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1)
+    out = panel.withColumn("ret", ratio(F.col("close"), F.lag("close").over(w)) - 1)
     return out.where(F.col("ret").between(-bound, bound)).select("date", "ticker", "ret")
 
 
