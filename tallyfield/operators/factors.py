@@ -42,16 +42,17 @@ VALUE_FACTORS = ("size", "value_ep", "value_bp", "quality_roe", "quality_gm")
 
 def price_factors(panel: DataFrame, s: FactorSettings = FactorSettings(), keep: tuple[str, ...] = ()) -> DataFrame:
     """momentum, low_vol, reversal and liquidity as of each date, where history suffices, and the panel's
-    columns ``keep``. What divides by a price of 0 is infinite or NaN."""
+    columns ``keep``. What divides by a price of 0, or is the log of one, is infinite or NaN."""
     w = Window.partitionBy("ticker").orderBy("date")
     rows = panel.withColumns({"_r": ieee_ratio(F.col("close"), F.lag("close").over(w)) - 1, "_n": F.row_number().over(w)})
     past = lambda n: F.lag("close", n).over(w)
+    traded = F.avg(F.col("close") * F.col("volume")).over(w.rowsBetween(-(s.liquidity - 1), 0))
     return rows.select(
         "date", "ticker", "_n", *keep,
         (ieee_ratio(past(s.momentum_skip), past(s.momentum - 1)) - 1).alias("momentum"),
         F.when(F.col("_n") > s.low_vol, -F.stddev_samp("_r").over(w.rowsBetween(-(s.low_vol - 1), 0)) * (s.periods**0.5)).alias("low_vol"),
         (-(ieee_ratio(F.col("close"), past(s.reversal)) - 1)).alias("reversal"),
-        F.when(F.col("_n") >= s.liquidity, F.ln(F.avg(F.col("close") * F.col("volume")).over(w.rowsBetween(-(s.liquidity - 1), 0)))).alias("liquidity"),
+        F.when(F.col("_n") >= s.liquidity, F.when(traded == 0, float("-inf")).otherwise(F.ln(traded))).alias("liquidity"),
     ).where(F.col("_n") >= s.min_history).drop("_n")
 
 
@@ -87,15 +88,19 @@ def sector_dummies(rows: DataFrame, sectors: list[str], column: str = "sector")
     return rows.withColumns({f"sector_{s}": F.when(F.col(column) == s, 1.0).otherwise(0.0) for s in sorted(sectors)[1:]})
 
 
-def exposure_panel(panel: DataFrame, s: FactorSettings = FactorSettings(), statements: DataFrame | None = None, sectors: DataFrame | None = None, names: list[str] = ()) -> tuple[DataFrame, list[str]]:
+def exposure_panel(panel: DataFrame, s: FactorSettings = FactorSettings(), statements: DataFrame | None = None, sectors: DataFrame | None = None, names: list[str] = (), ieee: bool = False) -> tuple[DataFrame, list[str]]:
     """(date, ticker, cap, factors...) and the factors' names: price factors, with ``statements`` size, value
     and quality too, all as clipped z-scores, and a dummy for each sector of ``names`` but the first.
 
     ``statements`` (ticker, period_end, net_income, revenue, gross_profit, equity, shares) count from
     ``report_lag_days`` after a period's end; flows are trailing sums of four quarters. ``sectors`` is
-    (ticker, sector). The set of factors is the same on every date. cap is null without shares.
+    (ticker, sector). The set of factors is the same on every date. cap is null without shares. A price factor
+    that isn't finite, because of a price of 0, is missing; with ``ieee`` it stays, and so makes the
+    scores of its date NaN.
     """
     rows = price_factors(panel, s, ("close",)).withColumnRenamed("close", "price")
+    if not ieee:
+        rows = rows.withColumns({c: F.when(F.abs(c) < float("inf"), F.col(c)) for c in PRICE_FACTORS})
     styles = list(PRICE_FACTORS)
     if statements is not None:
         quarters = asof_quarters(rows.select("ticker", "date"), statements, s.report_lag_days)

@@ -498,7 +498,7 @@ full_panel AS ({_scores(_ALL, "style", ", cap")})"""
 def risk_exposure_panel(t: Tables) -> DataFrame:
     """All factors of the calibration: price, value and quality scores and sector dummies, with the capitalisation."""
     sectors = t.read("events").select(F.col("user_id").alias("ticker"), (F.col("user_id") % 4).cast("string").alias("sector")).distinct()
-    z, _ = X.exposure_panel(t.events_panel(), SMALL, t.statements().withColumn("gross_profit", F.col("cash_flow")), sectors, ["0", "1", "2", "3"])
+    z, _ = X.exposure_panel(t.events_panel(), SMALL, t.statements().withColumn("gross_profit", F.col("cash_flow")), sectors, ["0", "1", "2", "3"], ieee=True)
     return shown(z, ["date", "ticker", "sector_1", "sector_2", "sector_3"], ["cap", *_ALL], 4).select("date", "ticker", *(rounded(c, 4).alias(c) for c in ("cap", *_ALL)), "sector_1", "sector_2", "sector_3")
 
 

@@ -7,9 +7,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tallyfield.operators import factors as X
 from tallyfield.plans import catalog
 
-QUERIES = ["fac_lowvol", "fac_momentum", "fac_winsor_z", "fac_previous_exposures", "risk_ewma_idio"]
+QUERIES = ["fac_lowvol", "fac_momentum", "fac_winsor_z", "fac_previous_exposures", "risk_ewma_idio", "risk_exposure_panel", "fac_reversal_liquidity"]
 #: Users whose prices are 0, and on how many of their first days: a first price only, then two and all of them.
 ZERO = {"first": {3: 1, 30: 1}, "more": {3: 1, 5: 2, 7: 16}}
 
@@ -51,3 +52,17 @@ def test_prices_of_zero_give_the_rows_of_the_sql(spark, tables, name):
         for x, y in zip(row, b[key]):
             assert (x is None) == (y is None), key
             assert x is None or np.isclose(x, y, rtol=1e-9, atol=2e-6, equal_nan=True), key
+
+
+def test_a_factor_spoilt_by_a_price_of_zero_is_missing(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"T{t}", dt.date(2024, 1, 1) + dt.timedelta(days=d), 0.0 if t == "0" and d == 0 or t == "1" else float(rng.uniform(9, 11)), 5) for t in "0123456789" for d in range(14)]
+    panel = spark.createDataFrame(rows, "ticker string, date date, close double, volume int")
+    z, factors = X.exposure_panel(panel, catalog.SMALL)
+    got = {(r.ticker, r.date.day): [r[f] for f in factors] for r in z.collect()}
+    assert len(got) == 40 and np.isfinite(list(got.values())).all()
+    low_vol = factors.index("low_vol")
+    assert got["T0", 11][low_vol] == 0 and got["T0", 12][low_vol] != 0 and got["T1", 14] == [0.0] * len(factors)
+    # the others' scores are those without it
+    others = {(r.ticker, r.date.day): r.low_vol for r in X.exposure_panel(panel.where("ticker not in ('T0', 'T1')"), catalog.SMALL)[0].collect()}
+    assert all(got[k][low_vol] == pytest.approx(v) for k, v in others.items() if k[1] == 11)
