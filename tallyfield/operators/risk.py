@@ -37,16 +37,20 @@ def wls_kernel(y: np.ndarray, x: np.ndarray, w: np.ndarray):
     return f, e, float(r2), t
 
 
-def wls_multi(rows: DataFrame, factors: list[str], cap: str | None = None, scheme: str = "sqrt_mktcap", least: int = 20) -> DataFrame:
+def wls_multi(rows: DataFrame, factors: list[str], cap: str | None = None, scheme: str = "sqrt_mktcap", least: int = 20, ieee: bool = False) -> DataFrame:
     """(date, factor, factor_return, t_stat, r2) from one regression per date, in Arrow batches.
 
     A date is one cross section, bounded by the number of instruments. Rows with a missing value and
     dates with fewer than ``least`` rows are left out. ``scheme``: sqrt_mktcap, mktcap or equal; a missing
-    or non-positive ``cap`` counts as the date's median, and all are equal where none is usable.
+    or non-positive ``cap`` counts as the date's median, and all are equal where none is usable. With ``ieee``
+    rows whose values are NaN or infinite stay, and the results of their date are NaN.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[np.isfinite(pdf[["ret", *factors]].to_numpy(float)).all(axis=1)]
+        finite = np.isfinite(pdf[["ret", *factors]].to_numpy(float)).all(axis=1)
+        if ieee and not finite.all() and len(pdf) >= least:
+            return pd.DataFrame({"date": pdf["date"].iloc[0], "factor": factors, "factor_return": np.nan, "t_stat": np.nan, "r2": np.nan})
+        pdf = pdf[finite]
         if len(pdf) < max(least, len(factors)):
             return pd.DataFrame({"date": pd.Series(dtype=object), "factor": pd.Series(dtype=str), "factor_return": [], "t_stat": [], "r2": []})
         size = pdf[cap].to_numpy(float) if cap else np.ones(len(pdf))
@@ -57,7 +61,11 @@ def wls_multi(rows: DataFrame, factors: list[str], cap: str | None = None, schem
         return pd.DataFrame({"date": pdf["date"].iloc[0], "factor": factors, "factor_return": f, "t_stat": t, "r2": r2})
 
     columns = list(dict.fromkeys(["date", "ret", *factors, *([cap] if cap else [])]))
-    return rows.select(*columns).groupBy("date").applyInPandas(one, "date date, factor string, factor_return double, t_stat double, r2 double")
+    if ieee:
+        # pandas can't tell a null from NaN
+        rows = rows.where(" and ".join(f"`{c}` is not null" for c in ["ret", *factors]))
+    out = rows.select(*columns).groupBy("date").applyInPandas(one, "date date, factor string, factor_return double, t_stat double, r2 double")
+    return out.withColumns({c: F.coalesce(c, F.lit(float("nan"))) for c in ("factor_return", "t_stat", "r2")}) if ieee else out
 
 
 def ewma_covariance(factor_returns: DataFrame, halflife: float = 63.0) -> DataFrame:

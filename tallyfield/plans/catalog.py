@@ -484,7 +484,7 @@ err AS (SELECT *, yy - fa * ay - fb * yb AS sse, yy - sy * sy / n AS sst FROM so
 
 @query(sql(f"SELECT {both(['date', 'factor'], ['factor_return', 't_stat', 'r2'], 5)} FROM (SELECT date, 'momentum' AS factor, fa AS factor_return, fa / sqrt(bb / det * sse / n) AS t_stat, 1 - sse / sst AS r2 FROM err UNION ALL SELECT date, 'reversal', fb, fb / sqrt(aa / det * sse / n), 1 - sse / sst FROM err)", _TWO))
 def risk_wls_multi(t: Tables) -> DataFrame:
-    return shown(R.wls_multi(_cross_section(t), ["momentum", "reversal"]), ["date", "factor"], ["factor_return", "t_stat", "r2"], 5)
+    return shown(R.wls_multi(_cross_section(t), ["momentum", "reversal"], ieee=True), ["date", "factor"], ["factor_return", "t_stat", "r2"], 5)
 
 
 _ALL = [*X.PRICE_FACTORS, *X.VALUE_FACTORS]
