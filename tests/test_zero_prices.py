@@ -10,7 +10,7 @@ import pytest
 from tallyfield.operators import factors as X
 from tallyfield.plans import catalog
 
-QUERIES = ["fac_lowvol", "fac_momentum", "fac_winsor_z", "fac_previous_exposures", "risk_ewma_idio", "risk_exposure_panel", "fac_reversal_liquidity", "risk_wls_multi"]
+QUERIES = ["fac_lowvol", "fac_momentum", "fac_winsor_z", "fac_previous_exposures", "risk_ewma_idio", "risk_exposure_panel", "fac_reversal_liquidity", "risk_wls_multi", "risk_wls_single"]
 #: Users whose prices are 0, and on how many of their first days: a first price only, then two and all of them.
 ZERO = {"first": {3: 1, 30: 1}, "more": {3: 1, 5: 2, 7: 16}}
 
